@@ -45,7 +45,7 @@ def _(spark, sf):
 
 @query(
     "read_table",
-    f"SELECT c_custkey, c_name, c_nationkey, {rounded('c_acctbal', 'c_acctbal')}, c_mktsegment FROM customer",
+    f"SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, {rounded('c_acctbal', 'c_acctbal')}, c_mktsegment FROM customer",
 )
 def _(spark, sf):
     return readers.read_table(spark, f"{sf}/customer.parquet")
@@ -400,7 +400,7 @@ def _(spark, sf):
     "label_same_session",
     f"""SELECT c.user_id, c.product_id, c.user_session, {micros('c.event_time', 'event_time')},
     CASE WHEN EXISTS (SELECT 1 FROM raw b WHERE b.event_type = 'purchase' AND b.user_id = c.user_id
-      AND b.product_id = c.product_id AND b.user_session = c.user_session) THEN 1 ELSE 0 END AS is_purchased
+      AND b.product_id = c.product_id AND b.user_session = c.user_session) THEN 1 ELSE 0 END::BIGINT AS is_purchased
     FROM raw c WHERE c.event_type = 'cart'""",
 )
 def _(spark, sf):
@@ -413,7 +413,7 @@ def _(spark, sf):
     "label_any_later",
     f"""SELECT c.user_id, c.product_id, {micros('c.event_time', 'event_time')},
     CASE WHEN EXISTS (SELECT 1 FROM clean b WHERE b.event_type = 'purchase' AND b.user_id = c.user_id
-      AND b.product_id = c.product_id AND b.event_time > c.event_time) THEN 1 ELSE 0 END AS is_purchased
+      AND b.product_id = c.product_id AND b.event_time > c.event_time) THEN 1 ELSE 0 END::BIGINT AS is_purchased
     FROM clean c WHERE c.event_type = 'cart'""",
 )
 def _(spark, sf):
@@ -425,7 +425,7 @@ def _(spark, sf):
 @query(
     "rank_cart_per_purchase",
     f"""SELECT user_id, product_id, user_session, {micros('purchase_time')}, {micros('cart_time')},
-    1 AS cart_rank, ranked AS ranked_carts FROM credits""",
+    1::BIGINT AS cart_rank, ranked AS ranked_carts FROM credits""",
 )
 def _(spark, sf):
     return label_ops.rank_cart_per_purchase(tables.clean(spark, sf))
