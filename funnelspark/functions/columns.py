@@ -96,6 +96,25 @@ def half_up(col: Column | str, digits: int) -> Column:
     return F.floor(_col(col).cast("double") * factor + 0.5) / F.lit(factor)
 
 
+def round_exact(col: Column | str, digits: int) -> Column:
+    """Round the exact binary value to digits, ties to even: what correct decimal printing gives.
+
+    The product with 10^d is taken together with its rounding error (by splitting the factor in
+    two halves), so a value next to a tie goes to the right side. Give it a plain column: the
+    expression is used several times.
+    """
+    x, factor = _col(col).cast("double"), float(10**digits)
+    big = x * 134217729.0
+    high = big - (big - x)
+    product = x * factor
+    error = (high * factor - product) + (x - high) * factor
+    whole = F.floor(product)
+    over = ((product - whole) - 0.5) + error
+    odd = F.pmod(whole, F.lit(2)) == 1
+    up = ((over > 0) | ((over == 0) & odd)).cast("int")
+    return (whole + up) / F.lit(factor)
+
+
 def hash32(*cols: Column | str, seed: int = 42) -> Column:
     """Repeatable 32-bit number from key columns and a seed, even over its range."""
     text = F.concat_ws(":", *[_col(c).cast("string") for c in cols], F.lit(str(seed)))

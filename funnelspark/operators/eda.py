@@ -132,23 +132,51 @@ def rate_pivot_wide(
     return df.groupBy(row).pivot(col, values).agg(F.avg(target))
 
 
+MOMENTS = "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
+
+
+def _pair_moments(batches):
+    """Moments of every column pair over the rows of one task, skipping nulls per pair."""
+    import numpy as np
+    import pandas as pd
+
+    total = None
+    for batch in batches:
+        x = batch.to_numpy(dtype=float, na_value=np.nan)
+        seen = ~np.isnan(x)
+        x, m = np.where(seen, x, 0.0), seen.astype(float)
+        part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        total = part if total is None else total + part
+    if total is not None:
+        a, b = np.tril_indices(total.shape[1], -1)
+        names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+        yield pd.DataFrame({"a": a, "b": b, **{k: total[i][a, b] for i, k in enumerate(names)}})
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns (lower triangle), in one aggregation.
+    """Pearson correlation of every pair of columns (lower triangle).
 
-    Null where a column is constant; rows with a null in either column of a pair are skipped.
+    Null where a column is constant; rows with a null in either column of a pair are skipped. Each
+    task reduces its rows to one small matrix product per moment (Arrow batches), so hundreds of
+    pairs cost one pass and the shuffle carries one row per pair and task.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    wide = values.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(f"_{i}"), F.col(f"_{i}")).alias("corr")
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
+    means = df.agg(F.struct(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)])).scalar()
+    centred = df.select(
+        *[(F.col(c).cast("double") - means[f"m{i}"]).alias(f"c{i}") for i, c in enumerate(columns)]
+    )
+    sums = centred.mapInPandas(_pair_moments, MOMENTS).groupBy("a", "b").agg(
+        *[F.sum(k).alias(k) for k in ("n", "sa", "sb", "saa", "sbb", "sab")]
+    )
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    va, vb = n * F.col("saa") - sa * sa, n * F.col("sbb") - sb * sb
+    # Columns are centred, so a variance that cancels out this far is rounding of a constant.
+    varies = (va > n * F.col("saa") * 1e-12) & (vb > n * F.col("sbb") * 1e-12)
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.select(
+        F.get(names, F.col("a")).alias("a"),
+        F.get(names, F.col("b")).alias("b"),
+        F.when(varies, (n * F.col("sab") - sa * sb) / F.sqrt(va * vb)).alias("corr"),
     )
-    return wide.select(F.inline(rows))
 
 
 def target_correlation(
@@ -156,9 +184,10 @@ def target_correlation(
 ) -> DataFrame:
     """Correlation of each column with the target; with n, the n highest and n lowest."""
     features = [c for c in columns if c != target]
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in [*features, target]])
-    wide = values.agg(*[F.corr(c, target).alias(c) for c in features])
-    out = wide.unpivot([], features, "feature", "corr").filter("corr is not null and not isnan(corr)")
+    pairs = correlation_matrix(df, [*features, target])
+    out = pairs.filter((F.col("a") == target) & F.col("corr").isNotNull()).select(
+        F.col("b").alias("feature"), "corr"
+    )
     if n is None:
         return out
     high = out.orderBy(F.desc("corr"), "feature").limit(n).withColumn("side", F.lit("top"))

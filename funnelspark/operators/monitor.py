@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import half_up
+from ..functions.columns import round_exact
 
 
 def prediction_stats(log: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def prediction_stats(log: DataFrame) -> DataFrame:
         ok.alias("success"),
         (n - ok).alias("failed"),
     )
-    rate = F.when(F.col("total") > 0, half_up(F.col("success") / F.col("total") * 100, 1))
+    rate = F.when(F.col("total") > 0, round_exact(F.col("success") / F.col("total") * 100, 1))
     return stats.select(
         F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("model")).alias("model"),
         "total",

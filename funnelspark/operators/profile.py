@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import share
+from ..functions.columns import round_exact, share
 from ..schemas import TARGET
 from .ordered import quantiles
 from .results import WEEKDAYS
@@ -211,7 +211,7 @@ def numeric_distribution(
         .join(F.broadcast(medians), "column")
         .select(
             "column", "mean", "median", "min", "max", "bin",
-            F.format_string("%.2f-%.2f", "low", "high").alias("label"),
+            F.format_string("%.2f-%.2f", round_exact("low", 2), round_exact("high", 2)).alias("label"),
             "count",
         )
     )

@@ -420,7 +420,7 @@ def export_filtered(df: DataFrame, simulated: float | None = None, **filters) ->
         F.col("is_purchased").alias("original_is_purchased"),
         effective_prediction(simulated).alias("simulated_is_purchased"),
         "probability",
-        F.format_number(effective_threshold(simulated), "0.0000").alias("threshold_applied"),
+        F.format_string("%.4f", effective_threshold(simulated)).alias("threshold_applied"),
     )
 
 

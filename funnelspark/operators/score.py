@@ -103,7 +103,7 @@ def quality_struct() -> Column:
         + F.col("product_view_to_cart_rate")
         + F.col("brand_purchase_rate")
     ) / 3
-    score = C.half_up((coverage * 0.6 + rates * 0.4) * 100, 1)
+    score = C.round_exact((coverage * 0.6 + rates * 0.4) * 100, 1)
     grade = F.when(score >= 80, "A").when(score >= 60, "B").when(score >= 40, "C").otherwise("D")
     return F.struct(
         score.alias("score"),
@@ -148,7 +148,11 @@ def score_heuristic(df: DataFrame) -> DataFrame:
     total = terms[0]
     for term in terms[1:]:
         total = total + term
-    return df.withColumn("probability", C.half_up(total, 4))
+    return (
+        df.withColumn("_score", total)
+        .withColumn("probability", C.round_exact("_score", 4))
+        .drop("_score")
+    )
 
 
 def contribution(feature: str, value: Column) -> Column:
@@ -164,9 +168,14 @@ def heuristic_contributions(df: DataFrame) -> DataFrame:
     """Add feature_contributions: the six terms to 6 places, 0 for the other features."""
     terms = heuristic_terms()
     entries = [
-        contribution(f, C.half_up(terms[f], 6) if f in terms else F.lit(0.0)) for f in ALL_FEATURES
+        contribution(f, C.round_exact(f"_t_{f}", 6) if f in terms else F.lit(0.0))
+        for f in ALL_FEATURES
     ]
-    return df.withColumn("feature_contributions", F.array(*entries))
+    return (
+        df.withColumns({f"_t_{f}": term for f, term in terms.items()})
+        .withColumn("feature_contributions", F.array(*entries))
+        .drop(*[f"_t_{f}" for f in terms])
+    )
 
 
 def importance_contributions(df: DataFrame, importances: list[float]) -> DataFrame:
@@ -175,15 +184,30 @@ def importance_contributions(df: DataFrame, importances: list[float]) -> DataFra
     Short importance lists are padded with 0; a row of zeros is divided by 1.
     """
     padded = (list(importances) + [0.0] * len(ALL_FEATURES))[: len(ALL_FEATURES)]
-    total = F.abs(F.col(ALL_FEATURES[0]).cast("double"))
-    for f in ALL_FEATURES[1:]:
-        total = total + F.abs(F.col(f).cast("double"))
-    scale = F.when(total == 0, F.lit(1.0)).otherwise(total)
-    entries = [
-        contribution(f, C.half_up(F.col(f).cast("double") / scale * F.lit(float(w)), 6))
-        for f, w in zip(ALL_FEATURES, padded)
-    ]
-    return df.withColumn("feature_contributions", F.array(*entries))
+    values = F.array(*[F.col(f).cast("double") for f in ALL_FEATURES])
+    total = F.aggregate("_values", F.lit(0.0), lambda acc, x: acc + F.abs(x))
+    weights = F.array(*[F.lit(float(w)) for w in padded])
+    names = F.array(*[F.lit(f) for f in ALL_FEATURES])
+    titles = F.array(*[F.lit(display_name(f)) for f in ALL_FEATURES])
+    # The scale rides along in every entry, so it is summed once per row and not once per feature.
+    scaled = df.withColumn("_values", values).withColumn(
+        "_parts",
+        F.zip_with(
+            "_values",
+            F.array_repeat(F.when(total == 0, F.lit(1.0)).otherwise(total), len(ALL_FEATURES)),
+            lambda x, scale: x / scale,
+        ),
+    )
+    signed = F.zip_with("_parts", weights, lambda x, w: x * w)
+    entries = F.transform(
+        signed,
+        lambda x, i: F.struct(
+            F.get(names, i).alias("feature"),
+            C.round_exact(x, 6).alias("contribution"),
+            F.get(titles, i).alias("display_name"),
+        ),
+    )
+    return scaled.withColumn("feature_contributions", entries).drop("_values", "_parts")
 
 
 def top_of(contributions: Column, n: int = 3) -> Column:
@@ -213,7 +237,7 @@ def explain_payload(
         F.size("feature_contributions") > 0,
         F.struct(
             F.lit(method).alias("method"),
-            C.half_up(base, 6).alias("baseline_score"),
+            C.round_exact(base, 6).alias("baseline_score"),
             signals.alias("top_signals"),
             F.array(F.lit(note)).alias("notes"),
         ),
@@ -229,7 +253,7 @@ def _decide(df: DataFrame, threshold: float | None, model: str) -> DataFrame:
     out = threshold_predict(df, cut).withColumns(
         {
             "is_purchased": F.coalesce("prediction", F.lit(0)).cast("bigint"),
-            "decision_threshold": C.half_up(F.lit(cut), 4),
+            "decision_threshold": F.lit(round(cut, 4)),
             "model_used": F.lit(model),
         }
     )
@@ -288,7 +312,10 @@ def score_batch(
     scored = model.transform(df)
     probability = vector_to_array("probability")[1]
     out = importance_contributions(
-        scored.withColumn("probability", C.half_up(probability, 4)), importances
+        scored.withColumn("_p", probability)
+        .withColumn("probability", C.round_exact("_p", 4))
+        .drop("_p"),
+        importances,
     )
     out = _decide(explain_payload(out, "importance", 0.0, level), threshold, name)
     return out.drop("features", "rawPrediction")

@@ -162,7 +162,7 @@ WITH mapped AS (
     5e-2 * greatest(0e0, 1e0 - greatest(0e0, price_vs_user_avg - 1e0)) AS t6
   FROM full_rows
 ), scored AS (
-  SELECT *, floor((t1 + t2 + t3 + t4 + t5 + t6) * 1e4 + 5e-1) / 1e4 AS score,
+  SELECT *, CAST(printf('%.4f', t1 + t2 + t3 + t4 + t5 + t6) AS DOUBLE) AS score,
     brand_purchase_rate BETWEEN 0 AND 1 AND price >= 0 AND price_vs_user_avg IS NOT NULL
       AND price_vs_category_avg IS NOT NULL AS valid
   FROM term_rows

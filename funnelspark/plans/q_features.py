@@ -380,9 +380,9 @@ def _(spark, sf):
 @query(
     "score_lookup_pairs",
     FOUND_SQL
-    + f""" SELECT user_id, product_id, floor((35e-2 * user_cart_to_purchase_rate + 25e-2 * brand_purchase_rate
+    + f""" SELECT user_id, product_id, CAST(printf('%.4f', 35e-2 * user_cart_to_purchase_rate + 25e-2 * brand_purchase_rate
       + 2e-1 * product_cart_to_purchase_rate + 1e-1 * least(1e0, activity_count / 2e1) + 5e-2 * user_view_to_cart_rate
-      + 5e-2 * greatest(0e0, 1e0 - greatest(0e0, price_vs_user_avg - 1e0))) * 1e4 + 5e-1) / 1e4 AS probability,
+      + 5e-2 * greatest(0e0, 1e0 - greatest(0e0, price_vs_user_avg - 1e0))) AS DOUBLE) AS probability,
     1e2 AS quality, 'A' AS grade FROM found WHERE has_user OR has_product""",
 )
 def _(spark, sf):
