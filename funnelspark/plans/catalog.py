@@ -7,7 +7,7 @@ import importlib
 from .prelude import body
 from .registry import QUERIES, SQL
 
-MODULES = ["q_prepare", "q_features", "q_results", "q_profile"]
+MODULES = ["q_prepare", "q_features", "q_results", "q_profile", "q_model", "q_streaming"]
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
 
