@@ -90,12 +90,6 @@ def share(num: Column, den: Column, scale: float = 1.0) -> Column:
     return F.when(den > 0, num / den * F.lit(scale)).otherwise(F.lit(0.0))
 
 
-def half_up(col: Column | str, digits: int) -> Column:
-    """Round to digits by floor(x * 10^d + 0.5) / 10^d: the same doubles in any IEEE engine."""
-    factor = float(10**digits)
-    return F.floor(_col(col).cast("double") * factor + 0.5) / F.lit(factor)
-
-
 def round_exact(col: Column | str, digits: int) -> Column:
     """Round the exact binary value to digits, ties to even: what correct decimal printing gives.
 

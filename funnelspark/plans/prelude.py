@@ -181,7 +181,7 @@ WITH mapped AS (
 
 def rounded(expr: str, name: str) -> str:
     """A double to 6 places, by the rule the queries present doubles with."""
-    return f"floor(({expr}) * 1e6 + 5e-1) / 1e6 AS {name}"
+    return f"floor(({expr}) * 1e6 + 500001e-6) / 1e6 AS {name}"
 
 
 def micros(expr: str, name: str | None = None) -> str:

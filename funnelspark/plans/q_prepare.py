@@ -254,7 +254,7 @@ def _(spark, sf):
 @query(
     "dedup_feature_rows",
     """SELECT user_id, product_id, epoch_us(date_trunc('day', event_time)) AS event_timestamp,
-    floor(min(price) * 1e6 + 5e-1) / 1e6 AS price FROM clean WHERE event_type = 'cart' GROUP BY ALL""",
+    floor(min(price) * 1e6 + 500001e-6) / 1e6 AS price FROM clean WHERE event_type = 'cart' GROUP BY ALL""",
 )
 def _(spark, sf):
     daily = tables.clean(spark, sf).filter("event_type = 'cart'").select(

@@ -490,7 +490,7 @@ def _correlations(columns) -> str:
 
 @query(
     "correlation_matrix",
-    f", m AS ({_correlations(CORRELATED)}) SELECT a, b, CASE WHEN isfinite(c) THEN floor(c * 1e6 + 5e-1) / 1e6 END AS corr FROM m",
+    f", m AS ({_correlations(CORRELATED)}) SELECT a, b, CASE WHEN isfinite(c) THEN floor(c * 1e6 + 500001e-6) / 1e6 END AS corr FROM m",
 )
 def _(spark, sf):
     return eda.correlation_matrix(tables.features(spark, sf), CORRELATED)
@@ -499,8 +499,8 @@ def _(spark, sf):
 @query(
     "target_correlation",
     f""", m AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, corr({c}, is_purchased) AS c FROM features" for c in NUMERIC_FEATURES)})
-    (SELECT feature, floor(c * 1e6 + 5e-1) / 1e6 AS corr, 'top' AS side FROM m WHERE isfinite(c) ORDER BY c DESC, feature LIMIT 5)
-    UNION ALL (SELECT feature, floor(c * 1e6 + 5e-1) / 1e6, 'bottom' FROM m WHERE isfinite(c) ORDER BY c, feature LIMIT 5)""",
+    (SELECT feature, floor(c * 1e6 + 500001e-6) / 1e6 AS corr, 'top' AS side FROM m WHERE isfinite(c) ORDER BY c DESC, feature LIMIT 5)
+    UNION ALL (SELECT feature, floor(c * 1e6 + 500001e-6) / 1e6, 'bottom' FROM m WHERE isfinite(c) ORDER BY c, feature LIMIT 5)""",
 )
 def _(spark, sf):
     return eda.target_correlation(tables.features(spark, sf), NUMERIC_FEATURES, n=5)
@@ -508,7 +508,7 @@ def _(spark, sf):
 
 @query(
     "collinear_pairs",
-    f", m AS ({_correlations(CORRELATED)}) SELECT a, b, floor(c * 1e6 + 5e-1) / 1e6 AS corr FROM m WHERE abs(c) > 9e-1 AND isfinite(c)",
+    f", m AS ({_correlations(CORRELATED)}) SELECT a, b, floor(c * 1e6 + 500001e-6) / 1e6 AS corr FROM m WHERE abs(c) > 9e-1 AND isfinite(c)",
 )
 def _(spark, sf):
     return eda.collinear_pairs(tables.features(spark, sf), CORRELATED)
@@ -563,7 +563,7 @@ def _(spark, sf):
     "latency_histogram",
     BINNED_SQL
     + """, e AS (SELECT min(minutes) AS lo, max(minutes) AS hi FROM delays)
-    SELECT b.bin, floor((e.lo + b.bin * ((e.hi - e.lo) / 50)) * 1e6 + 5e-1) / 1e6 AS low,
+    SELECT b.bin, floor((e.lo + b.bin * ((e.hi - e.lo) / 50)) * 1e6 + 500001e-6) / 1e6 AS low,
     (SELECT count(*) FROM delays d WHERE least(49, floor((d.minutes - e.lo) / ((e.hi - e.lo) / 50))) = b.bin) AS count
     FROM e, (SELECT unnest(range(50)) AS bin) b""",
 )

@@ -330,7 +330,7 @@ def _(spark, sf):
     CONTRIBUTION_SQL
     + """, ends AS (SELECT min(row_id) AS lo, max(row_id) AS hi FROM predictions WHERE valid)
     SELECT a.feature, a.display_name AS label, a.contribution AS selected, b.contribution AS pinned,
-    floor(abs(a.contribution - b.contribution) * 1e6 + 5e-1) / 1e6 AS delta
+    floor(abs(a.contribution - b.contribution) * 1e6 + 500001e-6) / 1e6 AS delta
     FROM contributions a JOIN contributions b ON a.feature = b.feature, ends
     WHERE a.row_id = ends.lo AND b.row_id = ends.hi
     ORDER BY abs(a.contribution - b.contribution) DESC, a.feature LIMIT 8""",

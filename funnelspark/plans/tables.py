@@ -1,6 +1,6 @@
 """Tables the registered queries share, built from the given tables and published once.
 
-As in any feature pipeline, the cleaned events, the feature table and the scored batch are written
+As in any feature build, the mapped log, the cleaned events, the feature table and the scored batch are written
 to the shared folder when first needed, and later steps of the same session read them.
 """
 
@@ -41,8 +41,8 @@ def published(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw event log."""
-    return clickstream(spark, sf_dir)
+    """Raw event log, mapped from the given tables once."""
+    return published(spark, sf_dir, "raw", lambda: clickstream(spark, sf_dir))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
