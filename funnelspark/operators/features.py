@@ -1,8 +1,9 @@
 """User, product, brand and category features and their assembly.
 
 Every aggregate is mergeable, so Spark combines rows on the map side and a hot user or product
-costs one partial row per input partition. Joins carry no hint: adaptive execution broadcasts a
-side only after measuring it, and splits the skewed partitions of a sort-merge join otherwise.
+costs one partial row per input partition. Feature joins know how many events each key has and
+spread the rows of the heaviest keys; otherwise adaptive execution broadcasts a side only after
+measuring it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..schemas import (
     NUMERIC_FEATURES,
 )
 from .clean import dedup_feature_rows, fill_defaults
+from .joins import spread_left_join
 from .labels import label_same_session
 
 
@@ -103,28 +105,27 @@ def agg_category(events: DataFrame) -> DataFrame:
 
 def join_user_features(samples: DataFrame, user: DataFrame) -> DataFrame:
     """Left join by user."""
-    return samples.join(user, "user_id", "left")
+    return spread_left_join(samples, user, ["user_id"], "user_total_events")
 
 
 def join_product_features(samples: DataFrame, product: DataFrame) -> DataFrame:
     """Left join by product."""
-    return samples.join(product, "product_id", "left")
+    return spread_left_join(samples, product, ["product_id"], "product_total_events")
 
 
 def join_brand_features(samples: DataFrame, brand: DataFrame) -> DataFrame:
     """Left join by normalized brand."""
-    side = brand.select("brand_clean", "brand_purchase_rate", "brand_avg_price")
-    return samples.join(
-        side, C.clean_category("brand") == F.col("brand_clean"), "left"
-    ).drop("brand_clean")
+    side = brand.select("brand_clean", "brand_purchase_rate", "brand_avg_price", "brand_total_carts")
+    keyed = samples.withColumn("brand_clean", C.clean_category("brand"))
+    joined = spread_left_join(keyed, side, ["brand_clean"], "brand_total_carts")
+    return joined.drop("brand_clean", "brand_total_carts")
 
 
 def join_category_features(samples: DataFrame, category: DataFrame) -> DataFrame:
     """Left join by first category level."""
-    side = category.select("category_level1", "category_avg_price")
-    return samples.join(
-        side, F.col("category_code_level1") == F.col("category_level1"), "left"
-    ).drop("category_level1")
+    side = category.withColumnRenamed("category_level1", "category_code_level1")
+    joined = spread_left_join(samples, side, ["category_code_level1"], "category_total_purchases")
+    return joined.drop("category_total_purchases")
 
 
 def price_vs_user_avg() -> Column:
@@ -221,12 +222,9 @@ def assemble_features_clipped(events: DataFrame) -> DataFrame:
     """Export feature table: capped rates, same-session label, activity from the product."""
     ready = export_events(events)
     carts = label_same_session(ready)
-    brand = agg_brand_clipped(ready).select("brand", "brand_purchase_rate")
-    joined = (
-        carts.join(brand, "brand", "left")
-        .join(agg_product_clipped(ready), "product_id", "left")
-        .join(agg_user_clipped(ready), "user_id", "left")
-    )
+    joined = spread_left_join(carts, agg_brand_clipped(ready), ["brand"], "brand_carts")
+    joined = join_product_features(joined, agg_product_clipped(ready))
+    joined = join_user_features(joined, agg_user_clipped(ready))
     average = F.greatest(F.col("user_avg_purchase_price"), F.lit(0.01))
     derived = joined.withColumns(
         {
@@ -293,8 +291,8 @@ def agg_product_lookup(features: DataFrame) -> DataFrame:
 def assemble_as_of(samples: DataFrame, events: DataFrame) -> DataFrame:
     """Samples with user and product totals over strictly earlier events only (no leakage).
 
-    Totals are first taken per (entity, hour), then accumulated over hours; a sample adds the
-    events of its own hour that precede it. No window runs over raw rows of a whole entity.
+    Totals are first taken per (entity, time slice), then accumulated over slices; a sample adds
+    the events of its own slice that precede it. No window runs over raw rows of a whole entity.
     """
     out = samples
     for entity, prefix in (("user_id", "user"), ("product_id", "product")):

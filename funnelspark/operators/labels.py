@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..schemas import SAMPLE_COLUMNS
 from .clean import filter_event_type
-from .ordered import HOUR_US, running_count, time_slice
+from .joins import spread_left_join
+from .ordered import SLICE_US, running_count, time_slice
 
 JOURNEY = ["user_id", "product_id", "user_session"]
 
 
-def label_last_cart(events: DataFrame, slice_us: int = HOUR_US) -> DataFrame:
+def label_last_cart(events: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     """Per purchase, the nearest strictly earlier cart of the same user, product and session.
 
     Columns: the journey keys, purchase_time, cart_time and earlier_carts (how many carts came
@@ -85,27 +86,35 @@ def label_carts(carts: DataFrame, credits: DataFrame) -> DataFrame:
 
 def label_same_session(events: DataFrame) -> DataFrame:
     """Carts with is_purchased: 1 where the user bought the product in that session, in any order."""
-    bought = filter_event_type(events, "purchase").select(*JOURNEY).distinct()
-    carts = filter_event_type(events, "cart")
-    return carts.join(bought.withColumn("_hit", F.lit(1)), JOURNEY, "left").select(
-        *carts.columns, F.coalesce("_hit", F.lit(0)).cast("bigint").alias("is_purchased")
-    )
+    carts, journeys = _carts_and_history(events, JOURNEY)
+    joined = spread_left_join(carts, journeys, JOURNEY, "_carts")
+    return joined.withColumn(
+        "is_purchased", F.col("_last").isNotNull().cast("bigint")
+    ).drop("_last", "_carts")
 
 
 def label_any_later(events: DataFrame) -> DataFrame:
     """Carts with is_purchased: 1 where the user buys the product later, in any session."""
-    last = (
-        filter_event_type(events, "purchase")
-        .groupBy("user_id", "product_id")
-        .agg(F.max("event_time").alias("_last"))
-    )
-    carts = filter_event_type(events, "cart")
-    return carts.join(last, ["user_id", "product_id"], "left").select(
-        *carts.columns,
-        F.coalesce(F.col("_last") > F.col("event_time"), F.lit(False))
-        .cast("bigint")
-        .alias("is_purchased"),
+    keys = ["user_id", "product_id"]
+    carts, history = _carts_and_history(events, keys)
+    joined = spread_left_join(carts, history, keys, "_carts")
+    later = F.coalesce(F.col("_last") > F.col("event_time"), F.lit(False))
+    return joined.withColumn("is_purchased", later.cast("bigint")).drop("_last", "_carts")
+
+
+def _carts_and_history(events: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Carts, and per key with a purchase its last purchase and its number of carts."""
+    kind = F.col("event_type")
+    history = (
+        filter_event_type(events, "cart", "purchase")
+        .groupBy(*keys)
+        .agg(
+            F.max(F.when(kind == "purchase", F.col("event_time"))).alias("_last"),
+            F.count_if(kind == "cart").alias("_carts"),
+        )
+        .filter(F.col("_last").isNotNull())
     )
+    return filter_event_type(events, "cart"), history
 
 
 def rank_cart_per_purchase(events: DataFrame) -> DataFrame:
@@ -119,7 +128,7 @@ def rank_cart_per_purchase(events: DataFrame) -> DataFrame:
     )
 
 
-def activity_count(events: DataFrame, slice_us: int = HOUR_US) -> DataFrame:
+def activity_count(events: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     """Add activity_count: events of the session up to and including this one.
 
     Events of one instant are ordered by type, product and user, which with the session and time

@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-HOUR_US = 3_600_000_000
+# Five minutes: a session that holds a third of a month of events is still cut into thousands.
+SLICE_US = 300_000_000
 
 
-def time_slice(ts: Column | str, slice_us: int = HOUR_US) -> Column:
+def time_slice(ts: Column | str, slice_us: int = SLICE_US) -> Column:
     """Number of the time slice a timestamp falls into."""
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(col) / F.lit(slice_us)).cast("bigint")
 
 
 def running_count(
-    df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str, slice_us: int = HOUR_US
+    df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str, slice_us: int = SLICE_US
 ) -> DataFrame:
     """1-based position of each row inside its group, ordered by time and then the tie columns."""
     cut = df.withColumn("_slice", time_slice(ts, slice_us))

@@ -69,16 +69,21 @@ def batch_vs_previous(
     df: DataFrame, current: str, previous: str, simulated: float | None = None
 ) -> DataFrame:
     """Totals of two batches (by ``batch_id``) side by side."""
-    totals = (
-        df.filter(F.col("batch_id").isin(current, previous))
-        .groupBy("batch_id")
-        .agg(*_summary_columns(simulated)[:3])
+    now, then = F.col("batch_id") == current, F.col("batch_id") == previous
+    hit = effective_prediction(simulated) == 1
+    sides = {"": now, "previous_": then}
+    return df.filter(F.col("batch_id").isin(current, previous)).agg(
+        F.lit(current).alias("batch_id"),
+        *[
+            column
+            for prefix, side in sides.items()
+            for column in (
+                F.count_if(side).alias(f"{prefix}total"),
+                F.count_if(side & hit).alias(f"{prefix}purchased"),
+                F.count_if(side & ~hit).alias(f"{prefix}not_purchased"),
+            )
+        ],
     )
-    now = totals.filter(F.col("batch_id") == current)
-    then = totals.filter(F.col("batch_id") == previous)
-    names = ["total", "purchased", "not_purchased"]
-    then = then.select(*[F.col(n).alias(f"previous_{n}") for n in names], F.lit(1).alias("_one"))
-    return now.withColumn("_one", F.lit(1)).join(then, "_one", "left").drop("_one")
 
 
 def threshold_flip_count(df: DataFrame, simulated: float | None) -> DataFrame:

@@ -38,36 +38,38 @@ def _histogram(hashed: DataFrame, stratum: str) -> DataFrame:
 def hash_cut(
     df: DataFrame,
     keys: list[str],
-    stratum: Column,
+    stratum: Column | None,
     parts: list[tuple[str, Callable[[Column], Column]]],
     rest: str,
     seed: int = 42,
     out: str = "part",
 ) -> DataFrame:
-    """Name each row's part by its hash rank inside its stratum.
+    """Name each row's part by its hash rank inside its stratum (of the whole table without one).
 
     ``parts`` lists (name, quota): the quota maps the stratum size to the rank the part ends at,
     in rising order. Rows past the last quota get ``rest``. The keys identify a row.
     """
-    hashed = df.withColumns({"_s": stratum, "_h": hash32(*keys, seed=seed)}).withColumn(
-        "_b", _bucket(F.col("_h"))
-    )
+    hashed = df.withColumns(
+        {"_s": F.lit(0) if stratum is None else stratum, "_h": hash32(*keys, seed=seed)}
+    ).withColumn("_b", _bucket(F.col("_h")))
     counts = _histogram(hashed, "_s")
     first = F.col("_upto") - F.col("_n")
-    edges = counts.groupBy(F.col("_s").alias("_es")).agg(
-        *[
-            F.max(
-                F.when(
-                    (quota(F.col("_total")) > first) & (quota(F.col("_total")) <= F.col("_upto")),
-                    F.struct(
-                        F.col("_b").alias("b"), (quota(F.col("_total")) - first).alias("need")
-                    ),
-                )
-            ).alias(f"_e{i}")
-            for i, (_, quota) in enumerate(parts)
-        ]
-    )
-    placed = hashed.join(edges, F.col("_s").eqNullSafe(F.col("_es")), "left")
+    edge_columns = [
+        F.max(
+            F.when(
+                (quota(F.col("_total")) > first) & (quota(F.col("_total")) <= F.col("_upto")),
+                F.struct(F.col("_b").alias("b"), (quota(F.col("_total")) - first).alias("need")),
+            )
+        ).alias(f"_e{i}")
+        for i, (_, quota) in enumerate(parts)
+    ]
+    if stratum is None:
+        # One row of edges: read as a value, so nothing is joined.
+        edge = counts.agg(F.struct(*edge_columns)).scalar()
+        placed = hashed.withColumns({f"_e{i}": edge[f"_e{i}"] for i in range(len(parts))})
+    else:
+        edges = counts.groupBy(F.col("_s").alias("_es")).agg(*edge_columns)
+        placed = hashed.join(edges, F.col("_s").eqNullSafe(F.col("_es")), "left")
     on_edge = F.lit(False)
     for i in range(len(parts)):
         on_edge = on_edge | F.coalesce(F.col("_b") == F.col(f"_e{i}.b"), F.lit(False))
@@ -234,7 +236,7 @@ def stratified_folds(
 def sample_n(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows (all, if there are fewer), chosen by hash."""
     quota = [("in", lambda total: F.least(F.lit(n), total))]
-    cut = hash_cut(df, keys, F.lit(0), quota, "out", seed, "_sampled")
+    cut = hash_cut(df, keys, None, quota, "out", seed, "_sampled")
     return cut.filter("_sampled = 'in'").drop("_sampled")
 
 

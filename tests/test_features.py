@@ -6,6 +6,7 @@ from conftest import at, rows
 from funnelspark.operators import features, labels, store
 from funnelspark.operators.clean import clean_events
 from funnelspark.schemas import FEATURE_TABLE_COLUMNS
+from funnelspark.session import stage
 
 CREATED = dt.datetime(2024, 2, 1)
 
@@ -24,6 +25,16 @@ def events(events_of):
     )
 
 
+@pytest.fixture(scope="module")
+def samples(events):
+    return stage(labels.cart_samples(clean_events(events)), "samples")
+
+
+@pytest.fixture(scope="module")
+def table(events, samples):
+    return stage(features.assemble_features_v2(samples, events, CREATED), "table")
+
+
 def test_user_aggregates(events):
     got = {r.user_id: r for r in features.agg_user(events).collect()}
     one = got[1]
@@ -42,9 +53,7 @@ def test_product_buyers_differ_between_the_two_definitions(events):
     assert plain == {1: 2, 2: 0} and clipped == {1: 3, 2: 1}
 
 
-def test_feature_table(events):
-    samples = labels.cart_samples(clean_events(events))
-    table = features.assemble_features_v2(samples, events, CREATED)
+def test_feature_table(table):
     assert table.columns == FEATURE_TABLE_COLUMNS
     got = {(r.user_id, r.product_id): r for r in table.collect()}
     assert len(got) == 3
@@ -67,8 +76,7 @@ def test_clipped_feature_table(events):
     assert got[(2, 1)].activity_count == 5 and got[(2, 1)].price_vs_category_avg == 1.0
 
 
-def test_as_of_totals_look_at_earlier_events_only(events):
-    samples = labels.cart_samples(clean_events(events))
+def test_as_of_totals_look_at_earlier_events_only(events, samples):
     got = rows(
         features.assemble_as_of(samples, events),
         "user_id", "product_id", "user_total_events", "user_total_purchases", "product_total_events",
@@ -76,9 +84,7 @@ def test_as_of_totals_look_at_earlier_events_only(events):
     assert got == [(1, 1, 1, 0, 1), (1, 2, 3, 1, 0), (2, 1, 0, 0, 3)]
 
 
-def test_product_lookup_takes_the_smallest_of_equal_modes(spark, events):
-    samples = labels.cart_samples(clean_events(events))
-    table = features.assemble_features_v2(samples, events, CREATED)
+def test_product_lookup_takes_the_smallest_of_equal_modes(spark, table):
     users, products = store.build_lookup_tables(table)
     assert rows(products, "product_id", "price", "brand") == [(1, 10.0, "acme"), (2, 30.0, "unknown")]
     pairs = spark.createDataFrame(

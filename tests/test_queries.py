@@ -15,11 +15,9 @@ import compare  # noqa: E402
 SQL = entry.oracle_sql()
 # One query per family here; tools/compare.py runs them all.
 NAMES = [
-    "flagship", "read_events", "dedup_events", "label_last_cart", "assemble_features_v2",
-    "assemble_features_clipped", "assemble_as_of", "lookup_features", "split_with_coverage",
-    "apply_target_encoder", "heuristic_contributions", "decile_performance", "cohort_breakdown",
-    "binary_metrics", "numeric_distribution", "correlation_matrix", "latency_stats",
-    "latest_eval_metric", "stream_cart_label",
+    "flagship", "read_events", "label_last_cart", "assemble_features_v2", "assemble_as_of",
+    "split_with_coverage", "apply_target_encoder", "heuristic_contributions", "cohort_breakdown",
+    "binary_metrics", "numeric_distribution", "stream_cart_label",
 ]
 
 
