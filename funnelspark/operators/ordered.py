@@ -4,14 +4,15 @@ Two techniques are used.
 
 * Time slices: a group is cut by a fixed length of time. A window runs inside each slice, and the
   totals of earlier slices (one small row per group and slice) are joined back. Lazy, one plan.
-* Order slices: rows are range-partitioned by the full sort order, the slice number is written down
-  with the rows, and the totals of earlier slices are added. For orders without a time column.
+* Order slices: rows are range-partitioned by the full sort order, added up per slice, written down
+  with the slice number, and the totals of earlier slices are added. For orders without a time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stage
 
@@ -50,6 +51,38 @@ def running_count(
     )
 
 
+def _accumulate(names: list[str], kept: list[str], grouped: bool):
+    """Function that adds running sums to the sorted Arrow batches of one task."""
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        carry, last = dict.fromkeys(names, 0), None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            starts = np.zeros(n, dtype=np.int64)
+            continues = True
+            if grouped:
+                g = batch.column("_g").to_numpy()
+                starts[1:] = np.where(g[1:] != g[:-1], np.arange(1, n), 0)
+                starts = np.maximum.accumulate(starts)
+                continues, last = last is not None and g[0] == last, g[-1]
+            sums = []
+            for name in names:
+                upto = np.cumsum(batch.column(f"_m_{name}").to_numpy())
+                before = np.where(starts > 0, upto[starts - 1], -carry[name] if continues else 0)
+                upto = upto - before
+                carry[name] = int(upto[-1])
+                sums.append(pa.array(upto))
+            columns = [batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, *sums], names=[*kept, *names])
+
+    return add
+
+
 def running_totals(
     df: DataFrame,
     order: list[Column | str],
@@ -57,58 +90,58 @@ def running_totals(
     groups: list[str] | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sums in a total order, optionally inside groups.
+    """Inclusive running sums of counts (never negative) in a total order, optionally inside groups.
 
-    The carry-over table has at most one row per slice: in sorted order only the first group of a
-    slice can have rows in an earlier slice. Broadcasting it is therefore bounded by ``slices``.
+    One shuffle: rows are range-partitioned and sorted, each task adds up its own rows (Arrow
+    batches, constant memory), and the result is stored with its slice number. The totals of
+    earlier slices are then added from a table with at most one row per slice: in sorted order
+    only the first group of a slice can have rows in an earlier one, so broadcasting that table
+    is bounded by ``slices``.
     """
     groups = groups or []
+    names = list(totals)
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    measures = {f"_m_{name}": col.cast("bigint") for name, col in totals.items()}
+    measures = {f"_m_{k}": F.coalesce(v.cast("bigint"), F.lit(0)) for k, v in totals.items()}
+    if groups:
+        measures["_g"] = F.xxhash64(*groups)
+    kept = [*df.columns, "_slice"]
+    schema = T.StructType(
+        df.schema.fields
+        + [T.StructField("_slice", T.IntegerType())]
+        + [T.StructField(k, T.LongType()) for k in names]
+    )
     placed = stage(
         df.withColumns(measures)
         .repartitionByRange(n, *groups, *order)
-        .withColumn("_slice", F.spark_partition_id()),
+        .sortWithinPartitions(*groups, *order)
+        .withColumn("_slice", F.spark_partition_id())
+        .mapInArrow(_accumulate(names, kept, bool(groups)), schema),
         "ordered",
     )
-    inside = (
-        Window.partitionBy(*groups, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    before = (
+    earlier = (
         Window.partitionBy(*groups)
         .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
         placed.groupBy(*groups, "_slice")
-        .agg(*[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in totals])
+        .agg(*[F.max(k).alias(f"_t_{k}") for k in names])
         .select(
             *[F.col(g).alias(f"_g_{g}") for g in groups],
             F.col("_slice").alias("_at"),
-            F.lag("_slice").over(
-                Window.partitionBy(*groups).orderBy("_slice")
-            ).alias("_prior"),
-            *[F.sum(f"_t_{name}").over(before).alias(f"_b_{name}") for name in totals],
+            F.count("_slice").over(earlier).alias("_earlier"),
+            *[F.sum(f"_t_{k}").over(earlier).alias(f"_b_{k}") for k in names],
         )
-        .filter(F.col("_prior").isNotNull())
-        .drop("_prior")
+        .filter(F.col("_earlier") > 0)
+        .drop("_earlier")
     )
     match = F.col("_slice") == F.col("_at")
     for g in groups:
         match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return (
-        placed.withColumns({f"_r_{name}": F.sum(f"_m_{name}").over(inside) for name in totals})
-        .join(F.broadcast(carry), match, "left")
-        .select(
-            *df.columns,
-            *[
-                (F.col(f"_r_{name}") + F.coalesce(F.col(f"_b_{name}"), F.lit(0))).alias(name)
-                for name in totals
-            ],
-        )
+    return placed.join(F.broadcast(carry), match, "left").select(
+        *df.columns,
+        *[(F.col(k) + F.coalesce(F.col(f"_b_{k}"), F.lit(0))).alias(k) for k in names],
     )
 
 

@@ -695,6 +695,16 @@ def _(spark, sf):
     return writers.read_encoders(spark, path)
 
 
+@query(
+    "read_encoders",
+    ENCODER_SQL + """ SELECT "column", count(*) AS categories FROM enc GROUP BY "column\"""",
+)
+def _(spark, sf):
+    path = staging_path(spark, "encoders")
+    writers.write_encoders(encode.fit_target_encoder(tables.features(spark, sf)), path)
+    return writers.read_encoders(spark, path).groupBy("column").agg(F.count("*").alias("categories"))
+
+
 @query(
     "apply_target_encoder",
     ENCODER_SQL

@@ -45,3 +45,23 @@ def test_quantiles_skip_nulls_and_split_by_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", 7.0)], "g string, x double")
     got = ordered.quantiles(df, ["x"], {"m": 0.5}, ["g"])
     assert rows(got, "g", "count", "m") == [("a", 2, 2.0), ("b", 1, 7.0)]
+
+
+def test_running_totals_with_null_groups_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, x int")
+    got = ordered.running_totals(df, ["x"], {"n": F.lit(1)}, ["g"], slices=3)
+    assert rows(got) == in_order([(None, 1, 1), (None, 2, 2), ("a", 1, 1)])
+    assert ordered.row_numbers(df.limit(0), ["x"], "n").count() == 0
+
+
+def test_running_totals_cross_arrow_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(200).select((F.col("id") % 3).alias("g"), "id")
+        got = ordered.running_totals(df, ["id"], {"n": F.lit(1), "s": F.col("id")}, ["g"], slices=2)
+        bad = got.filter(F.col("n") != F.floor(F.col("id") / 3) + 1)
+        assert bad.isEmpty() and got.count() == 200
+        assert got.groupBy("g").agg(F.max("s")).count() == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
