@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 # At most this many keys are treated as hot. Every other key then holds at most a share of
 # 1 / (HOT_KEYS + 1) of the weight, which one task can take.
 HOT_KEYS = 1000
@@ -17,11 +19,12 @@ def spread_left_join(
 
     The heaviest keys' rows are broadcast (a number of rows fixed by ``hot_keys``); left rows of
     those keys are answered by it and carry a salt that spreads them over all tasks of the shuffle
-    join answering the other rows. Adaptive execution cannot do this here: it only splits a skewed
-    join between two plain shuffles, and the right side is usually an aggregate.
+    join answering the other rows.
 
-    All other columns of ``right``, the weight included, are in the result.
+    ``right`` is read twice, so it is stored first: an aggregate behind it runs once. All its other
+    columns, the weight included, are in the result.
     """
+    right = stage(right, "right")
     spark = left.sparkSession
     salts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     values = [c for c in right.columns if c not in keys]
