@@ -67,20 +67,15 @@ class MergeAutomaton:
                 self.after[u] = len(owners) - 1
             else:
                 self._gone[state][v] = time
-        self._arcs: dict[int, bool] = {}
-        self._trie: dict[int, int] = {}
-        self._ends: dict[int, int] = {}
-        nodes = 1
+        # Transition tables: per state the tokens seen so far and whether there is an arc; per node
+        # of the label tree the next nodes by byte, and the token that ends there under -1.
+        self._arcs: list[dict[int, bool]] = [{} for _ in owners]
+        self._tree: dict = {}
         for token in self.after:
-            node = 0
+            node = self._tree
             for byte in labels[token]:
-                key = node << 8 | byte
-                step = self._trie.get(key)
-                if step is None:
-                    step = self._trie[key] = nodes
-                    nodes += 1
-                node = step
-            self._ends[node] = token
+                node = node.setdefault(byte, {})
+            node[-1] = token
 
     def _taken(self, state: int, token: int) -> int:
         """Time when the arc was taken away, or NEVER."""
@@ -105,38 +100,32 @@ class MergeAutomaton:
             token = left
         return True
 
-    def _arc(self, state: int, token: int) -> bool:
-        key = state << 24 | token
-        found = self._arcs.get(key)
-        if found is None:
-            found = self._arcs[key] = self._has(state, token, NEVER)
-        return found
-
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-split word."""
         n = len(word)
-        states, tokens, sizes = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        # The arc that reaches each position, and the state it leads to.
+        states, tokens = [None] * (n + 1), [0] * (n + 1)
         states[0] = 0
-        trie, ends, arcs, after = self._trie, self._ends, self._arcs, self.after
+        tree, arcs, after = self._tree, self._arcs, self.after
         for i in range(n):
-            state, node = states[i], 0
-            for j in range(i, n):
-                node = trie.get(node << 8 | word[j])
+            state, node, j = states[i], tree, i
+            known = arcs[state]
+            for byte in word[i:]:
+                node = node.get(byte)
                 if node is None:
                     break
-                token = ends.get(node)
-                if token is None or states[j + 1] >= 0:
-                    continue
-                found = arcs.get(state << 24 | token)
-                if found is None:
-                    found = self._arc(state, token)
-                if found:
-                    states[j + 1], tokens[j + 1] = after[token], token
-                    sizes[j + 1] = j + 1 - i
-        ids, at = [], n
+                j += 1
+                if states[j] is None and -1 in node:
+                    token = node[-1]
+                    found = known.get(token)
+                    if found is None:
+                        found = known[token] = self._has(state, token, NEVER)
+                    if found:
+                        states[j], tokens[j] = after[token], token
+        ids, at, labels = [], n, self.labels
         while at:
             ids.append(tokens[at])
-            at -= sizes[at]
+            at -= len(labels[tokens[at]])
         ids.reverse()
         return ids
 
@@ -179,8 +168,8 @@ def encode_documents(
         encoder = compiled(path)[1]
         for batch in batches:
             ids = [
-                np.frombuffer(encoder.encode(t.as_py()), encoder.dtype).astype("i4")
-                for t in batch.column("text")
+                np.frombuffer(b, encoder.dtype).astype("i4")
+                for b in encoder.encode_many(batch.column("text").to_pylist())
             ]
             column = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "ids"])
@@ -234,8 +223,8 @@ def round_trip(
         decimal = {i: str(i) for i in labels}.__getitem__
         for batch in batches:
             sizes, said, back = [], [], []
-            for t in batch.column("text"):
-                ids = np.frombuffer(encoder.encode(t.as_py()), encoder.dtype).tolist()
+            for coded in encoder.encode_many(batch.column("text").to_pylist()):
+                ids = np.frombuffer(coded, encoder.dtype).tolist()
                 sizes.append(len(ids))
                 said.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 decoded = b"".join(map(label, ids)).decode("utf-8", "replace")

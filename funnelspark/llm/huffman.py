@@ -178,7 +178,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -
         encoder = library_encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            ids = [encoder.encode(t.as_py()) + end for t in batch.column("text")]
+            ids = [b + end for b in encoder.encode_many(batch.column("text").to_pylist())]
             columns = [batch.column("doc_id"), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"])
 

@@ -178,11 +178,14 @@ def pack_documents(
 
         names, found, held, part = [], [], 0, 0
         for batch in batches:
-            for name, body, number in zip(*[batch.column(c) for c in ("doc_id", "text", "part")]):
-                names.append(name.as_py())
-                found.append(encoder.encode(body.as_py()) + end)
+            if not batch.num_rows:
+                continue
+            part = batch.column("part")[0].as_py()
+            coded = encoder.encode_many(batch.column("text").to_pylist())
+            for name, ids in zip(batch.column("doc_id").to_pylist(), coded):
+                names.append(name)
+                found.append(ids + end)
                 held += len(found[-1]) // encoder.dtype.itemsize
-                part = number.as_py()
                 if held >= SEGMENT:
                     yield flush(part)
                     names, found, held = [], [], 0

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
-import sys
 import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-# Pieces kept per worker; a full cache is emptied and filled anew, which costs time only.
-CACHE_PIECES = 500_000
+# Pieces and words kept per worker; a full cache is emptied and filled anew, which costs time only.
+CACHE_PIECES, CACHE_WORDS = 500_000, 1_000_000
 _FRESH = "\x01"
 
 
@@ -54,9 +55,9 @@ class PieceEncoder:
         pre_split: Callable[[str], list[str]],
         special: dict[str, int],
         dtype: str,
-        limit: int = CACHE_PIECES,
+        limits: tuple[int, int] = (CACHE_PIECES, CACHE_WORDS),
     ):
-        self._words, self._pre_split, self._limit = encode_words, pre_split, limit
+        self._words, self._pre_split, self._limits = encode_words, pre_split, limits
         self.dtype = np.dtype(dtype)
         self._special = {s: np.array([i], dtype).tobytes() for s, i in special.items()}
         names = sorted(map(re.escape, special), key=len, reverse=True)
@@ -74,57 +75,91 @@ class PieceEncoder:
         known = self._known
         missing = [w for w in dict.fromkeys(words) if w not in known]
         if missing:
-            if len(known) + len(missing) > self._limit:
-                known = self._known = {}
-                missing = list(dict.fromkeys(words))
             known.update(zip(missing, self._words(missing)))
         return [known[w] for w in words]
 
-    def _fill(self, chunks: list[str]) -> bool:
-        """Encode pieces not yet known; false if one of them must not stand alone."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self._pieces]
-        if len(self._pieces) + len(new) > self._limit:
-            self._pieces = {}
-            new = list(dict.fromkeys(chunks))
-        texts = []
+    def _fill(self, new: list[str]) -> None:
+        """Encode pieces not yet known. One that must not stand alone gets no entry."""
+        words, good = [], []
         for c in new:
-            body = c[1:] if c[:1] == _FRESH else c
-            if c != "\n" and (not body or body[0].isspace() or body[-1].isspace()):
-                return False
-            texts.append(body if c[:1] == _FRESH or c == "\n" else " " + body)
-        split = [self._split(t) for t in texts]
-        ids = iter(self._lookup([w for words in split for w in words]))
-        for c, words in zip(new, split):
-            self._pieces[sys.intern(c) if len(c) < 4 else c] = b"".join(
-                [next(ids) for _ in words]
-            )
-        return True
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _FRESH not in text:
+            fresh = c[:1] == _FRESH
+            body = c[1:] if fresh else c
+            if c == "\n":
+                words.append(c)
+            elif not body or body[0].isspace() or body[-1].isspace():
+                continue
+            else:
+                text = body if fresh else " " + body
+                latin = c.isascii() or not self._other.search(c)
+                if latin and body.isalpha():
+                    words.append(text)
+                elif latin and body[-1] in ".," and body[:-1].isalpha():
+                    words += (text[:-1], body[-1])
+                else:
+                    words += self._split(text)
+            good.append((c, len(words)))
+        ids, at = self._lookup(words), 0
+        for c, end in good:
+            self._pieces[c] = ids[at] if end == at + 1 else b"".join(ids[at:end])
+            at = end
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special strings."""
+        if len(self._pieces) > self._limits[0]:
+            self._pieces = {}
+        if len(self._known) > self._limits[1]:
+            self._known = {}
+        get, cut, new = self._pieces.get, [], {}
+        for text in texts:
+            if not text or _FRESH in text:
+                cut.append(None)
+                continue
             ends = len(text) > 1 and text[-1] == "\n" and not text[-2].isspace()
             body = text[:-1] if ends else text
             chunks = (_FRESH + body.replace("\n", " \n " + _FRESH)).split(" ")
             if ends:
                 chunks.append("\n")
-            try:
-                return b"".join(map(self._pieces.__getitem__, chunks))
-            except KeyError:
-                if self._fill(chunks):
-                    return b"".join(map(self._pieces.__getitem__, chunks))
-        return b"".join(self._lookup(self._split(text)))
+            found = list(map(get, chunks))
+            holes = [i for i, v in enumerate(found) if v is None] if None in found else ()
+            for i in holes:
+                new[chunks[i]] = None
+            cut.append((chunks, found, holes))
+        if new:
+            self._fill(list(new))
+        out = []
+        for text, parts in zip(texts, cut):
+            if parts is not None:
+                chunks, found, holes = parts
+                for i in holes:
+                    found[i] = get(chunks[i])
+                if not holes or None not in found:
+                    out.append(b"".join(found))
+                    continue
+            out.append(b"".join(self._lookup(self._split(text))) if text else b"")
+        return out
+
+    def encode_many(self, texts: list[str | None], group: int = 200) -> list[bytes]:
+        """Ids of each text as little-endian bytes; none for a null or empty text."""
+        out = []
+        for i in range(0, len(texts), group):
+            some = [t or "" for t in texts[i : i + group]]
+            if self._marks is None:
+                out += self._plain(some)
+                continue
+            # Odd parts are special strings.
+            split = [self._marks.split(t) for t in some]
+            plain = iter(self._plain([p for parts in split for p in parts[::2]]))
+            for parts in split:
+                out.append(
+                    b"".join(
+                        self._special[p] if k % 2 else next(plain) for k, p in enumerate(parts)
+                    )
+                )
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian bytes; none for a null or empty text."""
-        text = text or ""
-        if self._marks is None or not self._marks.search(text):
-            return self._plain(text)
-        parts = self._marks.split(text)
-        return b"".join(
-            self._special[p] if i % 2 else self._plain(p) for i, p in enumerate(parts)
-        )
+        """Ids of one text."""
+        return self.encode_many([text])[0]
 
 
 def read_vocabulary(path: str) -> dict:
@@ -166,6 +201,8 @@ def library_splitter(path: str) -> Callable[[str], list[str]]:
 @functools.lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceEncoder:
     """Encoder whose ids come from the tokenizers library; one per worker and file."""
+    # Spark runs one worker per core; threads of the library would only compete with them.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     said = read_vocabulary(path)
@@ -173,10 +210,11 @@ def library_encoder(path: str) -> PieceEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     dtype = id_type(said)
+    dtype_code = "H" if dtype == "<u2" else "I"
 
     def encode_words(words: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype).tobytes() for e in found]
+        return [array(dtype_code, e.ids).tobytes() for e in found]
 
     special = {t["content"]: t["id"] for t in said["added_tokens"]}
     return PieceEncoder(encode_words, library_splitter(path), special, dtype)
