@@ -71,6 +71,7 @@ class MergeAutomaton:
         # of the label tree the next nodes by byte, and the token that ends there under -1.
         self._arcs: list[dict[int, bool]] = [{} for _ in owners]
         self._tree: dict = {}
+        self._longest = max(map(len, labels.values()), default=0)
         for token in self.after:
             node = self._tree
             for byte in labels[token]:
@@ -110,7 +111,7 @@ class MergeAutomaton:
         for i in range(n):
             state, node, j = states[i], tree, i
             known = arcs[state]
-            for byte in word[i:]:
+            for byte in word[i : i + self._longest]:
                 node = node.get(byte)
                 if node is None:
                     break

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["q_native", "q_tokens"]
+MODULES = ["q_native", "q_tokens", "q_dedup"]
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
 
