@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import ann, toxicity
 from .registry import query, table
 
 
@@ -20,3 +20,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "predicted",
     )
+
+
+@query("op6_nearest_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
