@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .hashing import mix
 
-# Text per chunk, and counters merged in one task, about.
-CHUNK_BYTES = 16 << 20
-BUCKET_COUNTERS = 1 << 21
+# Text per chunk, and counters per row of a bucket: at most, and, to use all tasks, at least.
+CHUNK_BYTES = (16 << 20, 1 << 19)
+BUCKET_COUNTERS = (1 << 21, 1 << 16)
 MOST = 255
 
 BLOCKS = "chunk int, line int, bucket int, counters binary, counts binary"
@@ -43,11 +43,14 @@ def layout(docs: DataFrame, text: str, rows: int, per_window: int) -> Layout:
     """
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     tasks = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Four groups per task even out what a hash deals.
-    chunks = max(4 * tasks, -(-size // CHUNK_BYTES))
     words = max(1, size // 5)
+
+    def pieces(amount: int, most: int, least: int) -> int:
+        # Four groups per task even out what a hash deals; small ones would only make many blocks.
+        return max(1, -(-amount // most), min(4 * tasks, amount // least))
+
+    chunks, buckets = pieces(size, *CHUNK_BYTES), pieces(words, *BUCKET_COUNTERS)
     bits = max(16, (per_window * words - 1).bit_length())
-    buckets = max(4 * tasks, words // BUCKET_COUNTERS)
     return Layout(rows, bits, min(bits, (buckets - 1).bit_length()), chunks)
 
 
