@@ -30,6 +30,11 @@ def n_dup_lines(text: Column) -> Column:
     return F.size(lines) - F.size(F.array_distinct(lines))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def window_hashes(words: Column, size: int = WINDOW) -> Column:
     """64-bit hash of every window of consecutive words."""
     return F.when(
@@ -41,110 +46,102 @@ def window_hashes(words: Column, size: int = WINDOW) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_repeat_words(df: DataFrame, out: str, guard: Column, size: int = WINDOW) -> DataFrame:
-    """Add the number of words in windows found twice or more, where ``guard`` holds.
+def n_repeat_words(words: Column, size: int = WINDOW) -> Column:
+    """Words in windows that are found twice or more.
 
     Hashes are compared by sorting, so the work is n log n in a text's words. Only texts with a
     repeated hash are sorted.
     """
-    df = df.withColumn("_hashes", F.when(guard, window_hashes(F.col("_words"), size)))
-    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    df = df.withColumn(
-        "_sorted",
-        F.when(
-            guard & repeats,
-            F.sort_array(
-                F.transform("_hashes", lambda x, i: F.struct(x.alias("h"), i.alias("i")))
-            ),
-        ),
-    ).drop("_hashes")
-    s = F.col("_sorted")
-    twice = F.filter(
-        s,
-        lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]),
-    )
-    df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("_sorted")
-    at = F.col("_at")
-    steps = F.transform(
-        at, lambda p, j: F.least(F.lit(size), F.coalesce(F.get(at, j + 1) - p, F.lit(size)))
-    )
-    total = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-    return df.withColumn(out, F.when(guard, F.coalesce(total, F.lit(0)))).drop("_at")
-
+    def covered(at: Column) -> Column:
+        # Each repeated window covers its words up to the next repeated window.
+        steps = F.transform(
+            at, lambda p, j: F.least(F.lit(size), F.coalesce(F.get(at, j + 1) - p, F.lit(size)))
+        )
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-@dataclass(frozen=True)
-class Rule:
-    """A feature, when it rejects, and the work it takes in characters scanned or the like.
+    def repeated(s: Column) -> Column:
+        twice = F.filter(
+            s, lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"])
+        )
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
-    ``feature`` adds the column ``name`` where a guard holds; ``rejects`` tests that column.
-    """
+    def count(hashes: Column) -> Column:
+        pairs = F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        found = let(F.sort_array(pairs), lambda s: let(repeated(s), covered))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), found).otherwise(0)
 
-    name: str
-    feature: Callable[[DataFrame, str, Column], DataFrame]
-    rejects: Callable[[Column], Column]
-    work: Callable[[], Column]
+    return let(window_hashes(words, size), count)
 
 
-def _plain(expression: Callable[[], Column]):
-    return lambda df, out, guard: df.withColumn(out, F.when(guard, expression()))
+@dataclass(frozen=True)
+class Rule:
+    """A feature of (text, words), when its value rejects, and the work it takes."""
 
+    name: str
+    feature: Callable[[Column, Column], Column]
+    rejects: Callable[[Column, Column, Column], Column]
+    work: Callable[[Column, Column], Column]
 
-def _chars(passes: float) -> Callable[[], Column]:
-    return lambda: F.length("_text") * F.lit(passes)
+    def hit(self, text: Column, words: Column) -> Column:
+        return let(self.feature(text, words), lambda v: self.rejects(v, text, words))
 
 
-def _per_word(steps: float) -> Callable[[], Column]:
-    return lambda: F.size("_words") * F.lit(steps)
+def _chars(passes: float) -> Callable[[Column, Column], Column]:
+    return lambda t, w: F.length(t) * F.lit(passes)
 
 
-def _stutters() -> Column:
-    w = F.col("_words")
-    return F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))
+def _per_word(steps: float) -> Callable[[Column, Column], Column]:
+    return lambda t, w: F.size(w) * F.lit(steps)
 
 
 # The work of a feature is in passes over the text's characters or steps per word, as measured
 # once for the functions used here; the sample gives the number of characters and words.
 RULES = [
-    Rule("n_words", _plain(lambda: F.size("_words")), lambda v: v < 20, lambda: F.lit(1.0)),
+    Rule(
+        "n_words", lambda t, w: F.size(w), lambda v, t, w: v < 20, lambda t, w: F.lit(1.0)
+    ),
     Rule(
         "n_symbols",
-        _plain(lambda: _count(F.col("_text"), SYMBOLS)),
-        lambda v: v * 10 > F.size("_words"),
+        lambda t, w: _count(t, SYMBOLS),
+        lambda v, t, w: v * 10 > F.size(w),
         _chars(1.0),
     ),
     Rule(
         "n_exclamations",
-        _plain(lambda: _count(F.col("_text"), "!")),
-        lambda v: v * 5 > F.size("_words"),
+        lambda t, w: _count(t, "!"),
+        lambda v, t, w: v * 5 > F.size(w),
         _chars(1.0),
     ),
     Rule(
         "n_upper",
-        _plain(lambda: F.length(F.regexp_replace("_text", r"[^\p{Lu}]", ""))),
-        lambda v: v * 2 > F.length(F.regexp_replace("_text", r"[^\p{L}]", "")),
-        _chars(8.0),
+        lambda t, w: F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
+        lambda v, t, w: v * 2 > F.length(F.regexp_replace(t, r"[^\p{L}]+", "")),
+        _chars(4.0),
     ),
     Rule(
         "n_dup_lines",
-        _plain(lambda: n_dup_lines(F.col("_text"))),
-        lambda v: v * 3 > F.size(F.split("_text", "\n", -1)),
+        lambda t, w: n_dup_lines(t),
+        lambda v, t, w: v * 3 > F.size(F.split(t, "\n", -1)),
         _chars(2.0),
     ),
-    Rule("n_stutters", _plain(_stutters), lambda v: v * 10 > F.size("_words") * 3, _per_word(2.0)),
+    Rule(
+        "n_stutters",
+        lambda t, w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))),
+        lambda v, t, w: v * 10 > F.size(w) * 3,
+        _per_word(2.0),
+    ),
     Rule(
         "n_repeat_words",
-        with_repeat_words,
-        lambda v: v * 100 > F.size("_words") * 30,
+        lambda t, w: n_repeat_words(w),
+        lambda v, t, w: v * 100 > F.size(w) * 30,
         _per_word(16.0),
     ),
 ]
 BASE = ("n_words", "n_repeat_words")
 
 
-def prepared(docs: DataFrame, text: str) -> DataFrame:
-    """Input with ``_text`` (null: empty) and ``_words``."""
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.withColumn("_text", whole).withColumn("_words", word_array(F.col("_text")))
+def _whole(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
 
 def measure_rules(
@@ -156,15 +153,17 @@ def measure_rules(
     The sample only sets the order of the rules, never a verdict.
     """
     share = min(1.0, sample_rows / max(1, docs.count()))
-    df = prepared(docs.select(F.col(f"`{text}`").alias("text")).sample(share, seed), "text")
-    for rule in rules:
-        df = rule.feature(df, f"_f_{rule.name}", F.lit(True))
-    row = df.agg(
-        *[F.avg(r.work()).alias(f"w_{r.name}") for r in rules],
-        *[
-            F.avg(r.rejects(F.col(f"_f_{r.name}")).cast("double")).alias(f"s_{r.name}")
-            for r in rules
-        ],
+
+    def figures(t: Column, w: Column) -> Column:
+        return F.struct(
+            *[r.work(t, w).cast("double").alias(f"w_{r.name}") for r in rules],
+            *[r.hit(t, w).cast("double").alias(f"s_{r.name}") for r in rules],
+        )
+
+    seen = let(_whole(text), lambda t: let(word_array(t), lambda w: figures(t, w)))
+    names = [f"{k}_{r.name}" for r in rules for k in "ws"]
+    row = docs.sample(share, seed).select(seen.alias("f")).agg(
+        *[F.avg(f"f.{n}").alias(n) for n in names]
     ).first()
     return {r.name: (row[f"w_{r.name}"] or 0.0, row[f"s_{r.name}"] or 0.0) for r in rules}
 
@@ -178,32 +177,29 @@ def cascade_order(rules: list[Rule], measured: dict[str, tuple[float, float]]) -
     return sorted(rules, key=key)
 
 
-def apply_cascade(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """``docs`` with ``rejected_by``: the first rule, in the given order, that rejects, or null.
+def first_rejection(rules: list[Rule], text: Column, words: Column) -> Column:
+    """Name of the first rule, in the given order, that rejects; null if none does.
 
-    A rule's feature is computed only for documents that all earlier rules passed. Null and empty
-    texts have no words. Input columns stay as they are; one named ``rejected_by`` is replaced.
+    A rule's feature is computed only if all rules before it let the document pass.
     """
-    columns = [c for c in docs.columns if c != "rejected_by"]
-    df = prepared(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
-                    F.col(f"`{text}`").alias("_text")), "_text"
-    ).withColumn("_by", F.lit(None).cast("string"))
+    out = None
     for rule in rules:
-        value = f"_f_{rule.name}"
-        df = rule.feature(df, value, F.col("_by").isNull())
-        hit = F.col("_by").isNull() & rule.rejects(F.col(value))
-        df = df.withColumn("_by", F.when(hit, F.lit(rule.name)).otherwise(F.col("_by")))
-        df = df.drop(value)
-    return df.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in columns], F.col("_by").alias("rejected_by")
-    )
+        hit = rule.hit(text, words)
+        out = F.when(hit, F.lit(rule.name)) if out is None else out.when(hit, F.lit(rule.name))
+    return F.lit(None).cast("string") if out is None else out
 
 
 def filter_quality(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
-    """Documents with ``rejected_by``, by the cascade in the order the sample suggests."""
+    """``docs`` with ``rejected_by``, the rule of the cascade that rejects, or null.
+
+    Rules run in the order that the sample suggests. Null and empty texts have no words. Input columns
+    stay as they are; one named ``rejected_by`` is replaced.
+    """
     order = cascade_order(rules, measure_rules(docs, rules, text))
-    return apply_cascade(docs, order, text)
+    verdict = let(
+        _whole(text), lambda t: let(word_array(t), lambda w: first_rejection(order, t, w))
+    )
+    return docs.withColumn("rejected_by", verdict)
 
 
 def quality_report(
@@ -218,31 +214,22 @@ def quality_report(
     of the cascade in its order.
     """
     rest = [r for r in cascade_order(rules, measure_rules(docs, rules, text)) if r.name not in BASE]
-    df = prepared(
-        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text")), "_text"
-    )
-    words, whole = F.col("_words"), F.col("_text")
-    df = with_repeat_words(df, "n_repeat_words", F.lit(True))
-    n = F.size(words)
-    failed = (n < 20) | (F.col("n_repeat_words") * 100 > n * 30)
-    df = df.withColumn("base_failed", failed).withColumn(
-        "_by", F.when(F.col("base_failed"), F.lit("base"))
-    )
-    for rule in rest:
-        value = f"_f_{rule.name}"
-        df = rule.feature(df, value, F.col("_by").isNull())
-        hit = F.col("_by").isNull() & rule.rejects(F.col(value))
-        df = df.withColumn("_by", F.when(hit, F.lit(rule.name)).otherwise(F.col("_by")))
-        df = df.drop(value)
-    chars = F.length(F.array_join(words, ""))
-    return df.select(
-        "doc_id",
-        n.cast("bigint").alias("n_words"),
-        chars.cast("bigint").alias("word_chars"),
-        _count(whole, SYMBOLS).cast("bigint").alias("n_symbols"),
-        n_dup_lines(whole).cast("bigint").alias("n_dup_lines"),
-        F.col("n_repeat_words").cast("bigint").alias("n_repeat_words"),
-        "base_failed",
-        F.col("_by").isNull().alias("kept"),
-        F.col("_by").alias("rejected_by"),
+
+    def report(t: Column, w: Column, repeats: Column) -> Column:
+        failed = (F.size(w) < 20) | (repeats * 100 > F.size(w) * 30)
+        return F.struct(
+            F.size(w).cast("bigint").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+            _count(t, SYMBOLS).cast("bigint").alias("n_symbols"),
+            n_dup_lines(t).cast("bigint").alias("n_dup_lines"),
+            repeats.cast("bigint").alias("n_repeat_words"),
+            failed.alias("base_failed"),
+            F.when(failed, F.lit("base")).otherwise(first_rejection(rest, t, w)).alias("rejected_by"),
+        )
+
+    whole = let(
+        _whole(text),
+        lambda t: let(word_array(t), lambda w: let(n_repeat_words(w), lambda r: report(t, w, r))),
     )
+    seen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), whole.alias("_r"))
+    return seen.select("doc_id", "_r.*").withColumn("kept", F.col("rejected_by").isNull())

@@ -74,7 +74,7 @@ def _exact(repeated: DataFrame) -> DataFrame:
 
 def dedup_substrings(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, whole: bool = False,
 ) -> DataFrame:
     """doc_id, the ``keep`` columns, text (kept words joined by one space), n_words, n_removed.
 
@@ -82,7 +82,8 @@ def dedup_substrings(
     id, or earlier in the same one. Windows are those of the input. One row per input row. Null and
     empty texts have no words and an empty text. Rows of equal id are taken in order of their texts, so of
     repeated rows the first keeps its words. Rows without an id come after all others, in the order
-    of a hash of their texts. Kept columns named like result columns are replaced.
+    of a hash of their texts. With ``whole``, a text that loses no word stays as it is, line ends and
+    all. Kept columns named like result columns are replaced.
     """
     added = [doc_id, "text", "n_words", "n_removed"]
     keep = [c for c in (keep or []) if c not in added]
@@ -162,12 +163,15 @@ def dedup_substrings(
         texts, removed = [], []
         for body, b, n in zip(table.column("text").to_pylist(), ends.tolist(), words.tolist()):
             mask = stays[b - n : b]
-            left = body.encode().split()
             gone = n - int(mask.sum())
+            removed.append(gone)
+            if whole and not gone:
+                texts.append(body)
+                continue
+            left = body.encode().split()
             if gone:
-                left = list(compress(left, mask.tolist()))
+                left = compress(left, mask.tolist())
             texts.append(b" ".join(left).decode())
-            removed.append(gone)
         return pa.Table.from_arrays(
             [table.column("kept"), pa.array(texts, pa.string()), pa.array(words, pa.int64()),
              pa.array(removed, pa.int64())],

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Labelled rows used to fit at most, about: half for the lexicon, half for the final weights.
+# Labelled rows used to fit, about, at most.
 FIT_ROWS = 20_000
 LEXICON = 5_000
 # A word or stem enters the lexicon above this lower bound of its log odds.
@@ -255,23 +255,40 @@ def _evidence(batches):
     yield pa.RecordBatch.from_arrays(columns, ["item", "t0", "c0", "t1", "c1"])
 
 
-def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit lexicon and weights on (doc_id, text, toxic).
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learned from: crc32 of the decimal id leaves 1 modulo 3."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(text, toxic, half) of about ``fit_rows`` labelled documents that may be learned from.
+
+    They are chosen by a hash of doc_id, which also halves them. Repeated labels count once, a
+    toxic one first; null labels and ids do not count. The labels in use are few by that bound and
+    go to all tasks, so the documents are not shuffled.
+    """
+    some = labels.filter("toxic is not null and doc_id is not null")
+    some = some.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
+        (F.max("toxic") > 0).alias("toxic")
+    )
+    some = some.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    share = min(1.0, fit_rows / max(1, some.count()))
+    used = some.filter(F.col("_h") < math.ceil((1 << 20) * share))
+    used = used.select(F.col("doc_id").alias("_id"), "toxic", (F.col("_h") % 2).cast("int").alias("half"))
+    return docs.select("doc_id", "text").join(
+        F.broadcast(used), F.col("doc_id") == F.col("_id")
+    ).select("text", "toxic", "half")
+
 
-    About ``fit_rows`` rows are used, chosen by a hash of doc_id. The weights of the clause scores
-    are fitted on one half with a lexicon of the other, so that they don't trust a lexicon too
-    much; the lexicon that is kept is learned on both. Without rows of both labels the seed words
-    and fixed weights are used.
+def learn(used: DataFrame) -> Model:
+    """Fit lexicon and weights on (text, toxic, half) rows, which ``training_rows`` bounds.
+
+    The weights of the clause scores are fitted on one half with a lexicon of the other, so that they
+    don't trust a lexicon too much; the lexicon that is kept is learned on both. Without rows of both
+    labels in both halves the seed words and fixed weights are used.
     """
     import numpy as np
 
-    labelled = labelled.filter("toxic is not null").select(
-        "text", (F.col("toxic") > 0).alias("toxic"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("_h"),
-    )
-    n = labelled.count()
-    used = labelled.filter(F.col("_h") < math.ceil((1 << 20) * min(1.0, fit_rows / max(1, n))))
-    used = used.select("text", "toxic", (F.col("_h") % 2).cast("int").alias("half"))
     sizes = {(r["half"], r["toxic"]): r["count"] for r in used.groupBy("half", "toxic").count().collect()}
     seeds = {"=" + w: SEED_WEIGHT for w in SEED_INSULTS.split()}
     if not all(sizes.get((h, t)) for h in (0, 1) for t in (False, True)):
@@ -346,12 +363,18 @@ def score_toxicity(
     return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows whose labels are never learned from: crc32 of the decimal id leaves 1 modulo 3."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+def score_column(model: Model, text: Column) -> Column:
+    """Score of a text as a column, for filters that keep the other columns where they are."""
+    from collections.abc import Iterator
 
+    import pandas as pd
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        scorer, weights = Scorer(model.lexicon), np.array(model.weights)
+        for some in texts:
+            x = np.array([scorer.features(t) for t in some]).reshape(-1, len(weights))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents that may be learned from."""
-    open_ = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(open_, "doc_id")
+    return F.pandas_udf(run, "double")(text)
