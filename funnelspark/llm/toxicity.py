@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -365,10 +367,6 @@ def score_toxicity(
 
 def score_column(model: Model, text: Column) -> Column:
     """Score of a text as a column, for filters that keep the other columns where they are."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
