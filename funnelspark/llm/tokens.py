@@ -1,9 +1,8 @@
-"""Token ids of texts, piece by piece, with caches of bounded size.
+"""Token ids of texts, by a table of the words seen so far.
 
-A text is cut where the pre-split pattern of byte-level BPE must cut as well: before a single space
-between two other characters, and around a single line end between two others. Equal pieces
-then have equal ids wherever they stand, so each worker encodes a piece once and looks it up after.
-Texts that cannot be cut this way (runs of blanks) are pre-split as a whole.
+Whole groups of texts are cut at once: the classes of their characters say where the pre-split
+pattern of byte-level BPE starts a word, a hash of its characters finds the word's ids in a table, and only new
+words are encoded. Texts with characters beyond Latin are pre-split one by one.
 """
 
 from __future__ import annotations
@@ -11,34 +10,145 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import unicodedata
+import re
 from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-# Pieces and words kept per worker; a full cache is emptied and filled anew, which costs time only.
-CACHE_PIECES, CACHE_WORDS = 500_000, 1_000_000
-_FRESH = "\x01"
+from .hashing import BASES, mix, runs
 
-
-def _class_of(kind: str, top: int = 0x250) -> str:
-    """Regular-expression class of all characters below ``top`` in a Unicode category."""
-    return "".join(
-        re.escape(chr(c)) for c in range(top) if unicodedata.category(chr(c)).startswith(kind)
-    )
+# Words kept per worker; a full table is emptied and filled anew, which costs time only.
+TABLE_WORDS = 3_000_000
+# Characters cut at once.
+GROUP_CHARS = 1 << 18
+TOP = 0x250
+NONE, LETTER, NUMBER, SPACE, BLANK, OTHER, BEYOND = range(7)
 
 
 @functools.cache
-def _latin_pattern() -> tuple[re.Pattern, re.Pattern]:
-    """The pre-split pattern for Latin text, and one that finds any other character."""
-    letters, numbers = _class_of("L"), _class_of("N")
-    split = (
-        rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+"
-        r"|\s+(?!\S)|\s+"
+def _classes() -> np.ndarray:
+    """Class of each character below TOP; the last entry stands for all others."""
+    out = np.full(TOP + 1, OTHER, dtype=np.uint8)
+    for c in range(TOP):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LN":
+            out[c] = LETTER if kind == "L" else NUMBER
+    out[[*range(0x09, 0x0E), 0x85, 0xA0]] = BLANK
+    out[0x20] = SPACE
+    # Control characters, on which notions of white space differ.
+    out[[*range(0x00, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0), TOP]] = BEYOND
+    return out
+
+
+def word_starts(points: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where a word of the pre-split pattern starts, for texts laid end to end.
+
+    ``points`` are characters, ``kinds`` their classes, ``first`` the positions where texts begin.
+    A word is a run of one class with at most one space before it. Of a run of white space the last
+    character is a word of its own, or the space before the next word. After a letter, number or
+    blank, ``'s`` and its like are words.
+    """
+    n = len(points)
+    before = np.empty(n, dtype=np.uint8)
+    before[1:] = kinds[:-1]
+    before[first] = NONE
+    after = np.empty(n, dtype=np.uint8)
+    after[:-1] = kinds[1:]
+    after[-1] = NONE
+    after[first[1:] - 1] = NONE
+    blank = (kinds == SPACE) | (kinds == BLANK)
+    blank_before = (before == SPACE) | (before == BLANK)
+    blank_after = (after == SPACE) | (after == BLANK) | (after == NONE)
+    start = np.where(
+        blank,
+        ~blank_before | ~blank_after,
+        (before == BLANK) | (~blank_before & (before != kinds)),
     )
-    return re.compile(split), re.compile("[^\t-\r -~\x85\xa0-ɏ]")
+    quote = np.flatnonzero((points == ord("'")) & (before != SPACE) & (before != OTHER) & (after == LETTER))
+    if len(quote):
+        padded = np.append(points, [0, 0])
+        one, two = padded[quote + 1], padded[quote + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        same = np.append(after, NONE)[quote + 1] == LETTER
+        long = same & (
+            ((one == ord("r")) & (two == ord("e")))
+            | ((one == ord("v")) & (two == ord("e")))
+            | ((one == ord("l")) & (two == ord("l")))
+        )
+        end = quote[short | long] + np.where(short, 2, 3)[short | long]
+        start[quote[short | long] + 1] = False
+        inside = end[end < n]
+        inside = inside[(before[inside] != NONE) & ~blank[inside]]
+        start[inside] = True
+    return start
+
+
+class WordTable:
+    """Hash table from the 64-bit hash of a word to its ids, in arrays."""
+
+    def __init__(self, dtype: np.dtype, bits: int = 16):
+        self.dtype, self.bits, self.count = dtype, bits, 0
+        self._keys = np.zeros(1 << bits, np.uint64)
+        self._entry = np.zeros(1 << bits, np.int32)
+        self._ends = np.zeros(1 << 12, np.int64)
+        self._ids = np.zeros(1 << 14, dtype)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 if it has none. Keys are never 0."""
+        mask = (1 << self.bits) - 1
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            there = self._keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self._entry[slot[hit]]
+            go = ~hit & (there != 0)
+            left, slot = left[go], (slot[go] + 1) & mask
+        return out
+
+    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            free = self._keys[slot] == 0
+            # Of several new keys for a slot, the one that is written last gets it.
+            self._keys[slot[free]] = keys[free]
+            got = self._keys[slot] == keys
+            self._entry[slot[got]] = entries[got]
+            keys, entries, slot = keys[~got], entries[~got], (slot[~got] + 1) & mask
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Enter different keys that are not there yet."""
+        n = self.count + len(keys)
+        while 2 * n > 1 << self.bits:
+            held = np.flatnonzero(self._keys)
+            old, entries = self._keys[held], self._entry[held]
+            self.bits += 1
+            self._keys = np.zeros(1 << self.bits, np.uint64)
+            self._entry = np.zeros(1 << self.bits, np.int32)
+            self._place(old, entries)
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        base = int(self._ends[self.count - 1]) if self.count else 0
+        if n > len(self._ends):
+            self._ends = np.concatenate([self._ends, np.zeros(max(n, len(self._ends)), np.int64)])
+        while base + len(flat) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros(len(self._ids), self.dtype)])
+        self._ends[self.count : n] = base + np.cumsum(sizes)
+        self._ids[base : base + len(flat)] = flat
+        self._place(keys, np.arange(self.count, n, dtype=np.int32))
+        self.count = n
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all entries in a row, number of ids of each)."""
+        ends = self._ends[entries]
+        sizes = ends - np.where(entries > 0, self._ends[entries - 1], 0)
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        return self._ids[np.repeat(ends - upto, sizes) + np.arange(total)], sizes
 
 
 class PieceEncoder:
@@ -55,107 +165,84 @@ class PieceEncoder:
         pre_split: Callable[[str], list[str]],
         special: dict[str, int],
         dtype: str,
-        limits: tuple[int, int] = (CACHE_PIECES, CACHE_WORDS),
+        limit: int = TABLE_WORDS,
     ):
-        self._words, self._pre_split, self._limits = encode_words, pre_split, limits
+        self._words, self._pre_split, self._limit = encode_words, pre_split, limit
         self.dtype = np.dtype(dtype)
         self._special = {s: np.array([i], dtype).tobytes() for s, i in special.items()}
         names = sorted(map(re.escape, special), key=len, reverse=True)
         self._marks = re.compile(f"({'|'.join(names)})") if names else None
-        self._pieces: dict[str, bytes] = {}
-        self._known: dict[str, bytes] = {}
-        self._latin, self._other = _latin_pattern()
-
-    def _split(self, text: str) -> list[str]:
-        if self._other.search(text):
-            return self._pre_split(text)
-        return self._latin.findall(text)
-
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        known = self._known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            known.update(zip(missing, self._words(missing)))
-        return [known[w] for w in words]
-
-    def _fill(self, new: list[str]) -> None:
-        """Encode pieces not yet known. One that must not stand alone gets no entry."""
-        words, good = [], []
-        for c in new:
-            fresh = c[:1] == _FRESH
-            body = c[1:] if fresh else c
-            if c == "\n":
-                words.append(c)
-            elif not body or body[0].isspace() or body[-1].isspace():
-                continue
-            else:
-                text = body if fresh else " " + body
-                latin = c.isascii() or not self._other.search(c)
-                if latin and body.isalpha():
-                    words.append(text)
-                elif latin and body[-1] in ".," and body[:-1].isalpha():
-                    words += (text[:-1], body[-1])
-                else:
-                    words += self._split(text)
-            good.append((c, len(words)))
-        ids, at = self._lookup(words), 0
-        for c, end in good:
-            self._pieces[c] = ids[at] if end == at + 1 else b"".join(ids[at:end])
-            at = end
+        self._table = WordTable(self.dtype)
+
+    def _latin(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts laid end to end; None for those with characters beyond Latin."""
+        whole = "".join(texts)
+        if not whole:
+            return [b""] * len(texts)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = _classes()[np.minimum(points, TOP)]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        first = (ends - sizes)[sizes > 0]
+        start = np.flatnonzero(word_starts(points, kinds, first))
+        stop = np.append(start[1:], len(points))
+        keys = runs(points.astype(np.uint64) + np.uint64(1), start, stop, BASES[0])
+        keys = mix(keys ^ (stop - start).astype(np.uint64)) | np.uint64(1)
+        odd = np.flatnonzero(kinds == BEYOND)
+        bad = np.zeros(len(texts), dtype=bool)
+        bad[np.searchsorted(ends, odd, side="right")] = True
+        cut = np.searchsorted(start, ends)
+        words = np.diff(cut, prepend=0)
+        if self._table.count > self._limit:
+            self._table = WordTable(self.dtype)
+        entry = self._table.find(keys)
+        missing = np.flatnonzero((entry < 0) & ~np.repeat(bad, words))
+        if len(missing):
+            new, at = np.unique(keys[missing], return_index=True)
+            at = missing[at]
+            said = [whole[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]
+            self._table.add(new, self._words(said))
+            entry[missing] = self._table.find(keys[missing])
+        entry[entry < 0] = 0
+        ids, counts = self._table.gather(entry) if self._table.count else (np.zeros(0, self.dtype), entry * 0)
+        upto = np.concatenate([[0], np.cumsum(counts)])[cut].tolist()
+        data = memoryview(ids.tobytes())
+        width = self.dtype.itemsize
+        return [
+            None if b else bytes(data[width * lo : width * hi])
+            for b, lo, hi in zip(bad.tolist(), [0, *upto[:-1]], upto)
+        ]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special strings."""
-        if len(self._pieces) > self._limits[0]:
-            self._pieces = {}
-        if len(self._known) > self._limits[1]:
-            self._known = {}
-        get, cut, new = self._pieces.get, [], {}
+        out, held, size = [], [], 0
         for text in texts:
-            if not text or _FRESH in text:
-                cut.append(None)
-                continue
-            ends = len(text) > 1 and text[-1] == "\n" and not text[-2].isspace()
-            body = text[:-1] if ends else text
-            chunks = (_FRESH + body.replace("\n", " \n " + _FRESH)).split(" ")
-            if ends:
-                chunks.append("\n")
-            found = list(map(get, chunks))
-            holes = [i for i, v in enumerate(found) if v is None] if None in found else ()
-            for i in holes:
-                new[chunks[i]] = None
-            cut.append((chunks, found, holes))
-        if new:
-            self._fill(list(new))
-        out = []
-        for text, parts in zip(texts, cut):
-            if parts is not None:
-                chunks, found, holes = parts
-                for i in holes:
-                    found[i] = get(chunks[i])
-                if not holes or None not in found:
-                    out.append(b"".join(found))
-                    continue
-            out.append(b"".join(self._lookup(self._split(text))) if text else b"")
+            held.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                out += self._latin(held)
+                held, size = [], 0
+        if held:
+            out += self._latin(held)
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                out[i] = b"".join(self._words(self._pre_split(text)))
         return out
 
-    def encode_many(self, texts: list[str | None], group: int = 200) -> list[bytes]:
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes; none for a null or empty text."""
-        out = []
-        for i in range(0, len(texts), group):
-            some = [t or "" for t in texts[i : i + group]]
-            if self._marks is None:
-                out += self._plain(some)
-                continue
-            # Odd parts are special strings.
-            split = [self._marks.split(t) for t in some]
-            plain = iter(self._plain([p for parts in split for p in parts[::2]]))
-            for parts in split:
-                out.append(
-                    b"".join(
-                        self._special[p] if k % 2 else next(plain) for k, p in enumerate(parts)
-                    )
-                )
-        return out
+        texts = [t or "" for t in texts]
+        if self._marks is None:
+            return self._plain(texts)
+        # Odd parts are special strings.
+        split = [self._marks.split(t) for t in texts]
+        plain = iter(self._plain([p for parts in split for p in parts[::2]]))
+        return [
+            next(plain) if len(parts) == 1 else b"".join(
+                [self._special[p] if k % 2 else next(plain) for k, p in enumerate(parts)]
+            )
+            for parts in split
+        ]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text."""
