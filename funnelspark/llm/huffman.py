@@ -1,8 +1,8 @@
 """Token-id files in canonical length-limited Huffman code.
 
 Ids are counted over the whole corpus, code lengths come from package-merge, and codes are given
-out in order of (length, id), so a file needs only the lengths. Documents are coded on their own and
-collected into blocks in ascending order of doc_id. Every ``STEP`` ids the bit offset is noted, and
+out in order of (length, id), so a file needs only the lengths. Documents are taken in
+ascending order of doc_id and coded in blocks, each from a whole byte on. Every ``STEP`` ids the bit offset is noted, and
 decoding starts at all these checkpoints at once: one table lookup per id and checkpoint.
 """
 
@@ -15,16 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage, staging_path
+from ..session import staging_path
 from .ranges import in_order, totals_before
 from .tokens import library_encoder
 
 MAX_BITS = 18
 STEP = 512
-BLOCK_BYTES = 1 << 20
+BLOCK_IDS = 1 << 18
 
-TOKENS = "doc_id bigint, ids binary"
-CODED = "doc_id bigint, n_tokens bigint, payload binary, offsets array<int>"
+TOKENS = (
+    "part int, block int, doc_ids array<bigint>, n_tokens array<bigint>, before bigint, ids binary"
+)
 BLOCKS = (
     "part int, block int, doc_ids array<bigint>, n_tokens array<bigint>, before bigint, "
     "payload binary, offsets array<int>"
@@ -103,16 +104,25 @@ def decode_table(lengths: bytes):
     return bits, ids, sizes
 
 
-def encode_ids(ids, codes, lengths, step: int = STEP):
-    """(payload, bit offset of every ``step``-th id). The payload fills whole bytes."""
+def encode_ids(ids, sizes, codes, lengths, step: int = STEP):
+    """(payload, offsets) of consecutive documents with ``sizes`` ids each.
+
+    A document starts at a whole byte. Offsets are the bits before every ``step``-th id of a document.
+    """
     import numpy as np
 
+    sizes = np.asarray(sizes, dtype=np.int64)
     if not len(ids):
-        return b"", []
-    sizes = lengths[ids].astype(np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    word, left = starts >> 6, 64 - (starts & 63) - sizes
+        return b"", np.zeros(0, np.int64)
+    bits = lengths[ids].astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(bits)])
+    last = np.cumsum(sizes)
+    first = last - sizes
+    room = (upto[last] - upto[first] + 7) // 8 * 8
+    shift = np.cumsum(room) - room - upto[first]
+    starts = upto[:-1] + np.repeat(shift, sizes)
+    total = int(room.sum())
+    word, left = starts >> 6, 64 - (starts & 63) - bits
     code = codes[ids]
     over = left < 0
     high = np.where(
@@ -120,13 +130,13 @@ def encode_ids(ids, codes, lengths, step: int = STEP):
         code >> np.where(over, -left, 0).astype(np.uint64),
         code << np.where(over, 0, left).astype(np.uint64),
     )
-    out = np.zeros((int(ends[-1]) + 63) // 64 + 1, dtype=np.uint64)
-    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    out[word[first]] = np.bitwise_or.reduceat(high, first)
+    out = np.zeros(total // 64 + 2, dtype=np.uint64)
+    turn = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    out[word[turn]] = np.bitwise_or.reduceat(high, turn)
     # At most one code reaches over the end of a word.
     out[word[over] + 1] |= code[over] << (64 + left[over]).astype(np.uint64)
-    payload = out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8]
-    return payload, starts[::step].tolist()
+    place = np.arange(len(ids)) - np.repeat(first, sizes)
+    return out.astype(">u8").tobytes()[: total // 8], starts[place % step == 0]
 
 
 def decode_ids(payload: bytes, offsets, sizes, lengths: bytes, step: int = STEP):
@@ -165,11 +175,18 @@ def decode_ids(payload: bytes, offsets, sizes, lengths: bytes, step: int = STEP)
     return out
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, ids): the ids of each row's text and ``end_id``, as little-endian bytes."""
+def token_blocks(
+    docs: DataFrame, path: str, end_id: int, doc_id: str, text: str, parts: int
+) -> DataFrame:
+    """Rows of TOKENS: blocks of about BLOCK_IDS ids in ascending order of doc_id.
+
+    Each document's ids end with ``end_id``; ``before`` counts the ids of its part before a block.
+    """
     rows = docs.select(
-        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")
-    )
+        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+    ).withColumn("tie", F.xxhash64("text"))
+    ordered = in_order(rows, ["doc_id", "tie"], parts).select("doc_id", "text", "part")
 
     def run(batches):
         import numpy as np
@@ -177,12 +194,35 @@ def tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str) -
 
         encoder = library_encoder(path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
-            ids = [b + end for b in encoder.encode_many(batch.column("text").to_pylist())]
-            columns = [batch.column("doc_id"), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"])
+        block, before, part = 0, 0, 0
+        names, found, held = [], [], 0
+
+        def flush():
+            sizes = [len(x) // encoder.dtype.itemsize for x in found]
+            row = [[part], [block], [names], [sizes], [before], [b"".join(found)]]
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(row, kinds)],
+                ["part", "block", "doc_ids", "n_tokens", "before", "ids"],
+            )
 
-    return rows.mapInArrow(run, TOKENS)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part")[0].as_py()
+            coded = encoder.encode_many(batch.column("text").to_pylist())
+            for name, ids in zip(batch.column("doc_id").to_pylist(), coded):
+                names.append(name)
+                found.append(ids + end)
+                held += len(found[-1]) // encoder.dtype.itemsize
+                if held >= BLOCK_IDS:
+                    yield flush()
+                    block, before = block + 1, before + held
+                    names, found, held = [], [], 0
+        if names:
+            yield flush()
+
+    return ordered.mapInArrow(run, TOKENS)
 
 
 def id_counts(tokens: DataFrame, dtype: str, n_ids: int):
@@ -207,6 +247,8 @@ def id_counts(tokens: DataFrame, dtype: str, n_ids: int):
 
 
 def _coded(tokens: DataFrame, dtype: str, lengths: bytes) -> DataFrame:
+    """Rows of BLOCKS from rows of TOKENS."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -214,64 +256,20 @@ def _coded(tokens: DataFrame, dtype: str, lengths: bytes) -> DataFrame:
         bits = np.frombuffer(lengths, np.uint8)
         codes = canonical_codes(bits)
         for batch in batches:
-            sizes, payloads, offsets = [], [], []
-            for ids in batch.column("ids"):
+            payloads, offsets = [], []
+            for ids, sizes in zip(batch.column("ids"), batch.column("n_tokens")):
                 ids = np.frombuffer(ids.as_buffer(), dtype)
-                payload, at = encode_ids(ids, codes, bits)
-                sizes.append(len(ids))
+                payload, at = encode_ids(ids, sizes.values.to_numpy(), codes, bits)
                 payloads.append(payload)
-                offsets.append(at)
+                offsets.append(at.astype(np.int32))
+            kept = [batch.column(c) for c in ("part", "block", "doc_ids", "n_tokens", "before")]
+            made = [pa.array(payloads, pa.binary()), pa.array(offsets, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(payloads, pa.binary()),
-                    pa.array(offsets, pa.list_(pa.int32())),
-                ],
-                ["doc_id", "n_tokens", "payload", "offsets"],
+                [*kept, *made],
+                ["part", "block", "doc_ids", "n_tokens", "before", "payload", "offsets"],
             )
 
-    return tokens.mapInArrow(run, CODED)
-
-
-def _blocks(batches):
-    """Blocks of about BLOCK_BYTES from the coded documents of one part, in order."""
-    import pyarrow as pa
-
-    schema = pa.schema(
-        [
-            ("part", pa.int32()),
-            ("block", pa.int32()),
-            ("doc_ids", pa.list_(pa.int64())),
-            ("n_tokens", pa.list_(pa.int64())),
-            ("before", pa.int64()),
-            ("payload", pa.binary()),
-            ("offsets", pa.list_(pa.int32())),
-        ]
-    )
-    block, before = 0, 0
-    docs, sizes, payloads, offsets, bits = [], [], [], [], 0
-
-    def flush(part):
-        row = [[part], [block], [docs], [sizes], [before], [b"".join(payloads)], [offsets]]
-        arrays = [pa.array(v, f.type) for v, f in zip(row, schema)]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    part = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            part = row["part"]
-            docs.append(row["doc_id"])
-            sizes.append(row["n_tokens"])
-            payloads.append(row["payload"])
-            offsets += [bits + x for x in row["offsets"]]
-            bits += 8 * len(row["payload"])
-            if bits >= 8 * BLOCK_BYTES:
-                yield flush(part)
-                block, before = block + 1, before + sum(sizes)
-                docs, sizes, payloads, offsets, bits = [], [], [], [], 0
-    if docs:
-        yield flush(part)
+    return tokens.mapInArrow(run, BLOCKS)
 
 
 def write_ids(
@@ -281,22 +279,24 @@ def write_ids(
     """Encode every text and write ids to ``out``: ``blocks`` in ascending doc_id, ``lengths``.
 
     Null and empty texts have the end id alone. Null ids come first, rows of equal id stay
-    repeated and go by their coded ids. No rows give an empty file. Other columns are not read.
+    repeated and go by a hash of their texts. No rows give an empty file. Other columns are not read.
     """
     import numpy as np
 
     spark = docs.sparkSession
     encoder = library_encoder(path)
     dtype = encoder.dtype.str
-    tokens = stage(tokenized(docs, path, end_id, doc_id, text), "tokens")
+    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = token_blocks(docs, path, end_id, doc_id, text, parts)
+    held = staging_path(spark, "tokens")
+    blocks.write.option("compression", "zstd").parquet(held)
+    tokens = spark.read.schema(blocks.schema).parquet(held)
     # One code length per possible id: the vocabulary bounds what reaches the driver.
     n_ids = 1 << (16 if dtype == "<u2" else 18)
     lengths = code_lengths(id_counts(tokens, dtype, n_ids)).tobytes()
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = in_order(_coded(tokens, dtype, lengths), ["doc_id", "payload"], parts)
-    blocks = ordered.select("doc_id", "n_tokens", "payload", "offsets", "part")
     # The code is dense; compressing it again would only take time.
-    blocks.mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
+    coded = _coded(tokens, dtype, lengths)
+    coded.write.option("compression", "none").parquet(f"{out}/blocks")
     used = np.frombuffer(lengths, np.uint8)
     known = [(int(i), int(used[i])) for i in np.flatnonzero(used)]
     spark.createDataFrame(known, "id bigint, bits int").coalesce(1).write.parquet(f"{out}/lengths")
