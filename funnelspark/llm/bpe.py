@@ -47,7 +47,8 @@ class MergeAutomaton:
         self._copy_of = [0]
         self._copied = [-1]
         self.after = {t: 0 for t, b in labels.items() if len(b) == 1}
-        owners = [len(self.after)]
+        # Tokens that lead to each state; the first is also where every word begins.
+        owners = [len(self.after) + 1]
         for time, (u, v, uv) in enumerate(merges):
             if u not in self.after or v not in self.after:
                 continue

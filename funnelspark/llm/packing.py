@@ -41,9 +41,11 @@ def sentence_ends(path: str):
     """For each id, whether a sentence may end after it: its text ends with . ! ? or has a line end."""
     import numpy as np
 
-    vocab = read_vocabulary(path)["model"]["vocab"]
+    said = read_vocabulary(path)
+    vocab = said["model"]["vocab"]
     line_end = chr(0x100 + ord("\n"))
-    ends = np.zeros(1 + max(vocab.values()), dtype=bool)
+    ids = [*vocab.values(), *[t["id"] for t in said["added_tokens"]]]
+    ends = np.zeros(1 + max(ids), dtype=bool)
     for symbol, i in vocab.items():
         ends[i] = symbol[-1] in ".!?" or line_end in symbol
     return ends

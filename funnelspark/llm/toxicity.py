@@ -173,7 +173,7 @@ class Scorer:
             a = i
             while a and codes[a - 1] != BREAK:
                 a -= 1
-            state, score, at = 0, 0.0, a
+            state, score, at, held = 0, 0.0, a, 0.0
             while at < n and codes[at] != BREAK:
                 c = codes[at]
                 symbol = INSULT if c >= INSULT else int(c)
@@ -181,7 +181,10 @@ class Scorer:
                 if out == INSULT:
                     score += (c - INSULT) * math.exp(weight)
                 elif out == THREAT:
-                    score += THREAT_WEIGHT * math.exp(weight)
+                    score += THREAT_WEIGHT * math.exp(weight + held)
+                elif symbol == THREAT:
+                    # Its weight goes to the target that may complete the threat.
+                    held = weight
                 at += 1
             done = at
             if score:

@@ -105,10 +105,9 @@ def _spread(pairs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = F.broadcast(hot)
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_row"), F.lit(n))).otherwise(0)
     pairs = pairs.join(hot, F.col("_short") == F.col("_hot"), "left").withColumn("_salt", salt)
-    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(n - 1)))
-    salts = F.explode(F.coalesce(salts, F.array(F.lit(0)))).cast("bigint")
+    top = F.when(F.col("_hot").isNotNull(), F.lit(n - 1)).otherwise(0).cast("bigint")
     rules = rules.join(hot, F.col("_rshort") == F.col("_hot"), "left")
-    rules = rules.withColumn("_rsalt", salts).drop("_hot")
+    rules = rules.withColumn("_rsalt", F.explode(F.sequence(F.lit(0).cast("bigint"), top))).drop("_hot")
     return pairs.drop("_hot"), rules
 
 
