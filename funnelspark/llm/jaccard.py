@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from . import sketch
-from .components import components
+from .components import components, groups
 from .hashing import mix, text_bytes, window_hashes
 
 SHINGLE = 5
 # Percent of the union that two linked sets share at least.
 PERCENT = 75
 ROWS, PER_SHINGLE = 1, 16
-BLOCK = 1024
+BLOCK = 256
 LEAF, FAN = 16, 8
 BITS = 2048
 
@@ -251,16 +251,19 @@ def _table_links(table, own_side: bool) -> tuple[np.ndarray, list[tuple[int, int
     sets = [np.sort(np.frombuffer(table.column("shingles")[int(i)].as_py(), "<u8")) for i in order]
     group = table.column("component").to_numpy()[order]
     side = table.column("side").to_numpy()[order] if own_side else None
-    return docs[order], tree_links(sets, group, side)
+    return group, tree_links(sets, group, side)
 
 
 def _links_of(grouped, own_side: bool) -> DataFrame:
+    """Edges between the components that links of each group connect."""
+
     def solve(table):
         import pyarrow as pa
 
-        docs, links = _table_links(table, own_side)
-        a = [int(docs[i]) for i, _ in links]
-        b = [int(docs[j]) for _, j in links]
+        known, links = _table_links(table, own_side)
+        # Which parts are connected, as edges to the smallest: long chains would take many rounds.
+        parts = groups([int(known[i]) for i, _ in links], [int(known[j]) for _, j in links])
+        a, b = list(parts), list(parts.values())
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return grouped.applyInArrow(solve, EDGES)
@@ -275,7 +278,7 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def block_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links whose components are those of all links, from (doc, n_shingles, shingles, cluster).
+    """Edges whose components are those of all links, from (doc, n_shingles, shingles, cluster).
 
     Documents of a cluster are banded by size, so that links join equal or neighbouring bands, and
     bands are cut into blocks of about ``block`` documents. Blocks are joined with themselves, then with the first
