@@ -76,8 +76,9 @@ def guarded_rate(num: Column | str, den: Column | str) -> Column:
 
 
 def clipped_rate(num: Column | str, den: Column | str) -> Column:
-    """num / max(den, 1), at most 1."""
-    return F.least(_col(num) / F.greatest(_col(den), F.lit(1)), F.lit(1.0))
+    """num / max(den, 1), at most 1; null for a null numerator."""
+    rate = F.least(_col(num) / F.greatest(_col(den), F.lit(1)), F.lit(1.0))
+    return F.when(_col(num).isNotNull(), rate)
 
 
 def ratio_or_one(num: Column | str, den: Column | str) -> Column:

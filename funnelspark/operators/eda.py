@@ -10,7 +10,7 @@ from ..schemas import TARGET
 from .encode import winsorize
 from .labels import cart_purchase_latency
 from .ordered import quantiles, running_totals
-from .profile import _long, histogram_bins, value_counts
+from .profile import _long, _widened, histogram_bins, value_counts
 
 # Features whose class means are compared.
 COMPARED = [
@@ -272,10 +272,12 @@ def hourly_conversion(df: DataFrame, ts: str = "event_time", target: str = TARGE
 
 
 def latency_histogram(latency: DataFrame, bins: int = 50) -> DataFrame:
-    """Equal-width histogram of the delays in minutes, each pair of events counted."""
-    facts = latency.agg(
-        F.struct(F.min("latency_minutes").alias("lo"), F.max("latency_minutes").alias("hi"))
-    ).scalar()
+    """Equal-width histogram of the delays in minutes, each pair of events counted.
+
+    Where all delays are equal, the bins span half a minute to either side.
+    """
+    lo, hi = _widened(F.min("latency_minutes"), F.max("latency_minutes"))
+    facts = latency.agg(F.struct(lo.alias("lo"), hi.alias("hi"))).scalar()
     x, step = F.col("latency_minutes"), (facts["hi"] - facts["lo"]) / bins
     at = F.least(F.lit(bins - 1), F.floor((x - facts["lo"]) / step))
     counted = latency.groupBy(at.cast("bigint").alias("id")).agg(F.sum("pairs").alias("n"))

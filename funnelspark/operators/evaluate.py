@@ -32,7 +32,11 @@ def binary_metrics(
     prediction: str = "prediction",
     probability: str = "probability",
 ) -> DataFrame:
-    """accuracy, precision, recall, f1 (0 where undefined), auc_roc and log_loss, one row."""
+    """accuracy, precision, recall, f1 (0 where undefined), auc_roc and log_loss, one row.
+
+    Rows without a label, prediction or probability are not scored and left out.
+    """
+    df = df.select(label, prediction, probability).dropna()
     y, hit = F.col(label) == 1, F.col(prediction) == 1
     p = F.greatest(F.least(F.col(probability), F.lit(1 - EPSILON)), F.lit(EPSILON))
     counts = df.agg(

@@ -39,8 +39,12 @@ def spread_left_join(
         on_hot = on_hot & (F.col(k) == F.col(f"_hk_{k}"))
         on_cold = on_cold & (F.col(k) == F.col(f"_ck_{k}"))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)) + 1
+    # A null key matches nothing, and many rows may have it.
+    nameless = F.lit(False)
+    for k in keys:
+        nameless = nameless | F.col(k).isNull()
     marked = left.join(F.broadcast(hot), on_hot, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0).cast("bigint"))
+        "_salt", F.when(F.col("_hot") | nameless, spread).otherwise(F.lit(0).cast("bigint"))
     )
     cold = right.select(
         *[F.col(k).alias(f"_ck_{k}") for k in keys],

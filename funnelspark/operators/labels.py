@@ -25,7 +25,8 @@ def label_last_cart(events: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     journey that holds a large part of the log is therefore spread over its time slices.
     """
     is_cart = F.col("event_type") == "cart"
-    steps = filter_event_type(events, "cart", "purchase").select(
+    named = filter_event_type(events, "cart", "purchase").dropna(subset=JOURNEY)
+    steps = named.select(
         *JOURNEY,
         "event_time",
         time_slice("event_time", slice_us).alias("_slice"),
@@ -103,7 +104,10 @@ def label_any_later(events: DataFrame) -> DataFrame:
 
 
 def _carts_and_history(events: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Carts, and per key with a purchase its last purchase and its number of carts."""
+    """Carts, and per key its last purchase (or null) and its number of carts.
+
+    Keys without a purchase are there as well, so that the heavy ones among them are known.
+    """
     kind = F.col("event_type")
     history = (
         filter_event_type(events, "cart", "purchase")
@@ -112,7 +116,7 @@ def _carts_and_history(events: DataFrame, keys: list[str]) -> tuple[DataFrame, D
             F.max(F.when(kind == "purchase", F.col("event_time"))).alias("_last"),
             F.count_if(kind == "cart").alias("_carts"),
         )
-        .filter(F.col("_last").isNotNull())
+        .filter(F.col("_carts") > 0)
     )
     return filter_event_type(events, "cart"), history
 

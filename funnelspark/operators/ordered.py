@@ -40,13 +40,16 @@ def running_count(
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.sum("_n").over(before))
         .filter(F.col("_before") > 0)
-        .drop("_n")
+        .select(*[F.col(k).alias(f"_c_{k}") for k in [*keys, "_slice"]], "_before")
     )
+    # Null keys are a group of their own, as in the window.
+    same = F.lit(True)
+    for k in [*keys, "_slice"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
     return (
         cut.withColumn("_rn", F.row_number().over(inside).cast("bigint"))
-        .join(carry, [*keys, "_slice"], "left")
+        .join(carry, same, "left")
         .withColumn(out, F.col("_rn") + F.coalesce("_before", F.lit(0)))
-        .drop("_rn", "_before", "_slice")
         .select(*df.columns, out)
     )
 

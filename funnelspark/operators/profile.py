@@ -192,11 +192,11 @@ def histogram_bins(
 def numeric_distribution(
     df: DataFrame, columns: list[str] | None = None, bins: int = 8
 ) -> DataFrame:
-    """Mean, median, minimum, maximum and histogram of numeric columns (the first four).
+    """Mean, median, minimum, maximum and histogram of the given, or else all, numeric columns.
 
     One row per bin; there are no more bins than distinct values. Unreadable values are dropped.
     """
-    columns = columns or numeric_columns(df)[:4]
+    columns = columns or numeric_columns(df)
     read = df.select(*[F.col(c).try_cast("double").alias(c) for c in columns])
     facts = (
         read.unpivot([], columns, "column", "x")
@@ -218,9 +218,9 @@ def numeric_distribution(
 
 
 def categorical_distribution(
-    df: DataFrame, columns: list[str] | None = None, limit: int = 6
+    df: DataFrame, columns: list[str] | None = None, limit: int | None = 6
 ) -> DataFrame:
-    """Distinct count and most frequent values of categorical columns, null as "<missing>"."""
+    """Distinct count and the ``limit`` (None: all) most frequent values of categorical columns, null as "<missing>"."""
     columns = columns or [c for c in QUALITY_CATEGORIES if c in df.columns]
     counts = (
         _long(df, columns)
@@ -230,15 +230,20 @@ def categorical_distribution(
     sizes = counts.groupBy("column").agg(F.count("*").alias("unique_count"))
     # The rank filter is applied per task before rows move, so few rows per column are shuffled.
     by_count = Window.partitionBy("column").orderBy(F.desc("count"), "label")
-    top = counts.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= limit)
+    top = counts.withColumn("rank", F.row_number().over(by_count))
+    top = top if limit is None else top.filter(F.col("rank") <= limit)
     return top.join(F.broadcast(sizes), "column").select(
         "column", "unique_count", "rank", "label", "count"
     )
 
 
-def drift_summary(df: DataFrame) -> DataFrame:
-    """Drift status without a reference table: what would be monitored, nothing drifted."""
-    monitored = len(numeric_columns(df)[:4]) + len([c for c in QUALITY_CATEGORIES if c in df.columns])
+def drift_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Drift status without a reference table: what would be monitored, nothing drifted.
+
+    Monitored are the given, or else all, numeric columns and the reported categories.
+    """
+    numeric = numeric_columns(df) if columns is None else columns
+    monitored = len({*numeric, *[c for c in QUALITY_CATEGORIES if c in df.columns]})
     return df.agg(F.lit("not_configured").alias("status")).select(
         "status",
         F.lit(monitored).cast("bigint").alias("monitored_columns"),
@@ -265,18 +270,60 @@ def psi(df: DataFrame, reference: DataFrame, columns: list[str], floor: float =
     return both.groupBy("column").agg(F.sum((a - b) * F.log(a / b)).alias("psi"))
 
 
-def dataset_quality(df: DataFrame) -> dict[str, DataFrame]:
-    """Duplicates, the eight columns with most missing values, distributions and drift."""
+def psi_numeric(
+    df: DataFrame, reference: DataFrame, columns: list[str], bins: int = 10, floor: float = 1e-4
+) -> DataFrame:
+    """Population stability index per numeric column, over equal bins of the reference table.
+
+    Values beyond the reference's range count in its first and last bin; empty shares count as
+    ``floor``, nulls and NaN not at all. A column without a value on either side has no row.
+    """
+
+    def values(side: DataFrame) -> DataFrame:
+        read = side.select(*[F.col(c).try_cast("double").alias(c) for c in columns])
+        return read.unpivot([], columns, "column", "x").filter("x is not null and not isnan(x)")
+
+    lo, hi = _widened(F.min("x"), F.max("x"))
+    bounds = values(reference).groupBy("column").agg(lo.alias("lo"), hi.alias("hi"))
+
+    def shares(side: DataFrame, name: str) -> DataFrame:
+        # One row per column of the call.
+        at = equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), F.lit(bins))
+        counts = (
+            values(side).join(F.broadcast(bounds), "column").groupBy("column", at.alias("bin"))
+            .agg(F.count("*").alias("n"))
+        )
+        sizes = counts.groupBy("column").agg(F.sum("n").alias("total"))
+        return counts.join(F.broadcast(sizes), "column").select(
+            "column", "bin", (F.col("n") / F.col("total")).alias(name)
+        )
+
+    left, right = shares(df, "a"), shares(reference, "b")
+    all_bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")))
+    frame = bounds.select("column", all_bins.alias("bin"))
+    present = left.select("column").distinct()
+    both = frame.join(F.broadcast(present), "column", "left_semi").join(
+        left, ["column", "bin"], "left"
+    ).join(right, ["column", "bin"], "left")
+    a, b = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(floor)) for c in ("a", "b"))
+    return both.groupBy("column").agg(F.sum((a - b) * F.log(a / b)).alias("psi"))
+
+
+def dataset_quality(
+    df: DataFrame, worst: int = 8, values: int = 6, columns: list[str] | None = None
+) -> dict[str, DataFrame]:
+    """Duplicates, the ``worst`` columns by missing values, distributions with the ``values`` most
+    frequent categories, and drift; numeric parts over the given, or else all, numeric columns."""
     total = _total(df)
     duplicates = duplicate_count(df).withColumn(
         "duplicate_percent", share(F.col("duplicates"), total, 100.0)
     )
     return {
         "duplicates": duplicates,
-        "top_missing": column_profiles(df).orderBy(F.desc("missing_percent"), "column").limit(8),
-        "numeric": numeric_distribution(df),
-        "categorical": categorical_distribution(df),
-        "drift": drift_summary(df),
+        "top_missing": column_profiles(df).orderBy(F.desc("missing_percent"), "column").limit(worst),
+        "numeric": numeric_distribution(df, columns),
+        "categorical": categorical_distribution(df, limit=values),
+        "drift": drift_summary(df, columns),
     }
 
 

@@ -13,7 +13,7 @@ from ..functions.columns import share
 from ..schemas import DISPLAY_THRESHOLD, HIGH_CONFIDENCE, UNCERTAIN
 from .ordered import row_numbers
 
-# Weekday headings, Monday first.
+# Weekday headings, Monday first; names of segments and bands.
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 SEGMENTS = ["drop", "hesitant", "converters", "unknown"]
 BANDS = ["High-conf negative", "Near threshold", "Moderate confidence", "High-conf positive"]
@@ -305,10 +305,13 @@ def weekday_label(key: Column, zero_based: Column) -> Column:
     return F.when(index.between(0, 6), F.get(names, index)).otherwise(key)
 
 
-def cohort_breakdown(df: DataFrame, field: str, simulated: float | None = None) -> DataFrame:
+def cohort_breakdown(
+    df: DataFrame, field: str, simulated: float | None = None, limit: int | None = 8
+) -> DataFrame:
     """Count, predicted percent and mean probability percent per cohort.
 
-    Blank cohorts are "Unknown". More than eight cohorts become the first seven and "Others".
+    Blank cohorts are "Unknown". More than ``limit`` cohorts become one less and "Others"; None
+    keeps all of them.
     Weekday cohorts are ordered and named by day, others by count. Cohorts are ranked by a
     distributed sort of the grouped table, so a column with many values is no single-task sort.
     """
@@ -333,12 +336,13 @@ def cohort_breakdown(df: DataFrame, field: str, simulated: float | None = None)
     name = F.col("cohort")
     if field == "event_weekday":
         name = weekday_label(name, facts["zero"] == 1)
-    kept = (facts["n"] <= 8) | (F.col("rank") <= 7)
+    most = F.lit(limit).cast("bigint")
+    kept = most.isNull() | (facts["n"] <= most) | (F.col("rank") < most)
     # The mean of "Others" weighs each cohort's own mean by its row count, nulls included.
     mean = F.when(F.col("p_count") > 0, F.col("p_sum") / F.col("p_count")).otherwise(0.0)
     return (
         ranked.select(
-            F.when(kept, F.col("rank")).otherwise(8).alias("position"),
+            F.when(kept, F.col("rank")).otherwise(most).alias("position"),
             F.when(kept, name).otherwise("Others").alias("cohort"),
             "count",
             "purchased",

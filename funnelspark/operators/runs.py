@@ -21,15 +21,20 @@ def search_runs(
     where: Column | None = None,
     order_metric: str | None = None,
     ascending: bool = False,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Runs that meet the condition, by a metric (runs without it last) or else newest first."""
+    """Runs that meet the condition, by a metric (runs without it last) or else newest first.
+
+    All of them, unless a limit is given.
+    """
     out = runs if where is None else runs.filter(where)
     if order_metric is None:
-        return out.orderBy(F.desc_nulls_last("start_time"), "run_id").limit(limit)
-    value = metric(order_metric)
-    first = value.asc_nulls_last() if ascending else value.desc_nulls_last()
-    return out.orderBy(first, "run_id").limit(limit)
+        first = F.desc_nulls_last("start_time")
+    else:
+        value = metric(order_metric)
+        first = value.asc_nulls_last() if ascending else value.desc_nulls_last()
+    found = out.orderBy(first, "run_id")
+    return found if limit is None else found.limit(limit)
 
 
 def best_run(runs: DataFrame, name: str, ascending: bool = False) -> DataFrame:

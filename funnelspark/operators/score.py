@@ -61,6 +61,9 @@ def derive_full_from_lite(df: DataFrame) -> DataFrame:
     """The 14 lite inputs to all 26 features; other columns are kept."""
     d = {c: F.col(c).cast("double") for c in LITE_FEATURES[:11]}
     one = F.lit(1.0)
+    whole = F.lit(True)
+    for value in d.values():
+        whole = whole & value.isNotNull()
     views, carts = F.greatest(d["user_total_views"], one), d["user_total_carts"]
     p_views, p_carts = F.greatest(d["product_total_views"], one), d["product_total_carts"]
     brand = d["brand_purchase_rate"]
@@ -88,6 +91,8 @@ def derive_full_from_lite(df: DataFrame) -> DataFrame:
             one, p_carts * conversion * (F.lit(0.3) + p_rate * 0.7)
         ),
     }
+    # least and greatest pass over nulls; what is derived from a missing input is missing.
+    derived = {c: F.when(whole, value) for c, value in derived.items()}
     derived |= {c: d[c] for c in LITE_FEATURES[:11] if c not in derived}
     kept = [c for c in df.columns if c not in ALL_FEATURES]
     return df.select(
@@ -139,7 +144,9 @@ def heuristic_terms() -> dict[str, Column]:
         "activity_count": F.least(F.lit(1.0), F.col("activity_count") / 20.0),
         "price_vs_user_avg": cheap,
     }
-    return {f: F.lit(w) * value.get(f, F.col(f)) for f, w in WEIGHTS.items()}
+    # least and greatest pass over nulls; a missing feature must not earn its bonus.
+    known = {f: F.when(F.col(f).isNotNull(), v) for f, v in value.items()}
+    return {f: F.lit(w) * known.get(f, F.col(f)) for f, w in WEIGHTS.items()}
 
 
 def score_heuristic(df: DataFrame) -> DataFrame:

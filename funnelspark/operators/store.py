@@ -39,7 +39,7 @@ LOOKUP_DEFAULTS = {"event_hour": 12, "event_weekday": 0}
 class FeatureView:
     """A named feature table: its keys, time column, features and time to live."""
 
-    name: str = "propensity_features"
+    name: str = "cart_features"
     keys: tuple[str, ...] = ("user_id", "product_id")
     timestamp: str = "event_timestamp"
     ttl: dt.timedelta = dt.timedelta(days=FEATURE_TTL_DAYS)

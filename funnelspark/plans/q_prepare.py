@@ -452,6 +452,36 @@ def _(spark, sf):
     return label_ops.session_cumcount(df).select("user_session", "event_time", "session_position")
 
 
+@query(
+    "session_cumcount_null_session",
+    f""", s AS (SELECT CASE WHEN user_id % 3 <> 0 THEN user_session END AS user_session, event_time, product_id, user_id
+    FROM clean) SELECT user_session, {micros('event_time')}, product_id, user_id,
+    row_number() OVER (PARTITION BY user_session ORDER BY event_time, product_id, user_id) AS session_position FROM s""",
+)
+def _(spark, sf):
+    session = F.when(F.col("user_id") % 3 != 0, F.col("user_session"))
+    df = tables.clean(spark, sf).select(
+        session.alias("user_session"), "event_time", "product_id", "user_id"
+    )
+    return label_ops.session_cumcount(df)
+
+
+@query(
+    "label_last_cart_null_keys",
+    f""", e AS (SELECT CASE WHEN user_id % 3 <> 0 THEN user_id END AS user_id,
+      CASE WHEN product_id % 4 <> 0 THEN product_id END AS product_id, user_session, event_type, event_time FROM clean),
+    p AS (SELECT user_id, product_id, user_session, p.event_time AS purchase_time, max(c.event_time) AS cart_time
+      FROM e p JOIN e c USING (user_id, product_id, user_session)
+      WHERE p.event_type = 'purchase' AND c.event_type = 'cart' AND c.event_time < p.event_time GROUP BY ALL)
+    SELECT user_id, product_id, user_session, {micros('purchase_time')}, {micros('cart_time')} FROM p""",
+)
+def _(spark, sf):
+    user = F.when(F.col("user_id") % 3 != 0, F.col("user_id"))
+    product = F.when(F.col("product_id") % 4 != 0, F.col("product_id"))
+    events = tables.clean(spark, sf).withColumns({"user_id": user, "product_id": product})
+    return label_ops.label_last_cart(events).drop("earlier_carts")
+
+
 @query("cart_samples", f"SELECT {SAMPLE_SQL} FROM samples")
 def _(spark, sf):
     return label_ops.cart_samples(tables.clean(spark, sf)).select(*SAMPLE_COLUMNS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import eda, labels, profile, runs
-from ..schemas import NUMERIC_FEATURES
+from ..schemas import FEATURE_TABLE_COLUMNS, NUMERIC_FEATURES, TARGET
 from . import tables
 from .prelude import rounded
 from .registry import query
@@ -126,17 +126,17 @@ def _distribution_sql(source: str, column: str, bins: str) -> str:
         {bins} AS n FROM {source}) s, (SELECT unnest(range(8)) AS bin) b WHERE b.bin < s.n"""
 
 
-NUMERIC_REPORT = ["price", "activity_count", "event_weekday", "user_avg_purchase_price"]
+NUMERIC_COLUMNS = ["user_id", "product_id", *NUMERIC_FEATURES, TARGET]
 
 
 @query(
     "numeric_distribution",
     " UNION ALL ".join(
-        _distribution_sql("features", c, f"least(8, count(DISTINCT {c}))") for c in NUMERIC_REPORT
+        _distribution_sql("features", c, f"least(8, count(DISTINCT {c}))") for c in NUMERIC_COLUMNS
     ),
 )
 def _(spark, sf):
-    return profile.numeric_distribution(tables.features(spark, sf), NUMERIC_REPORT)
+    return profile.numeric_distribution(tables.features(spark, sf))
 
 
 def _categories(source: str, columns) -> str:
@@ -160,32 +160,40 @@ def _(spark, sf):
     """, f AS (SELECT * EXCLUDE (event_timestamp, created_timestamp) FROM features)
     SELECT 'duplicates' AS section, '' AS item, (SELECT count(*) FROM features)
       - (SELECT count(*) FROM (SELECT DISTINCT * FROM features)) AS value
-    UNION ALL SELECT 'numeric', 'bins', sum(least(8, n))::BIGINT FROM (SELECT count(DISTINCT user_id) AS n FROM f
-      UNION ALL SELECT count(DISTINCT product_id) FROM f UNION ALL SELECT count(DISTINCT event_weekday) FROM f
-      UNION ALL SELECT count(DISTINCT price) FROM f)
-    UNION ALL SELECT 'categorical', 'values', sum(least(6, n))::BIGINT FROM (SELECT count(DISTINCT brand) AS n FROM f
-      UNION ALL SELECT count(DISTINCT category_code_level1) FROM f UNION ALL SELECT count(DISTINCT category_code_level2) FROM f
-      UNION ALL SELECT count(DISTINCT event_weekday) FROM f)
-    UNION ALL SELECT 'top_missing', 'columns', 8
-    UNION ALL SELECT 'drift', 'not_configured', 0""",
+    """
+    + " ".join(
+        f"""UNION ALL SELECT 'numeric', '{c} ' || bin, count FROM ({_distribution_sql('f', c, f"least(8, count(DISTINCT {c}))")})"""
+        for c in NUMERIC_COLUMNS
+    )
+    + " ".join(
+        f"""UNION ALL SELECT 'categorical', '{c} ' || label, count FROM ({_categories('f', [c])})"""
+        for c in profile.QUALITY_CATEGORIES
+    )
+    + f""" UNION ALL SELECT 'top_missing', "column", 0 FROM (SELECT unnest({sorted(FEATURE_TABLE_COLUMNS)[:8]}) AS "column")
+    UNION ALL SELECT 'drift', 'not_configured', {len(NUMERIC_COLUMNS) + 3}""",
 )
 def _(spark, sf):
     report = profile.dataset_quality(tables.features(spark, sf))
+    named = F.concat_ws(" ", "column", F.col("bin").cast("string"))
     parts = [
         report["duplicates"].select(
             F.lit("duplicates").alias("section"), F.lit("").alias("item"), F.col("duplicates").alias("value")
         ),
-        report["drift"].select(F.lit("drift"), F.col("status"), "drifted_columns"),
+        report["drift"].select(F.lit("drift"), F.col("status"), "monitored_columns"),
+        report["numeric"].select(F.lit("numeric"), named, "count"),
+        report["categorical"].select(F.lit("categorical"), F.concat_ws(" ", "column", "label"), "count"),
+        report["top_missing"].select(F.lit("top_missing"), "column", "missing_count"),
     ]
-    for name, item in (("numeric", "bins"), ("categorical", "values"), ("top_missing", "columns")):
-        parts.append(report[name].agg(F.lit(name), F.lit(item), F.count("*")).select(F.lit(name), F.lit(item), "count(1)"))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
     return out
 
 
-@query("drift_summary", "SELECT 'not_configured' AS status, 8::BIGINT AS monitored_columns, 0::BIGINT AS drifted_columns")
+@query(
+    "drift_summary",
+    f"SELECT 'not_configured' AS status, {len(NUMERIC_COLUMNS) + 3}::BIGINT AS monitored_columns, 0::BIGINT AS drifted_columns",
+)
 def _(spark, sf):
     return profile.drift_summary(tables.features(spark, sf))
 
@@ -652,3 +660,24 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return runs.latest_eval_metric(run_table(spark, sf), "price")
+
+
+def _psi_numeric_sql(column: str) -> str:
+    """Shares per bin of the even days' range, bins by counting the edges passed."""
+
+    def shares(odd: int) -> str:
+        return f"""(SELECT len(list_filter(range(1, 10), lambda k: {column} >= lo + k * ((hi - lo) / 10))) AS bin,
+          count(*) / sum(count(*)) OVER ()::DOUBLE AS s FROM features,
+          (SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi FROM features WHERE day(event_timestamp) % 2 = 0)
+          WHERE day(event_timestamp) % 2 = {odd} GROUP BY 1)"""
+
+    a, b = "greatest(coalesce(a.s, 0), 1e-4)", "greatest(coalesce(b.s, 0), 1e-4)"
+    return f"""SELECT '{column}' AS "column", {rounded(f'sum(({a} - {b}) * ln({a} / {b}))', 'psi')}
+      FROM (SELECT unnest(range(10)) AS bin) f LEFT JOIN {shares(1)} a USING (bin) LEFT JOIN {shares(0)} b USING (bin)"""
+
+
+@query("psi_numeric", " UNION ALL ".join(map(_psi_numeric_sql, ["price", "activity_count"])))
+def _(spark, sf):
+    rows = tables.features(spark, sf)
+    odd = F.dayofmonth("event_timestamp") % 2
+    return profile.psi_numeric(rows.filter(odd == 1), rows.filter(odd == 0), ["price", "activity_count"])

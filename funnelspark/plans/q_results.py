@@ -510,6 +510,16 @@ def _(spark, sf):
     return evaluate.binary_metrics(_evaluated(spark, sf))
 
 
+@query(
+    "binary_metrics_with_unscored",
+    METRICS_SQL + " SELECT " + ", ".join(rounded(f'"{m}"', f'"{m}"') for m in METRIC_NAMES) + " FROM metrics",
+)
+def _(spark, sf):
+    rows = _evaluated(spark, sf)
+    unscored = rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in ("probability", "prediction")})
+    return evaluate.binary_metrics(rows.unionByName(unscored))
+
+
 LONG_SQL = METRICS_SQL + ", long AS (" + " UNION ALL ".join(
     f"""SELECT '{m}' AS metric, "{m}" AS value FROM metrics""" for m in METRIC_NAMES
 ) + ")"

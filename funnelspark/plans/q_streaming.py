@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from ..operators.features import agg_user
@@ -24,6 +22,7 @@ def event_files(spark, sf, clean: bool = False) -> str:
     week = F.floor((F.dayofmonth("event_time") - 1) / 7)
     sliced = source.withColumn("_week", week)
     for i in range(WEEKS):
+        # One file per micro-batch: within a week the rows arrive in any order.
         part = sliced.filter(F.col("_week") == i).drop("_week").coalesce(1)
         part.write.mode("append").parquet(path)
     return path
@@ -92,9 +91,7 @@ def _(spark, sf):
     f"SELECT user_session, {micros('event_time')}, event_type, product_id, user_id, activity_count FROM counted",
 )
 def _(spark, sf):
-    counter = streams.StreamActivityCount(
-        spark, staging_path(spark, "activity"), timeout=dt.timedelta(days=31)
-    )
+    counter = streams.StreamActivityCount(spark, staging_path(spark, "activity"))
     return counter.run(_stream(spark, sf, clean=True)).select(
         "user_session", "event_time", "event_type", "product_id", "user_id", "activity_count"
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -116,6 +116,23 @@ def run_available(
     query.awaitTermination()
 
 
+def _numbered(spark: SparkSession, path: str, key: str) -> list[int]:
+    """Numbers n of the folders ``key=n`` under a path, in ascending order."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{key}="))
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Remove a superseded folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Carried:
     """A table carried from micro-batch to micro-batch in the shared folder.
 
@@ -140,8 +157,65 @@ class Carried:
         df.write.mode("overwrite").parquet(self._copy(batch_id))
 
 
+class CarriedByKey:
+    """A keyed table carried from micro-batch to micro-batch, in buckets of the key's hash.
+
+    A batch reads and writes only the buckets its keys fall into: each bucket's rows are those of the last
+    batch that touched it. What a batch replaces stays until the batch after it, so that a
+    batch can be run again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32):
+        self.spark, self.path, self.schema = spark, path, schema
+        self.key, self.buckets = key, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _newest(self, batch_id: int) -> dict[int, int]:
+        """Bucket -> the last batch up to ``batch_id`` that wrote it."""
+        found = {}
+        for batch in _numbered(self.spark, self.path, "batch"):
+            if batch <= batch_id:
+                for b in _numbered(self.spark, f"{self.path}/batch={batch}", "bucket"):
+                    found[b] = batch
+        return found
+
+    def after(self, batch_id: int, only: list[int] | None = None) -> DataFrame:
+        """Rows as of the end of a batch, of all or only of the given buckets."""
+        newest = self._newest(batch_id)
+        paths = [
+            f"{self.path}/batch={n}/bucket={b}"
+            for b, n in newest.items() if only is None or b in only
+        ]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def touched(self, df: DataFrame) -> list[int]:
+        """Buckets of the keys of a micro-batch."""
+        return [r[0] for r in df.select(self.bucket()).distinct().collect()]
+
+    def save(self, df: DataFrame, batch_id: int) -> None:
+        """Store the rows of the touched buckets as of the end of a batch."""
+        before = self._newest(batch_id - 1)
+        path = f"{self.path}/batch={batch_id}"
+        df.withColumn("bucket", self.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # Superseded by the batch before this one: nothing reads it any more.
+        for old in _numbered(self.spark, self.path, "batch"):
+            if old < batch_id - 1:
+                for b in _numbered(self.spark, f"{self.path}/batch={old}", "bucket"):
+                    if before.get(b, old) > old:
+                        _drop(self.spark, f"{self.path}/batch={old}/bucket={b}")
+
+
 class _Ordered:
-    """Base of the forms that hold rows back until the watermark has passed them."""
+    """Base of the forms that hold rows back until the watermark has passed them.
+
+    Rows that arrive after the watermark has passed them go to ``late()``. A finished job can be
+    started again on the same folder, with new input or without: the micro-batches go on where they were,
+    and what a closing run takes as final is written beside their results, never over them.
+    """
 
     waiting_schema = ""
 
@@ -149,7 +223,21 @@ class _Ordered:
         self.spark, self.root, self.delay = spark, root, delay
         self.waiting = Carried(spark, f"{root}/waiting", self.waiting_schema)
         self.out = f"{root}/out"
-        self.last_batch = -1
+
+    @property
+    def last_batch(self) -> int:
+        """The last micro-batch that was finished, -1 before the first."""
+        return max(_numbered(self.spark, f"{self.root}/done", "batch"), default=-1)
+
+    def _side(self, name: str) -> DataFrame:
+        """Rows of a side table over all micro-batches."""
+        if not _numbered(self.spark, f"{self.root}/{name}", "batch"):
+            return self.spark.createDataFrame([], self.waiting_schema)
+        return self.spark.read.schema(self.waiting_schema).parquet(f"{self.root}/{name}")
+
+    def late(self) -> DataFrame:
+        """Rows that came too late and are in no result."""
+        return self._side("late")
 
     def _horizon(self, rows: DataFrame) -> dt.datetime | None:
         newest = rows.agg(F.max(F.unix_micros("event_time"))).first()[0]
@@ -163,7 +251,10 @@ class _Ordered:
         horizon = self._horizon(held) if batch_id > 0 else None
         fresh = self.prepare(events)
         if horizon is not None:
-            fresh = fresh.filter(F.unix_micros("event_time") > horizon)
+            on_time = F.unix_micros("event_time") > horizon
+            late = fresh.filter(~on_time)
+            late.write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
+            fresh = fresh.filter(on_time)
         return held.unionByName(fresh)
 
     def prepare(self, events: DataFrame) -> DataFrame:
@@ -175,16 +266,21 @@ class _Ordered:
         try:
             horizon = self._horizon(pool)
             past = F.lit(False) if horizon is None else F.unix_micros("event_time") <= horizon
-            self.advance(pool.filter(past), pool.filter(~past), batch_id, horizon)
+            final = pool.filter(past)
+            results = self.results(final, batch_id)
+            results.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
+            self.carry(final, pool.filter(~past), batch_id, horizon)
         finally:
             pool.unpersist()
-        self.last_batch = batch_id
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/done/batch={batch_id}")
 
-    def advance(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
+    def results(self, final: DataFrame, batch_id: int) -> DataFrame:
+        """Results of the rows that are final in a batch, after the batches before it."""
         raise NotImplementedError
 
-    def _write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
+    def carry(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
+        """Store what later batches need."""
+        raise NotImplementedError
 
     def start(self, events: DataFrame) -> StreamingQuery:
         """Start over all available input."""
@@ -196,19 +292,28 @@ class _Ordered:
         )
 
     def run(self, events: DataFrame) -> DataFrame:
-        """Process all available input, then treat what still waits as final; all results."""
+        """Process all available input, then treat what still waits as final; all results.
+
+        The closing results stand beside those of the micro-batches and are made anew each time;
+        nothing that is carried changes.
+        """
         self.start(events).awaitTermination()
-        closing = self.last_batch + 1
-        pool = self.waiting.after(self.last_batch)
-        self.advance(pool, pool.limit(0), closing, None)
-        return self.spark.read.parquet(self.out).drop("batch")
+        last = self.last_batch
+        closing = self.results(self.waiting.after(last), last + 1)
+        closing.write.mode("overwrite").parquet(f"{self.root}/closing")
+        closed = self.spark.read.schema(closing.schema).parquet(f"{self.root}/closing")
+        if last < 0:
+            return closed
+        paths = [f"{self.out}/batch={n}" for n in _numbered(self.spark, self.out, "batch") if n <= last]
+        return self.spark.read.schema(closing.schema).parquet(*paths).unionByName(closed)
 
 
 class StreamCartLabel(_Ordered):
     """Credits of purchases to their last earlier cart, in event-time order.
 
-    Carries the carts and purchases past the watermark and, per journey, its last cart for as long
-    as the bound. Purchases later than that after their cart are not credited.
+    Carries the carts and purchases past the watermark and, per journey, its last cart. With a
+    ``bound``, carts older than that at the watermark are dropped and later purchases are not credited;
+    such carts go to ``expired()``. Without one the credits are those of a batch run.
     """
 
     waiting_schema = (
@@ -221,36 +326,48 @@ class StreamCartLabel(_Ordered):
         spark: SparkSession,
         root: str,
         delay: dt.timedelta = dt.timedelta(hours=1),
-        bound: dt.timedelta = dt.timedelta(days=7),
+        bound: dt.timedelta | None = None,
     ):
         super().__init__(spark, root, delay)
-        self.bound = bound
+        self.limit = None if bound is None else bound // dt.timedelta(microseconds=1)
+
+    def expired(self) -> DataFrame:
+        """Last carts of journeys that were dropped because of the bound."""
+        return self._side("expired")
 
     def prepare(self, events: DataFrame) -> DataFrame:
         return events.filter(F.col("event_type").isin("cart", "purchase")).select(
             *JOURNEY, "event_type", "event_time"
         )
 
-    def advance(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
-        limit = self.bound // dt.timedelta(microseconds=1)
+    def results(self, final: DataFrame, batch_id: int) -> DataFrame:
+        credits = label_last_cart(final).drop("earlier_carts")
+        if self.limit is None:
+            return credits
         gap = F.unix_micros("purchase_time") - F.unix_micros("cart_time")
-        credits = label_last_cart(final).filter(gap <= limit).drop("earlier_carts")
-        self._write(credits, batch_id)
+        return credits.filter(gap <= self.limit)
+
+    def carry(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
         carts = (
             final.filter("event_type = 'cart'")
             .groupBy(*JOURNEY, "event_type")
             .agg(F.max("event_time").alias("event_time"))
         )
-        if horizon is not None:
-            carts = carts.filter(F.unix_micros("event_time") >= horizon - limit)
+        carts = carts.select(rest.columns)
+        if horizon is not None and self.limit is not None:
+            young = F.unix_micros("event_time") >= horizon - self.limit
+            old = carts.filter(~young)
+            old.write.mode("overwrite").parquet(f"{self.root}/expired/batch={batch_id}")
+            carts = carts.filter(young)
         self.waiting.save(rest.unionByName(carts), batch_id)
 
 
 class StreamActivityCount(_Ordered):
     """Running count of events per session, in event-time order.
 
-    Carries the rows past the watermark and one count per session; sessions idle for longer than
-    the timeout are forgotten.
+    Carries the rows past the watermark and one count per session. With a ``timeout``, sessions
+    idle for longer at the watermark count as ended: their next event is number 1 again. Without one the
+    counts are those of a batch run.
     """
 
     waiting_schema = (
@@ -263,36 +380,61 @@ class StreamActivityCount(_Ordered):
         spark: SparkSession,
         root: str,
         delay: dt.timedelta = dt.timedelta(hours=1),
-        timeout: dt.timedelta = dt.timedelta(days=7),
+        timeout: dt.timedelta | None = None,
     ):
         super().__init__(spark, root, delay)
-        self.timeout = timeout
-        self.counts = Carried(
-            spark, f"{root}/counts", "user_session string, n bigint, last_time timestamp"
+        self.timeout = None if timeout is None else timeout // dt.timedelta(microseconds=1)
+        self.counts = CarriedByKey(
+            spark,
+            f"{root}/counts",
+            "user_session string, n bigint, last_time timestamp",
+            "user_session",
         )
 
     def prepare(self, events: DataFrame) -> DataFrame:
         return events.select("user_id", "product_id", "user_session", "event_type", "event_time")
 
-    def advance(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
-        counts = self.counts.after(batch_id - 1)
-        rows = (
-            activity_count(final)
-            .join(counts.select("user_session", F.col("n").alias("_n")), "user_session", "left")
-            .withColumn("activity_count", F.col("activity_count") + F.coalesce("_n", F.lit(0)))
-            .drop("_n")
+    def _earlier(self, final: DataFrame, batch_id: int) -> DataFrame:
+        """Counts of earlier batches in the buckets of the sessions at hand."""
+        return self.counts.after(batch_id - 1, self.counts.touched(final))
+
+    def results(self, final: DataFrame, batch_id: int) -> DataFrame:
+        earlier = self._earlier(final, batch_id).select(
+            F.col("user_session").alias("_s"), F.col("n").alias("_n"), F.col("last_time").alias("_t")
+        )
+        if self.timeout is not None:
+            first = final.groupBy(F.col("user_session").alias("_f")).agg(
+                F.min("event_time").alias("_first")
+            )
+            gap = F.unix_micros("_first") - F.unix_micros("_t")
+            earlier = earlier.join(first, F.col("_s").eqNullSafe(F.col("_f"))).filter(
+                gap <= self.timeout
+            ).drop("_f", "_first")
+        rows = activity_count(final).join(
+            earlier, F.col("user_session").eqNullSafe(F.col("_s")), "left"
         )
-        self._write(rows, batch_id)
+        count = F.col("activity_count") + F.coalesce("_n", F.lit(0))
+        return rows.withColumn("activity_count", count).drop("_s", "_n", "_t")
+
+    def carry(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
+        earlier = self._earlier(final, batch_id)
         seen = final.groupBy("user_session").agg(
-            F.count("*").alias("n"), F.max("event_time").alias("last_time")
+            F.count("*").alias("n"),
+            F.max("event_time").alias("last_time"),
+            F.min("event_time").alias("_first"),
         )
-        merged = counts.unionByName(seen).groupBy("user_session").agg(
-            F.sum("n").alias("n"), F.max("last_time").alias("last_time")
+        both = earlier.withColumn("_first", F.lit(None).cast("timestamp")).unionByName(seen)
+        merged = both.groupBy("user_session").agg(
+            F.sum("n").alias("n"),
+            F.max("last_time").alias("last_time"),
+            F.sum(F.when(F.col("_first").isNotNull(), F.col("n"))).alias("_new"),
+            F.max("_first").alias("_first"),
+            F.max(F.when(F.col("_first").isNull(), F.col("last_time"))).alias("_before"),
         )
-        if horizon is not None:
-            oldest = horizon - self.timeout // dt.timedelta(microseconds=1)
-            merged = merged.filter(F.unix_micros("last_time") >= oldest)
-        self.counts.save(merged, batch_id)
+        if self.timeout is not None:
+            gap = F.unix_micros("_first") - F.unix_micros("_before")
+            merged = merged.withColumn("n", F.when(gap > self.timeout, F.col("_new")).otherwise(F.col("n")))
+        self.counts.save(merged.select("user_session", "n", "last_time"), batch_id)
         self.waiting.save(rest, batch_id)
 
 
@@ -307,8 +449,12 @@ class StreamUserFeatures:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self.state = Carried(spark, f"{root}/state", self.schema)
-        self.last_batch = -1
+        self.state = CarriedByKey(spark, f"{root}/state", self.schema, "user_id")
+
+    @property
+    def last_batch(self) -> int:
+        """The last micro-batch that was finished, -1 before the first."""
+        return max(_numbered(self.spark, f"{self.root}/done", "batch"), default=-1)
 
     @staticmethod
     def partial(events: DataFrame) -> DataFrame:
@@ -329,16 +475,18 @@ class StreamUserFeatures:
         )
 
     def step(self, events: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch into the carried totals."""
+        """Merge one micro-batch into the carried totals of the users it may hold."""
         totals = ["user_total_events", "user_total_views", "user_total_carts", "user_total_purchases", "purchase_sum"]
-        both = self.state.after(batch_id - 1).unionByName(self.partial(events))
+        fresh = self.partial(events).persist()
+        both = self.state.after(batch_id - 1, self.state.touched(fresh)).unionByName(fresh)
         merged = both.groupBy("user_id").agg(
             *[F.sum(c).alias(c) for c in totals],
             F.hll_union_agg("products").alias("products"),
             F.hll_union_agg("categories").alias("categories"),
         )
         self.state.save(merged, batch_id)
-        self.last_batch = batch_id
+        fresh.unpersist()
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/done/batch={batch_id}")
 
     def features(self) -> DataFrame:
         """User features as of the last micro-batch."""

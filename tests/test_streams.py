@@ -60,6 +60,54 @@ def test_late_rows_are_left_out(spark, events_of):
     job = streams.StreamCartLabel(spark, staging_path(spark, "l"), delay=dt.timedelta(minutes=30))
     got = job.run(files(spark, events_of, [on_time, late]))
     assert rows(got, "purchase_time", "cart_time") == [(at(310), at(300))]
+    assert rows(job.late(), "event_time", "event_type") == [(at(10), "purchase")]
+
+
+def test_old_carts_are_dropped_into_a_table(spark, events_of):
+    first = [(0, "cart", 1, 1, "s"), (200, "cart", 2, 1, "s")]
+    second = [(210, "purchase", 1, 1, "s"), (211, "purchase", 2, 1, "s")]
+    root, minutes = staging_path(spark, "b"), lambda n: dt.timedelta(minutes=n)
+    job = streams.StreamCartLabel(spark, root, delay=minutes(1), bound=minutes(60))
+    got = job.run(files(spark, events_of, [first, second]))
+    assert rows(got, "product_id") == [(2,)]
+    assert (at(0), 1) in rows(job.expired(), "event_time", "product_id")
+
+
+def test_idle_sessions_start_anew_with_a_timeout(spark, events_of):
+    data = [[(0, "view", 1, 1, "s"), (1, "view", 2, 1, "s"), (50, "view", 1, 1, "t")],
+            [(60, "view", 1, 1, "s"), (61, "view", 1, 1, "t")], [(200, "view", 1, 1, "u")]]
+    minutes = lambda n: dt.timedelta(minutes=n)
+    job = streams.StreamActivityCount(spark, staging_path(spark, "i"), delay=minutes(5), timeout=minutes(30))
+    got = job.run(files(spark, events_of, data))
+    assert rows(got, "user_session", "event_time", "activity_count") == [
+        ("s", at(0), 1), ("s", at(1), 2), ("s", at(60), 1), ("t", at(50), 1), ("t", at(61), 2), ("u", at(200), 1)
+    ]
+
+
+@pytest.mark.parametrize("form", ["credits", "activity", "users"])
+def test_a_finished_stream_can_be_started_again(spark, events_of, form):
+    data = make(6, 120)
+    path, root = staging_path(spark, "again-in"), staging_path(spark, "again")
+    made, want = {
+        "credits": (lambda: streams.StreamCartLabel(spark, root, dt.timedelta(minutes=1)),
+                    lambda df: labels.label_last_cart(df).drop("earlier_carts")),
+        "activity": (lambda: streams.StreamActivityCount(spark, root, dt.timedelta(minutes=1)), labels.activity_count),
+        "users": (lambda: streams.StreamUserFeatures(spark, root), features.agg_user),
+    }[form]
+
+    def result(upto):
+        expected = want(events_of(data[:upto]))
+        columns = [c for c in expected.columns if form != "activity" or c in (
+            "user_session", "event_time", "event_type", "product_id", "activity_count")]
+        got = made().run(streams.stream_events(spark, path, files_per_trigger=1))
+        assert rows(got, *columns) == rows(expected, *columns)
+
+    for start in (0, 40):
+        events_of(data[start : start + 40]).coalesce(1).write.mode("append").parquet(path)
+    result(80)
+    result(80)
+    events_of(data[80:]).coalesce(1).write.mode("append").parquet(path)
+    result(len(data))
 
 
 def test_a_repeated_batch_changes_nothing(spark, events_of):
