@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
+# Edges per task, about.
+TASK_ROWS = 50_000
+
 
 def groups(a: list[int], b: list[int]) -> dict[int, int]:
     """Node -> smallest node of its component, for the edges (a, b)."""
@@ -34,20 +37,23 @@ def _stars(batches):
     for batch in batches:
         a += batch.column("a").to_pylist()
         b += batch.column("b").to_pylist()
-    found = [(x, y) for x, y in groups(a, b).items() if x != y]
-    columns = [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)]
+    found = groups(a, b)
+    columns = [pa.array(list(x), pa.int64()) for x in (found.keys(), found.values())]
     yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); a component is its smallest node."""
-    alone = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("other"))
+    spark = edges.sparkSession
     stars = stage(edges.select("a", "b").mapInArrow(_stars, "a bigint, b bigint"), "stars")
+    # Few edges are left as a rule: as many tasks as their number asks for.
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(most, -(-stars.count() // TASK_ROWS)))
     both = stars.select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = both.unionByName(stars.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    both = stage(both.unionByName(alone).distinct(), "edges")
-    labels = both.groupBy("node").agg(F.min("other").alias("_o"))
-    labels = stage(labels.select("node", F.least("node", "_o").alias("component")), "labels")
+    both = stage(both.distinct().coalesce(tasks), "edges")
+    labels = both.groupBy("node").agg(F.min("other").alias("component"))
+    labels = stage(labels.coalesce(tasks), "labels")
     while True:
         near = both.join(
             labels.select(F.col("node").alias("other"), F.col("component").alias("_c")), "other"
@@ -61,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = step.join(jump, "to", "left").select(
             "node", "was", F.least("to", F.coalesce("_j", F.col("to"))).alias("component")
         )
-        step = stage(step, "labels")
+        step = stage(step.coalesce(tasks), "labels")
         labels = step.select("node", "component")
         if step.filter("was != component").isEmpty():
             return labels

@@ -269,54 +269,51 @@ def _links_of(grouped, own_side: bool) -> DataFrame:
     return grouped.applyInArrow(solve, EDGES)
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the component that the links found so far give them."""
-    found = components(links).select(F.col("node").alias("doc"), F.col("component").alias("_c"))
-    return members.join(found, "doc", "left").withColumn(
-        "component", F.coalesce("_c", F.col("doc"))
-    ).drop("_c")
+def _placed(members: DataFrame, block: int) -> DataFrame:
+    """Members with band and sub (their block), the blocks of their cluster and the first of those."""
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
+    members = members.withColumn("band", band.cast("int"))
+    bands = members.groupBy("cluster", "band").agg(
+        F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_subs")
+    )
+    clusters = bands.groupBy("cluster").agg(
+        F.sum("_subs").alias("_blocks"), F.min("band").alias("_first")
+    )
+    members = members.join(bands.join(clusters, "cluster"), ["cluster", "band"])
+    return members.withColumn("sub", F.pmod(F.xxhash64("doc"), F.col("_subs")).cast("int")).drop("_subs")
 
 
 def block_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges whose components are those of all links, from (doc, n_shingles, shingles, cluster).
 
     Documents of a cluster are banded by size, so that links join equal or neighbouring bands, and
-    bands are cut into blocks of about ``block`` documents. Blocks are joined with themselves, then with the first
-    of their cluster, then with each other where they are not connected yet. One step more
-    than blocks are many only if a cluster stays apart.
+    bands are cut into blocks of about ``block`` documents. Blocks are joined with themselves, then
+    with the first of their cluster, then with each other where they are not connected yet.
     """
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    members = members.withColumn("band", band.cast("int"))
-    sizes = members.groupBy("cluster", "band").agg(F.count("*").alias("_n"))
-    members = members.join(sizes, ["cluster", "band"]).withColumn(
-        "sub", F.pmod(F.xxhash64("doc"), F.ceil(F.col("_n") / F.lit(block))).cast("int")
-    ).drop("_n")
-    members = stage(members, "members")
+    members = stage(_placed(members, block), "members")
     alone = members.withColumn("component", F.col("doc"))
     links = stage(_links_of(alone.groupBy("cluster", "band", "sub"), False), "links")
-    blocks = members.select("cluster", "band", "sub").distinct()
-    many = stage(
-        blocks.groupBy("cluster").agg(
-            F.count("*").alias("_n"), F.min(F.struct("band", "sub")).alias("_first")
-        ).filter("_n > 1"), "many",
-    )
+    many = members.filter("_blocks > 1")
     if many.isEmpty():
         return links
-    members = members.join(many, "cluster")
     for rest in (False, True):
-        known = stage(_labelled(members, links), "labelled")
-        spans = known.groupBy("cluster", "band", "sub", "_first").agg(
-            F.min("component").alias("_lo"), F.max("component").alias("_hi")
+        found = components(links).select(F.col("node").alias("doc"), F.col("component").alias("_c"))
+        label = F.coalesce("_c", F.col("doc"))
+        spans = (
+            many.select("doc", "cluster", "band", "sub", "_first").join(found, "doc", "left")
+            .groupBy("cluster", "band", "sub", "_first")
+            .agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
         )
         a = spans.select("cluster", "_first", *[F.col(c).alias(f"a_{c}") for c in ("band", "sub", "_lo", "_hi")])
         b = spans.select("cluster", *[F.col(c).alias(f"b_{c}") for c in ("band", "sub", "_lo", "_hi")])
-        key_a, key_b = F.struct("a_band", "a_sub"), F.struct("b_band", "b_sub")
         near = F.abs(F.col("a_band") - F.col("b_band")) <= 1
         apart = ~((F.col("a__lo") == F.col("a__hi")) & (F.col("b__lo") == F.col("b__hi"))
                   & (F.col("a__lo") == F.col("b__lo")))
-        first = (F.col("a_band") == F.col("_first.band")) & (F.col("a_sub") == F.col("_first.sub"))
-        pairs = a.join(b, "cluster").filter(near & apart & (key_a < key_b))
-        pairs = pairs.filter(F.lit(True) if rest else first)
+        pairs = a.join(b, "cluster").filter(
+            near & apart & (F.struct("a_band", "a_sub") < F.struct("b_band", "b_sub"))
+        )
+        if not rest:
+            pairs = pairs.filter((F.col("a_band") == F.col("_first")) & (F.col("a_sub") == 0))
         sides = F.explode(F.array(
             F.struct(F.lit(0).alias("side"), F.col("a_band").alias("band"), F.col("a_sub").alias("sub")),
             F.struct(F.lit(1).alias("side"), F.col("b_band").alias("band"), F.col("b_sub").alias("sub")),
@@ -329,7 +326,8 @@ def block_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
             wanted = stage(wanted, "pairs")
             if wanted.isEmpty():
                 break
-        met = wanted.join(known.drop("_n", "_first"), ["cluster", "band", "sub"])
+        met = wanted.join(many.drop("_blocks", "_first"), ["cluster", "band", "sub"])
+        met = met.join(found, "doc", "left").withColumn("component", label).drop("_c")
         more = _links_of(met.groupBy("cluster", "pair"), True)
         links = stage(links.unionByName(more), "links")
     return links
