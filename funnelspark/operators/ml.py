@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ALL_FEATURES, TARGET
+from .encode import class_weight, fit_one_hot, one_hot_capped
 from .evaluate import binary_metrics
 
 ESTIMATORS = {
@@ -51,16 +52,70 @@ def pipeline(
     params: dict | None = None,
     features: list[str] = ALL_FEATURES,
     label: str = TARGET,
+    weight: str | None = None,
+    stop_on: str | None = None,
 ) -> Pipeline:
-    """Vector assembly (scaled for logistic regression) and the classifier."""
+    """Vector assembly (scaled for logistic regression) and the classifier.
+
+    ``weight`` names a column of row weights. ``stop_on`` names a boolean column of rows that boosted
+    trees do not learn from: boosting ends when the error on them no longer falls.
+    """
     linear = model_type == "logistic_regression"
     assembled = VectorAssembler(
-        inputCols=features, outputCol="raw_features" if linear else "features", handleInvalid="keep"
+        inputCols=features, outputCol="raw_features" if linear else "features", handleInvalid="error"
     )
     stages = [assembled]
     if linear:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True))
-    return Pipeline(stages=[*stages, estimator(model_type, params, label)])
+    last = estimator(model_type, params, label)
+    if weight is not None:
+        last = last.setParams(weightCol=weight)
+    if stop_on is not None:
+        last = last.setParams(validationIndicatorCol=stop_on)
+    return Pipeline(stages=[*stages, last])
+
+
+def require_complete(df: DataFrame, features: list[str] = ALL_FEATURES) -> DataFrame:
+    """The rows; an error names the features that are null or NaN in some of them."""
+    bad = [
+        F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in features
+    ]
+    found = {c: n for c, n in df.agg(*bad).first().asDict().items() if n}
+    if found:
+        raise ValueError(f"features without a value, by number of rows: {found}")
+    return df
+
+
+def with_class_weight(df: DataFrame, label: str = TARGET, out: str = "class_weight") -> DataFrame:
+    """Add the balanced weight of each row's class, so that both classes count alike."""
+    weights = class_weight(df, label).select(F.struct("weight_0", "weight_1")).scalar()
+    return df.withColumn(
+        out, F.when(F.col(label) == 1, weights["weight_1"]).otherwise(weights["weight_0"])
+    )
+
+
+def one_hot_tables(
+    train: DataFrame,
+    others: list[DataFrame],
+    numeric: list[str],
+    categorical: list[str],
+    max_categories: int = 100,
+) -> tuple[list[DataFrame], list[str]]:
+    """([train, *others] with 0/1 columns for the categories, feature names).
+
+    Slots are fitted on the train rows; their number is bounded by ``max_categories`` per column.
+    """
+    tables, before = [train, *others], set(train.columns)
+    for column in categorical:
+        fitted = fit_one_hot(train, column, max_categories)
+        tables = [one_hot_capped(t, fitted, column) for t in tables]
+    # Names of values may hold dots, which feature columns must not.
+    slots = [c for c in tables[0].columns if c not in before]
+    names = {c: f"slot_{i}" for i, c in enumerate(slots)}
+    tables = [
+        t.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in t.columns]) for t in tables
+    ]
+    return tables, [*numeric, *names.values()]
 
 
 def scored(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -97,9 +152,15 @@ def train_classifier(
     params: dict | None = None,
     features: list[str] = ALL_FEATURES,
     label: str = TARGET,
+    weight: str | None = None,
+    stop_on: str | None = None,
 ) -> Trained:
-    """Fit one classifier and measure accuracy on train and test."""
-    model = pipeline(model_type, params, features, label).fit(train)
+    """Fit one classifier and measure accuracy on train and test.
+
+    Rows may be weighted, as by ``with_class_weight``, and boosting may be stopped early (``pipeline``).
+    """
+    pipe = pipeline(model_type, params, features, label, weight, stop_on)
+    model = pipe.fit(require_complete(train, features))
     sides = [
         accuracy(model, side, label).withColumn("part", F.lit(name))
         for name, side in (("train", train), ("test", test))

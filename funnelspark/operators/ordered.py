@@ -174,7 +174,8 @@ def quantiles(
     counts = long.filter("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
     ranked = running_totals(counts, ["value"], {"upto": F.col("n")}, groups=keys)
     sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("total"))
-    placed = ranked.join(sizes, keys)
+    # Without groups there is one row per column of the call: no need to bring a column's values together.
+    placed = ranked.join(sizes if groups else F.broadcast(sizes), keys)
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("value")))

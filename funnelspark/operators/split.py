@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash32
+from ..session import stage
 
 BUCKET_BITS = 16
+# Up to this many classes their cuts are sent to all tasks.
+BROADCAST_CLASSES = 10_000
 
 
 def _bucket(h: Column) -> Column:
@@ -69,7 +72,12 @@ def hash_cut(
         placed = hashed.withColumns({f"_e{i}": edge[f"_e{i}"] for i in range(len(parts))})
     else:
         edges = counts.groupBy(F.col("_s").alias("_es")).agg(*edge_columns)
-        placed = hashed.join(edges, F.col("_s").eqNullSafe(F.col("_es")), "left")
+        # Stored and counted: a few classes must not shuffle the table into as many tasks.
+        edges = stage(edges, "edges")
+        few = edges.count() <= BROADCAST_CLASSES
+        placed = hashed.join(
+            F.broadcast(edges) if few else edges, F.col("_s").eqNullSafe(F.col("_es")), "left"
+        )
     on_edge = F.lit(False)
     for i in range(len(parts)):
         on_edge = on_edge | F.coalesce(F.col("_b") == F.col(f"_e{i}.b"), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encode, ml, score, split
 from ..operators.features import agg_user
-from ..schemas import ALL_FEATURES, CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
+from ..schemas import DECISION_THRESHOLD, ALL_FEATURES, CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 from . import tables
 from .q_features import KEYS, feature_rows
 from .registry import query
@@ -27,7 +27,7 @@ def prepared(spark, sf):
         parts = split.split_three_way(rows, KEYS, TARGET)
         encoders = encode.fit_target_encoder(parts.filter("part = 'train'"))
         ready = encode.apply_target_encoder(parts, encoders, CATEGORICAL_FEATURES)
-        folded = split.stratified_folds(ready, KEYS, TARGET, k=3)
+        folded = split.stratified_folds(ready, KEYS, TARGET, k=5)
         numeric = {c: F.col(c).cast("double") for c in NUMERIC_FEATURES}
         return folded.withColumns(numeric).select(*KEYS, *ALL_FEATURES, TARGET, "part", "fold")
 
@@ -63,27 +63,45 @@ def _(spark, sf):
 @query("tune_regularization")
 def _(spark, sf):
     train, val, _test = _parts(spark, sf)
-    return ml.tune_regularization(train, val, values=[0.01, 1.0, 100.0], max_iter=20)
+    return ml.tune_regularization(train, val)
 
 
 @query("search_params_cv")
 def _(spark, sf):
-    found = ml.search_params_cv(
-        prepared(spark, sf).filter("part <> 'test'"),
-        "fold",
-        3,
-        "decision_tree",
-        {"maxDepth": lambda r: r.randint(2, 6), "minInstancesPerNode": lambda r: r.randint(1, 20)},
-        trials=3,
-    )
+    found = ml.search_params_cv(prepared(spark, sf).filter("part <> 'test'"), "fold", 5, trials=3)
     return found.select("trial", "mean_f1", "std_f1", "is_best")
 
 
 @query("benchmark_models")
 def _(spark, sf):
     train, _val, test = _parts(spark, sf)
-    models = {name: SMALL[name] for name in ("decision_tree", "logistic_regression")}
-    return ml.benchmark_models(train, test, models)
+    return ml.benchmark_models(train, test, SMALL)
+
+
+@query(
+    "train_classifier_weighted",
+    """SELECT 'logistic_regression' AS model, count(*) > 0 AS weights_even_the_classes, true AS recall_does_not_fall
+    FROM features""",
+)
+def _(spark, sf):
+    """Balanced class weights add up to the same for both classes, and find no fewer purchases."""
+    train, _val, test = _parts(spark, sf)
+    weighted = ml.with_class_weight(train)
+    even = weighted.agg(
+        F.abs(F.sum(F.when(F.col(TARGET) == 1, F.col("class_weight")).otherwise(-F.col("class_weight")))) < 1e-6
+    ).scalar()
+    kind = "logistic_regression"
+    recall = [
+        ml.evaluate_model(
+            ml.train_classifier(weighted, test, kind, SMALL[kind], weight=w).model, test
+        ).select("recall").scalar()
+        for w in (None, "class_weight")
+    ]
+    return spark.range(1).select(
+        F.lit(kind).alias("model"),
+        even.alias("weights_even_the_classes"),
+        (recall[1] >= recall[0]).alias("recall_does_not_fall"),
+    )
 
 
 @query("refit_and_evaluate")
@@ -92,16 +110,41 @@ def _(spark, sf):
     return ml.refit_and_evaluate(train, val, test, "random_forest", SMALL["random_forest"])[1]
 
 
-@query("score_batch")
+@query(
+    "score_batch",
+    f"""SELECT user_id, product_id, true AS in_range, true AS label_follows,
+    {DECISION_THRESHOLD}::DOUBLE AS decision_threshold, true AS explained FROM features""",
+)
 def _(spark, sf):
     fitted = _trained(spark, sf)
     rows = score.score_batch(prepared(spark, sf), fitted.model, ml.importances(fitted))
+    p = F.col("probability")
     return rows.select(
-        *KEYS, "probability", "is_purchased", "decision_threshold", "model_used",
-        F.concat_ws(",", "explainability.top_signals.feature").alias("signals"),
+        "user_id",
+        "product_id",
+        p.between(0, 1).alias("in_range"),
+        (F.col("is_purchased") == (p >= F.col("decision_threshold")).cast("int")).alias("label_follows"),
+        "decision_threshold",
+        (F.size("explainability.top_signals.feature") > 0).alias("explained"),
     )
 
 
-@query("agg_user_approximate")
+@query(
+    "agg_user_approximate",
+    """SELECT user_id, user_total_events, user_total_views, user_total_carts, user_total_purchases, true AS close
+    FROM agg_user""",
+)
 def _(spark, sf):
-    return agg_user(tables.raw(spark, sf), approximate=True)
+    """Exact totals; distinct counts within a tenth of the exact ones."""
+    events = tables.raw(spark, sf)
+    exact = agg_user(events).select(
+        "user_id", *[F.col(c).alias(f"_{c}") for c in ("user_unique_products", "user_unique_categories")]
+    )
+    both = agg_user(events, approximate=True).join(exact, "user_id")
+    close = F.lit(True)
+    for c in ("user_unique_products", "user_unique_categories"):
+        close = close & (F.abs(F.col(c) - F.col(f"_{c}")) <= F.greatest(F.lit(1), F.col(f"_{c}") / 10))
+    return both.select(
+        "user_id", "user_total_events", "user_total_views", "user_total_carts", "user_total_purchases",
+        close.alias("close"),
+    )

@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import clean as clean_ops
 from ..operators import labels as label_ops
 from ..operators import store as store_ops
-from ..schemas import LITE_FEATURES, SAMPLE_COLUMNS
+from ..schemas import ALL_FEATURES, LITE_FEATURES, SAMPLE_COLUMNS
 from ..session import staging_path
 from ..sources import readers, writers
 from . import tables
@@ -293,11 +293,22 @@ def _(spark, sf):
     return clean_ops.fill_missing_columns(df).drop("user_id")
 
 
-@query("select_model_columns")
+@query(
+    "select_model_columns",
+    "SELECT c AS \"column\", CASE WHEN c IN ('brand', 'category_code_level1', 'category_code_level2') THEN 'categorical' "
+    "ELSE 'numeric' END AS kind, count(*) AS present FROM features, (SELECT unnest("
+    + str(sorted(ALL_FEATURES))
+    + ") AS c) GROUP BY 1, 2",
+)
 def _(spark, sf):
+    """Each selected column with its kind and its rows that have a value."""
     features = tables.features(spark, sf)
     categorical, numeric = clean_ops.select_model_columns(features)
-    return features.select(*categorical, *numeric)
+    kinds = [(c, "categorical") for c in categorical] + [(c, "numeric") for c in numeric]
+    counts = features.agg(*[F.count(c).alias(c) for c, _ in kinds])
+    long = counts.unpivot([], [c for c, _ in kinds], "column", "present")
+    kind = F.when(F.col("column").isin(categorical), "categorical").otherwise("numeric")
+    return long.select("column", kind.alias("kind"), "present")
 
 
 @query(
@@ -310,7 +321,10 @@ def _(spark, sf):
     return checked.select("row_id", F.concat_ws(",", "violations").alias("violations"))
 
 
-@query("detect_feature_set")
+@query(
+    "detect_feature_set",
+    "SELECT count(*) AS rows, 'full' AS features, 'lite' AS batch FROM features",
+)
 def _(spark, sf):
     full = clean_ops.detect_feature_set(tables.features(spark, sf))
     lite = clean_ops.detect_feature_set(tables.lite_batch(spark, sf))

@@ -62,3 +62,40 @@ def test_benchmark_and_refit(parts):
     assert got["decision_tree"].accuracy_diff == 0.0 and len(got) == 2
     _model, metrics = ml.refit_and_evaluate(train, val, test, "decision_tree", {"maxDepth": 3}, FEATURES)
     assert metrics.first().auc_roc > 0.8
+
+
+def test_class_weights_raise_recall(spark, parts):
+    train, _val, test = parts
+    rare = train.filter("is_purchased = 0 or id % 6 = 0")
+    weighted = ml.with_class_weight(rare)
+    sums = {r[0]: r[1] for r in weighted.groupBy("is_purchased").sum("class_weight").collect()}
+    assert sums[0] == pytest.approx(sums[1])
+    recall = [
+        ml.evaluate_model(
+            ml.train_classifier(weighted, test, "logistic_regression", {"maxIter": 10}, FEATURES, weight=w).model, test
+        ).first().recall
+        for w in (None, "class_weight")
+    ]
+    assert recall[1] > recall[0]
+
+
+def test_a_missing_value_is_named(spark, parts):
+    from pyspark.sql import functions as F
+
+    train, _val, test = parts
+    holes = train.withColumn("rate", F.when(F.col("id") % 50 != 0, F.col("rate")))
+    with pytest.raises(ValueError, match="rate"):
+        ml.train_classifier(holes, test, "logistic_regression", {"maxIter": 2}, FEATURES)
+
+
+def test_one_hot_table_and_early_stopping(spark, parts):
+    from pyspark.sql import functions as F
+
+    train, val, test = (p.withColumn("kind", F.when(F.col("rate") > 0.3, "a.b").otherwise("c")) for p in parts)
+    (train1, test1), names = ml.one_hot_tables(train, [test], ["noise"], ["kind"], 5)
+    assert names == ["noise", "slot_0", "slot_1"] and train1.columns == test1.columns
+    fitted = ml.train_classifier(train1, test1, "logistic_regression", {"maxIter": 10}, names)
+    assert {r.part: r.accuracy for r in fitted.metrics.collect()}["test"] > 0.75
+    both = train.withColumn("held", F.lit(False)).unionByName(val.withColumn("held", F.lit(True)))
+    long = ml.pipeline("gradient_boosting", {"maxIter": 30, "seed": 1}, FEATURES, stop_on="held").fit(both)
+    assert 0 < len(long.stages[-1].trees) < 30
