@@ -14,7 +14,7 @@ BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 # 5 modulo 8: powers minus one then have few factors of two.
 WORD_BASES = (0xD6E8FEB86659FD95 & ~7 | 5, 0xA0761D6478BD642F & ~7 | 5)
 # Bytes hashed in one go.
-SPAN = 1 << 21
+SPAN = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,6 +50,18 @@ def runs(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> n
     return mix((sums[end] - sums[begin]) * inverse[begin])
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
+    """Hash of each word ``data[start:stop]``; about SPAN bytes are widened at once."""
+    out, i = np.empty(len(start), dtype=np.uint64), 0
+    while i < len(start):
+        a = int(start[i])
+        j = max(i + 1, int(np.searchsorted(stop, a + SPAN, side="right")))
+        wide = data[a : stop[j - 1]].astype(np.uint64) + np.uint64(1)
+        out[i:j] = runs(wide, start[i:j] - a, stop[i:j] - a, base)
+        i = j
+    return out
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets) of an Arrow string column; a null text is empty."""
     import pyarrow as pa
@@ -117,9 +129,8 @@ def window_hashes(
         # Window k of a document starts at its k-th word.
         begin = np.repeat(at[:-1] - (np.cumsum(count) - count), count) + np.arange(total)
         end = begin + np.repeat(np.minimum(n, size), count)
-        wide = b.astype(np.uint64) + np.uint64(1)
         for p in range(planes):
-            word = runs(wide, start, stop, BASES[p])
+            word = word_hashes(b, start, stop, BASES[p])
             hashes[p].append(runs(word, begin, end, WORD_BASES[p]))
         windows.append(count)
         words.append(n)

@@ -230,12 +230,13 @@ def first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         for batch in batches:
             shingles, docs = [], []
-            for row in batch.to_pylist():
-                n = row["n_shingles"]
-                s = np.frombuffer(row["shingles"], "<i8")
-                s = s[row["ones"] : n - -(-percent * n // 100) + 1]
+            sizes, ones = (batch.column(c).to_pylist() for c in ("n_shingles", "ones"))
+            names = batch.column("doc").to_pylist()
+            for name, n, alone, held in zip(names, sizes, ones, batch.column("shingles")):
+                s = np.frombuffer(held.as_buffer(), "<i8")
+                s = s[alone : n - -(-percent * n // 100) + 1]
                 shingles.append(s)
-                docs.append(np.full(len(s), row["doc"], dtype=np.int64))
+                docs.append(np.full(len(s), name, dtype=np.int64))
             if shingles:
                 arrays = [pa.array(np.concatenate(shingles)), pa.array(np.concatenate(docs))]
                 yield pa.RecordBatch.from_arrays(arrays, ["shingle", "doc"])

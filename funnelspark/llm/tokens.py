@@ -273,11 +273,22 @@ def id_type(said: dict) -> str:
     return "<u2" if max(ids) < 1 << 16 else "<u4"
 
 
-def library_splitter(path: str) -> Callable[[str], list[str]]:
-    """Pre-split by the tokenizers library itself."""
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """The library's tokenizer, one per worker and file."""
+    # Spark runs one worker per core; threads of the library would only compete with them.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    pre = Tokenizer.from_file(path).pre_tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def library_splitter(path: str) -> Callable[[str], list[str]]:
+    """Pre-split by the tokenizers library itself."""
+    pre = _tokenizer(path).pre_tokenizer
 
     def split(text: str) -> list[str]:
         return [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
@@ -288,14 +299,7 @@ def library_splitter(path: str) -> Callable[[str], list[str]]:
 @functools.lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceEncoder:
     """Encoder whose ids come from the tokenizers library; one per worker and file."""
-    # Spark runs one worker per core; threads of the library would only compete with them.
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    said = read_vocabulary(path)
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    said, tokenizer = read_vocabulary(path), _tokenizer(path)
     dtype = id_type(said)
     dtype_code = "H" if dtype == "<u2" else "I"
 
