@@ -18,7 +18,7 @@ LINES, THRESHOLD = 40, 20
 REACH = 1.05
 GROWTH = 1.3
 # Rows of one index, and queries that search it together.
-INDEX_ROWS, QUERY_ROWS = 1024, 128
+INDEX_ROWS, QUERY_ROWS = 4096, 128
 
 FOUND = "query_id bigint, query_key bigint, vec_id bigint, score double"
 
@@ -40,50 +40,52 @@ class LineIndex:
         import numpy as np
 
         self.vectors, self.ids = vectors, ids
-        self.n = len(vectors)
+        n = len(vectors)
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], lines))
         projected = (vectors @ self.directions).T
-        self.order = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        # Place of each vector on each line: it is in a window if its place is.
+        self.places = np.empty((lines, n), dtype=np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(n, dtype=self.places.dtype)[None, :], axis=1)
+
+    def collisions(self, at, half: float):
+        """In how many windows of half width ``half`` around a query each vector is."""
+        import numpy as np
+
+        count = np.zeros((at.shape[1], len(self.ids)), dtype=np.uint16)
+        kind = self.places.dtype
+        for line, places, q in zip(self.sorted, self.places, at):
+            begin = np.searchsorted(line, q - half, "left").astype(kind)
+            end = np.searchsorted(line, q + half, "right").astype(kind)
+            # Places before the window wrap around to large numbers.
+            count += (places[None, :] - begin[:, None]) < (end - begin)[:, None]
+        return count
 
     def search(self, queries, own, k: int, threshold: int = THRESHOLD):
         """(query, row, distance) of the k nearest verified rows per query; ids equal to ``own`` are left out."""
         import numpy as np
 
-        lines, n, count = len(self.sorted), self.n, len(queries)
+        n, count = len(self.ids), len(queries)
         at = (queries @ self.directions).T
-        allowed = self.ids[None, :] != own[:, None]
-        wanted = np.minimum(k, allowed.sum(axis=1))
+        fresh = self.ids[None, :] != own[:, None]
+        wanted = np.minimum(k, fresh.sum(axis=1))
         distance = np.full((count, n), np.inf)
-        collisions = np.zeros((count, n), dtype=np.int64)
         active = np.flatnonzero(wanted > 0)
-        lo = np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, at)])
-        hi = lo.copy()
         spread = self.sorted[:, -1] - self.sorted[:, 0]
-        half = max(float(spread.max()) / 64, 1e-12)
+        half = max(float(spread.max()) / 16, 1e-12)
         while len(active):
-            new_lo = np.stack([np.searchsorted(s, a - half, "left") for s, a in zip(self.sorted, at[:, active])])
-            new_hi = np.stack([np.searchsorted(s, a + half, "right") for s, a in zip(self.sorted, at[:, active])])
-            old_lo, old_hi = lo[:, active], hi[:, active]
-            new_lo, new_hi = np.minimum(new_lo, old_lo), np.maximum(new_hi, old_hi)
-            # What each window gains on either side, as positions in all sorted lines.
-            base = np.arange(lines)[:, None] * n
-            begin = np.concatenate([(base + new_lo).ravel(), (base + old_hi).ravel()])
-            size = np.concatenate([(old_lo - new_lo).ravel(), (new_hi - old_hi).ravel()])
-            who = np.tile(np.tile(np.arange(len(active)), lines), 2)
-            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            rows = self.order.ravel()[np.repeat(begin, size) + step]
-            met = np.bincount(np.repeat(who, size) * n + rows, minlength=len(active) * n)
-            collisions[active] += met.reshape(len(active), n)
-            lo[:, active], hi[:, active] = new_lo, new_hi
-            passed = (collisions[active] >= threshold) & allowed[active] & np.isinf(distance[active])
-            q, v = np.nonzero(passed)
-            for i in range(0, len(q), 1 << 16):
-                a, b = active[q[i : i + (1 << 16)]], v[i : i + (1 << 16)]
-                gap = self.vectors[b] - queries[a]
-                distance[a, b] = np.sqrt((gap * gap).sum(axis=1))
-            near = np.sort(distance[active], axis=1)[:, : max(k, 1)]
-            last = near[np.arange(len(active)), wanted[active] - 1]
+            passed = (self.collisions(at[:, active], half) >= threshold) & fresh[active]
+            for q, hit in zip(active.tolist(), passed):
+                rows = np.flatnonzero(hit)
+                if len(rows):
+                    gap = self.vectors[rows] - queries[q]
+                    distance[q, rows] = np.sqrt((gap * gap).sum(axis=1))
+                    fresh[q, rows] = False
+            last = np.empty(len(active))
+            for want in np.unique(wanted[active]):
+                some = wanted[active] == want
+                last[some] = np.partition(distance[active[some]], want - 1, axis=1)[:, want - 1]
             active = active[~(half >= REACH * last)]
             half *= GROWTH
         out = []
