@@ -1,8 +1,8 @@
-import datetime as dt
 import os
 import sys
 
 import pytest
+from helpers import at
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,14 +29,6 @@ def spark():
     session.stop()
 
 
-START = dt.datetime(2024, 1, 1, 10)
-
-
-def at(minutes: float) -> dt.datetime:
-    """A time some minutes after the start."""
-    return START + dt.timedelta(minutes=minutes)
-
-
 @pytest.fixture(scope="session")
 def events_of(spark):
     """Event rows from (minutes, type, product, user, session[, price, brand, category])."""
@@ -49,13 +41,3 @@ def events_of(spark):
         return spark.createDataFrame(full, EVENTS)
 
     return make
-
-
-def in_order(tuples):
-    """Tuples sorted by the text of their values."""
-    return sorted(tuples, key=lambda r: tuple((v is None, str(v)) for v in r))
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    return in_order(tuple(r) for r in (df.select(*columns) if columns else df).collect())

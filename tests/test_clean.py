@@ -1,5 +1,5 @@
 import pytest
-from conftest import at, rows
+from helpers import at, rows
 from pyspark.sql import functions as F
 
 from funnelspark.functions import columns as C

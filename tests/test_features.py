@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import at, rows
+from helpers import at, rows
 
 from funnelspark.operators import features, labels, store
 from funnelspark.operators.clean import clean_events

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import at, in_order, rows
+from helpers import at, in_order, rows
 from pyspark.sql import functions as F
 
 from funnelspark.operators import labels

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import in_order, rows
+from helpers import in_order, rows
 from pyspark.sql import functions as F
 
 from funnelspark.operators import ordered

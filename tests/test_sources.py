@@ -1,7 +1,7 @@
 import gzip
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from funnelspark import session
