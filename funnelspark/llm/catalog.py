@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ["q_native", "q_tokens", "q_dedup", "q_models"]
+MODULES = ["q_native", "q_tokens", "q_dedup", "q_models", "q_audit"]
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
 
