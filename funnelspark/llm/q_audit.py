@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle
+from . import divergence, merkle
 from .registry import query, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,3 +87,46 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = merkle.leaf_digest([lowered if c == "text" else F.col(c) for c in merkle.FIELDS])
     fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.manifest(docs, altered=F.when(fifth, other)).drop("source", "place")
+
+
+@query(
+    "op12_source_divergence",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+      FROM documents
+    ), occ AS (
+      SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+    ), kept AS (
+      SELECT lang, term, count(*) AS n FROM occ GROUP BY ALL HAVING count(DISTINCT r) >= 3
+    ), v AS (
+      SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+    ), g AS (
+      SELECT DISTINCT lang, source FROM d
+    ), c AS (
+      SELECT lang, source, term, count(*)::HUGEINT AS n FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL
+    ), s AS (
+      SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS size FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+    ), p AS (
+      SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (size + v) AS p,
+        1 + 1000000000 * (k.n::HUGEINT + 1) // (total + v) AS q
+      FROM s JOIN kept k ON k.lang = s.lang JOIN v ON v.lang = s.lang
+      LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+    ), pair AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+    ), both_parts AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+      LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts
+    ) WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))

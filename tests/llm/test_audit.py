@@ -1,12 +1,16 @@
 """Manifest, source audit and near-duplicate vectors against plain versions."""
 
 import hashlib
+import random
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from funnelspark.llm import merkle
+from funnelspark.llm import divergence, merkle
 from funnelspark.llm.q_audit import LOWER, UPPER
 
 DOCS = "doc_id bigint, source string, lang string, n_chars bigint, text string, place string, digest string, path int"
@@ -99,3 +103,79 @@ def test_blocks_of_a_tree_are_the_tree():
     found = merkle.descend(made, "")
     assert [merkle._steps(p) for p in found] == paths
     assert all(merkle.fold(d, p) == root for d, p in zip(leaves, found))
+
+
+def plain_divergence(rows, top=200):
+    """Rows are (text, lang, source)."""
+    docs = [
+        ([m.translate({c: c + 32 for c in range(65, 91)}) for m in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")],
+         lang or "", source or "")
+        for t, lang, source in rows
+    ]
+    out = []
+    for lang in {d[1] for d in docs}:
+        own = [d for d in docs if d[1] == lang]
+        seen = Counter(t for d in own for t in set(d[0]))
+        kept = {t for t, n in seen.items() if n >= 3}
+        every = Counter(t for d in own for t in d[0] if t in kept)
+        by = {s: Counter() for s in {d[2] for d in own}}
+        for terms, _, s in own:
+            by[s].update(t for t in terms if t in kept)
+
+        def share(counts, t):
+            return 1 + 1_000_000_000 * (counts[t] + 1) // (sum(counts.values()) + len(kept))
+
+        p = {s: {t: share(c, t) for t in kept} for s, c in by.items()}
+        q = {t: share(every, t) for t in kept}
+        for s in by:
+            pair = [(-sum((p[s][t] - p[o][t]) ** 2 // p[o][t] for t in kept), o.encode()) for o in by if o != s]
+            term = [(-((p[s][t] - q[t]) ** 2 // q[t]), t.encode()) for t in kept if by[s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", pair), ("term", term)):
+                for rank, (value, item) in enumerate(sorted(found), 1):
+                    if part == "pair" or rank <= top:
+                        out.append((lang, s, part, item.decode(), -value, rank))
+    return sorted(out)
+
+
+def spark_divergence(spark, rows, **options):
+    docs = spark.createDataFrame([(t, a, b, 1, "x") for t, a, b in rows], "text string, lang string, source string, n int, term string")
+    return sorted(tuple(r) for r in divergence.source_divergence(docs, **options).collect())
+
+
+LONG = ["abcdefgh", "abcdefghi", "abcdefghabcdefgh", "abcdefghabcdefghx", "é" * 40, "日本語のテキスト", "x" * 50_000, "x" * 50_001]
+
+
+def random_rows(seed, n=150):
+    r = random.Random(seed)
+    words = [w for k in range(30) for w in (f"w{chr(97 + k % 26)}{'abc'[k % 3]}", f"Tërm{chr(97 + k % 26)}")] + LONG[:6]
+    rows = []
+    for _ in range(n):
+        text = r.choice([" ", "1", "_\n"]).join(r.choice(words) for _ in range(r.randint(0, 60)))
+        rows.append((text, r.choice(["en", "en", "de", None]), r.choice(["a", "a", "b", "c", None, "é"])))
+    return rows
+
+
+def test_divergence_of_random_texts(spark):
+    for seed in range(2):
+        rows = random_rows(seed)
+        assert spark_divergence(spark, rows) == plain_divergence(rows)
+
+
+def test_divergence_of_texts_that_are_hard_to_handle(spark):
+    rows = [(" ".join(LONG), "en", s) for s in "abc"] + [(None, "en", "d"), ("", None, None), ("only once", "fr", "a"),
+            ("1 2 3", "fr", "b"), ("A a A b", "es", "z"), ("A a A b", "es", "z"), ("a A", "es", "z")]
+    assert spark_divergence(spark, rows) == plain_divergence(rows)
+    assert spark_divergence(spark, rows, top_terms=2) == plain_divergence(rows, 2)
+    assert spark_divergence(spark, []) == []
+
+
+def test_radix_order_is_a_stable_sort():
+    r = np.random.default_rng(0)
+    words = r.integers(0, 1 << 63, 500, dtype=np.uint64)[r.integers(0, 500, 3000)]
+    assert divergence.radix_order(words).tolist() == np.argsort(words, kind="stable").tolist()
+
+
+def test_large_counts_stay_exact(spark):
+    made = spark.range(1).selectExpr("10000000000000 AS c", "30000000000000 AS s", "7L AS v")
+    got = made.selectExpr(divergence._share("c", "s", "v") + " AS p").first()["p"]
+    assert got == 1 + 1_000_000_000 * (10**13 + 1) // (3 * 10**13 + 7)
