@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from funnelspark.llm import divergence, merkle
+from funnelspark.llm import divergence, merkle, near_vectors
 from funnelspark.llm.q_audit import LOWER, UPPER
 
 DOCS = "doc_id bigint, source string, lang string, n_chars bigint, text string, place string, digest string, path int"
@@ -179,3 +179,109 @@ def test_large_counts_stay_exact(spark):
     made = spark.range(1).selectExpr("10000000000000 AS c", "30000000000000 AS s", "7L AS v")
     got = made.selectExpr(divergence._share("c", "s", "v") + " AS p").first()["p"]
     assert got == 1 + 1_000_000_000 * (10**13 + 1) // (3 * 10**13 + 7)
+
+
+def plain_links(rows, threshold=0.95):
+    """Rows are (vec_id, vector)."""
+    def good(i, v):
+        return i is not None and bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    nodes = sorted({(i, tuple(x + 0.0 for x in v)) for i, v in rows if good(i, v)})
+    links, root = Counter(), {i: i for i, _ in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for size in {len(v) for _, v in nodes}:
+        own = [n for n in nodes if len(n[1]) == size]
+        m = np.array([v for _, v in own], np.float64)
+        norms = np.sqrt((m * m).sum(axis=1))
+        near = m @ m.T / np.outer(norms, norms) >= threshold
+        for a, b in zip(*np.nonzero(near)):
+            if a != b:
+                links[own[a]] += 1
+                x, y = sorted((find(own[a][0]), find(own[b][0])))
+                root[y] = x
+    out = []
+    for i, v in rows:
+        if good(i, v):
+            c = find(i)
+            out.append((i, links[i, tuple(x + 0.0 for x in v)], c, c == i))
+        else:
+            out.append((i, 0, i, True))
+    return sorted(out, key=str)
+
+
+def spark_links(spark, rows, kind="float"):
+    df = spark.createDataFrame(
+        [(i, v, "n", 1, "d") for i, v in rows], f"vec_id bigint, embedding array<{kind}>, node string, weight int, digest string"
+    )
+    return sorted((tuple(r) for r in near_vectors.near_duplicates(df).collect()), key=str)
+
+
+def single(v):
+    return [float(x) for x in np.asarray(v, np.float32)]
+
+
+def clustered(seed, count, dim=16):
+    """Vectors with copies, near copies and chains of neighbours."""
+    r = np.random.default_rng(seed)
+    out = [r.standard_normal(dim)]
+    for _ in range(count - 1):
+        kind, old = r.random(), out[r.integers(len(out))]
+        if kind < 0.2:
+            out.append(old)
+        elif kind < 0.5:
+            out.append(old + r.standard_normal(dim) * np.linalg.norm(old) * r.uniform(0.02, 0.1))
+        else:
+            out.append(r.standard_normal(dim))
+    return [(int(i), single(v)) for i, v in zip(r.permutation(count), out)]
+
+
+def test_links_of_clustered_vectors(spark, monkeypatch):
+    for rows, kind in [(clustered(0, 700), "float"), (clustered(1, 300, 3), "double")]:
+        assert spark_links(spark, rows, kind) == plain_links(rows)
+    # Many small cells, and cells dealt as pairs of blocks, give the same links.
+    rows = clustered(2, 1500, 24)
+    monkeypatch.setattr(near_vectors, "CELL_ROWS", 40)
+    near_vectors.plan.cache_clear()
+    assert near_vectors.plan(1000)[1] > 5
+    want = plain_links(rows)
+    assert spark_links(spark, rows) == want
+    monkeypatch.setattr(near_vectors, "BLOCK_ROWS", 30)
+    assert spark_links(spark, rows) == want
+    near_vectors.plan.cache_clear()
+
+
+def test_links_of_vectors_that_are_hard_to_handle(spark):
+    rows = [
+        (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, -0.0]), (4, None), (5, []), (6, [0.0, 0.0]),
+        (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [None, 1.0]), (None, [1.0, 0.0]), (10, [1.0, 0.0, 0.0]),
+        (11, [-1.0, 0.0]), (12, [0.95, 0.3122499]), (13, [0.95, 0.3122]), (14, [0.0, 1.0]), (14, [1.0, 0.01]), (15, [0.01, 1.0]),
+    ]
+    got = spark_links(spark, rows, "double")
+    assert got == plain_links(rows)
+    assert spark_links(spark, []) == []
+
+
+def test_a_vector_that_very_many_rows_share(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(5000)] + [(5000 + i, [float(i), 1.0, -50.0]) for i in range(40)]
+    assert spark_links(spark, rows) == plain_links(rows)
+
+
+def test_plan_reaches_the_wanted_recall():
+    lines, rounds, enough = near_vectors.plan(1 << 20)
+    r = np.random.default_rng(5)
+    one = r.standard_normal((4000, 64))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    across = r.standard_normal((4000, 64))
+    across -= (across * one).sum(axis=1)[:, None] * one
+    across /= np.linalg.norm(across, axis=1)[:, None]
+    two, ones = 0.95 * one + np.sqrt(1 - 0.95**2) * across, np.ones(4000)
+    width = near_vectors.WIDTH * np.sqrt(0.1)
+    a, b = (near_vectors.cell_keys(v, ones, lines, rounds, width) for v in (one, two))
+    gaps = [near_vectors.project(v, ones, near_vectors._lines(64, near_vectors.LINES, 3)) for v in (one, two)]
+    close = np.abs(gaps[0] - gaps[1]) <= near_vectors.HALF * np.sqrt(0.1)
+    assert ((a == b).any(axis=1) & (close.sum(axis=1) >= enough)).mean() > 0.995
