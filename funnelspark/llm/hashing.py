@@ -1,7 +1,9 @@
 """Hashes of words and of runs of words, for whole Arrow columns at a time.
 
-Words are found in the UTF-8 bytes. A word's hash is a polynomial of its bytes, read off prefix sums and
-mixed; a run's hash is a polynomial of its words' hashes, mixed again. All sums are modulo 2**64.
+Words are found in the UTF-8 bytes. A word's hash is the sum of its eight-byte pieces, each mixed with its place
+before it is added; so words of up to eight bytes never share one. A run's hash is a polynomial of its words'
+hashes, read off prefix sums and mixed again. All sums are modulo 2**64. Runs are meant to be short: bases of
+5 modulo 8 lose 14 of 64 bits to the powers of two in runs of 20 words, and all of them in runs of 1,024.
 """
 
 from __future__ import annotations
@@ -51,15 +53,20 @@ def runs(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> n
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
-    """Hash of each word ``data[start:stop]``; about SPAN bytes are widened at once."""
-    out, i = np.empty(len(start), dtype=np.uint64), 0
-    while i < len(start):
-        a = int(start[i])
-        j = max(i + 1, int(np.searchsorted(stop, a + SPAN, side="right")))
-        wide = data[a : stop[j - 1]].astype(np.uint64) + np.uint64(1)
-        out[i:j] = runs(wide, start[i:j] - a, stop[i:j] - a, base)
-        i = j
-    return out
+    """Hash of each word ``data[start:stop]``, none of them empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    # The eight bytes from each position on, read where they are needed.
+    eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    size = stop - start
+    count = (size + 7) >> 3
+    first = np.cumsum(count) - count
+    place = np.arange(int(first[-1] + count[-1])) - np.repeat(first, count)
+    rest = np.minimum(np.repeat(size, count) - 8 * place, 8).astype(np.uint64)
+    piece = eight[np.repeat(start, count) + 8 * place] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * rest))
+    piece = mix(piece ^ (np.uint64(base) * (place + 1).astype(np.uint64)))
+    return mix(np.add.reduceat(piece, first) + np.uint64(base) * size.astype(np.uint64))
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

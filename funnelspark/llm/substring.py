@@ -1,7 +1,7 @@
 """Removal of passages that occur earlier in the corpus, by windows of words.
 
 A merged count-min sketch first says which windows can be repeated at all; only these are then grouped exactly, by
-128 bits of their words' hash. Each chunk of documents sends a repeated window once, with its earliest
+128 bits of their words' hash (two hashes of 64 bits, both compared in every step). Each chunk of documents sends a repeated window once, with its earliest
 document, and learns for each whether an earlier document has it, so a passage that stands in
 very many documents is one row per chunk.
 """
@@ -31,11 +31,25 @@ def _sorted(table):
     return table.sort_by([("key", "ascending"), ("text", "ascending")])
 
 
-def _windows(table, size: int, planes: int):
+def unlike(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first hash of each different pair, index of its first pair, pair -> different pair), by pairs of hashes."""
+    distinct, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+    if (two == two[first][inverse]).all():
+        return distinct, first, inverse
+    # Equal in one hash only: rare enough to sort by both.
+    order = np.lexsort((np.arange(len(one)), two, one))
+    a, b = one[order], two[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    inverse = np.empty(len(one), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return a[new], order[new], inverse
+
+
+def _windows(table, size: int):
     """(distinct hashes, index of the first window of each, window -> distinct, hashes, ...)."""
     data, offsets = text_bytes(table.column("text"))
-    hashes, per_doc, words = window_hashes(data, offsets, size, planes)
-    distinct, first, inverse = np.unique(hashes[0], return_index=True, return_inverse=True)
+    hashes, per_doc, words = window_hashes(data, offsets, size, 2)
+    distinct, first, inverse = unlike(*hashes)
     return distinct, first, inverse, hashes, per_doc, words
 
 
@@ -103,7 +117,7 @@ def dedup_substrings(
     chunks = rows.groupBy("chunk")
 
     def ask_sketch(table):
-        distinct, _, inverse, *_ = _windows(table, size, 1)
+        distinct, _, inverse, *_ = _windows(table, size)
         counts = np.minimum(np.bincount(inverse, minlength=len(distinct)), sketch.MOST)
         return sketch.requests(table.column("chunk")[0].as_py(), distinct, counts, shape)
 
@@ -112,7 +126,7 @@ def dedup_substrings(
 
         chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
         table = _sorted(table)
-        distinct, first, _, hashes, per_doc, _ = _windows(table, size, 2)
+        distinct, first, _, hashes, per_doc, _ = _windows(table, size)
         seen = np.flatnonzero(sketch.estimates(distinct, answers.to_pylist(), shape) > 1)
         doc = np.repeat(table.column("key").to_numpy(), per_doc)[first[seen]]
         keys, checks = distinct[seen], hashes[1][first[seen]]
@@ -144,7 +158,7 @@ def dedup_substrings(
         import pyarrow as pa
 
         table = _sorted(table)
-        distinct, first, inverse, _, per_doc, words = _windows(table, size, 1)
+        distinct, first, inverse, _, per_doc, words = _windows(table, size)
         said = answers.to_pylist()
         seen = sketch.estimates(distinct, [a for a in said if a["line"] >= 0], shape) > 1
         exact = sorted((a for a in said if a["line"] < 0), key=lambda a: a["bucket"])

@@ -1,8 +1,8 @@
 """Token ids of texts, by a table of the words seen so far.
 
 Whole groups of texts are cut at once: the classes of their characters say where the pre-split
-pattern of byte-level BPE starts a word, a hash of its characters finds the word's ids in a table, and only new
-words are encoded. Texts with characters beyond Latin are pre-split one by one.
+pattern of byte-level BPE starts a word, a hash of its characters finds the word's ids in a table, where its
+characters are compared, and only new words are encoded. Texts with characters beyond Latin are pre-split one by one.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .hashing import BASES, mix, runs
+from .hashing import BASES, word_hashes
 
 # Words kept per worker; a full table is emptied and filled anew, which costs time only.
 TABLE_WORDS = 3_000_000
@@ -85,15 +85,45 @@ def word_starts(points: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.
     return start
 
 
+def _gathered(values: np.ndarray, ends: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all entries in a row, number of values of each); entry k's end at ``ends[k]``."""
+    end = ends[entries]
+    sizes = end - np.where(entries > 0, ends[entries - 1], 0)
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    return values[np.repeat(end - upto, sizes) + np.arange(total)], sizes
+
+
+class _Lists:
+    """Growing list of arrays, end to end."""
+
+    def __init__(self, dtype: np.dtype):
+        self.count, self.ends, self.values = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 14, dtype)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n = self.count + len(sizes)
+        base = int(self.ends[self.count - 1]) if self.count else 0
+        if n > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(n, len(self.ends)), np.int64)])
+        while base + len(flat) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(len(self.values), self.values.dtype)])
+        self.ends[self.count : n] = base + np.cumsum(sizes)
+        self.values[base : base + len(flat)] = flat
+        self.count = n
+
+    def of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of all entries in a row, number of values of each)."""
+        return _gathered(self.values, self.ends, entries)
+
+
 class WordTable:
-    """Hash table from the 64-bit hash of a word to its ids, in arrays."""
+    """Hash table from the 64-bit hash of a word to its characters and ids, in arrays."""
 
     def __init__(self, dtype: np.dtype, bits: int = 16):
         self.dtype, self.bits, self.count = dtype, bits, 0
         self._keys = np.zeros(1 << bits, np.uint64)
         self._entry = np.zeros(1 << bits, np.int32)
-        self._ends = np.zeros(1 << 12, np.int64)
-        self._ids = np.zeros(1 << 14, dtype)
+        self._ids, self._characters = _Lists(dtype), _Lists(np.dtype("<u2"))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key, -1 if it has none. Keys are never 0."""
@@ -120,8 +150,8 @@ class WordTable:
             self._entry[slot[got]] = entries[got]
             keys, entries, slot = keys[~got], entries[~got], (slot[~got] + 1) & mask
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        """Enter different keys that are not there yet."""
+    def add(self, keys: np.ndarray, ids: list[bytes], characters: np.ndarray, sizes: np.ndarray) -> None:
+        """Enter different keys that are not there yet, with the words' characters end to end."""
         n = self.count + len(keys)
         while 2 * n > 1 << self.bits:
             held = np.flatnonzero(self._keys)
@@ -130,25 +160,31 @@ class WordTable:
             self._keys = np.zeros(1 << self.bits, np.uint64)
             self._entry = np.zeros(1 << self.bits, np.int32)
             self._place(old, entries)
-        flat = np.frombuffer(b"".join(ids), self.dtype)
-        sizes = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
-        base = int(self._ends[self.count - 1]) if self.count else 0
-        if n > len(self._ends):
-            self._ends = np.concatenate([self._ends, np.zeros(max(n, len(self._ends)), np.int64)])
-        while base + len(flat) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros(len(self._ids), self.dtype)])
-        self._ends[self.count : n] = base + np.cumsum(sizes)
-        self._ids[base : base + len(flat)] = flat
+        self._ids.add(
+            np.frombuffer(b"".join(ids), self.dtype), np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        )
+        self._characters.add(characters, sizes)
         self._place(keys, np.arange(self.count, n, dtype=np.int32))
         self.count = n
 
+    def wrong(self, entries: np.ndarray, characters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which words (characters end to end, none empty) are not those of their entries."""
+        own, own_sizes = self._characters.of(entries)
+        differ = own_sizes != sizes
+        if differ.any():
+            # Compare those of equal length only.
+            same = ~differ
+            kept = np.repeat(same, sizes)
+            own, _ = self._characters.of(entries[same])
+            ends = np.cumsum(sizes[same])
+            if len(ends):
+                differ[same] = np.add.reduceat(own != characters[kept], ends - sizes[same]) > 0
+            return differ
+        return np.add.reduceat(own != characters, np.cumsum(sizes) - sizes) > 0
+
     def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all entries in a row, number of ids of each)."""
-        ends = self._ends[entries]
-        sizes = ends - np.where(entries > 0, self._ends[entries - 1], 0)
-        upto = np.cumsum(sizes)
-        total = int(upto[-1]) if len(upto) else 0
-        return self._ids[np.repeat(ends - upto, sizes) + np.arange(total)], sizes
+        return self._ids.of(entries)
 
 
 class PieceEncoder:
@@ -186,8 +222,9 @@ class PieceEncoder:
         first = (ends - sizes)[sizes > 0]
         start = np.flatnonzero(word_starts(points, kinds, first))
         stop = np.append(start[1:], len(points))
-        keys = runs(points.astype(np.uint64) + np.uint64(1), start, stop, BASES[0])
-        keys = mix(keys ^ (stop - start).astype(np.uint64)) | np.uint64(1)
+        # Characters beyond these 16 bits are in texts that are not cut here.
+        short = np.minimum(points, 0xFFFF).astype("<u2")
+        keys = word_hashes(short.view(np.uint8), 2 * start, 2 * stop, BASES[0]) | np.uint64(1)
         odd = np.flatnonzero(kinds == BEYOND)
         bad = np.zeros(len(texts), dtype=bool)
         bad[np.searchsorted(ends, odd, side="right")] = True
@@ -201,10 +238,18 @@ class PieceEncoder:
             new, at = np.unique(keys[missing], return_index=True)
             at = missing[at]
             said = [whole[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]
-            self._table.add(new, self._words(said))
+            spelled, sizes = _gathered(short, stop, at)
+            self._table.add(new, self._words(said), spelled, sizes)
             entry[missing] = self._table.find(keys[missing])
-        entry[entry < 0] = 0
-        ids, counts = self._table.gather(entry) if self._table.count else (np.zeros(0, self.dtype), entry * 0)
+        known = entry >= 0
+        entry[~known] = 0
+        if not self._table.count:
+            ids, counts = np.zeros(0, self.dtype), entry * 0
+        else:
+            # A text with a word that only shares another one's hash is encoded without the table.
+            wrong = np.flatnonzero(known & self._table.wrong(entry, short, stop - start))
+            bad[np.searchsorted(cut, wrong, side="right")] = True
+            ids, counts = self._table.gather(entry)
         upto = np.concatenate([[0], np.cumsum(counts)])[cut].tolist()
         data = memoryview(ids.tobytes())
         width = self.dtype.itemsize

@@ -201,3 +201,21 @@ def test_neighbours_of_hard_rows(spark):
     got = ann.nearest(df, df.filter("vec_id % 20 = 0"), k=3).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(brute(rows, 3))
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_words_that_polynomials_confuse(spark):
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    pairs = [("".join("ab"[b] for b in bits[:n]), "".join("ba"[b] for b in bits[:n])) for n in (1024, 2048)]
+    rows = [(1, pairs[0][0]), (2, pairs[0][1]), (3, pairs[1][0]), (4, pairs[1][1])]
+    rows += [(5 + k, " ".join([w] * 20 + ["x", w])) for k, w in enumerate(w for p in pairs for w in p)]
+    docs = plain.documents(spark, rows)
+    got = sorted(tuple(r) for r in jaccard.similar_documents(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == plain.similar(rows)
+    done = substring.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "text").collect()
+    assert sorted(tuple(r) for r in done) == plain.dedup(rows)
+
+
+def test_pairs_of_hashes_that_share_one():
+    one, two = np.array([5, 5, 3, 5, 3], np.uint64), np.array([1, 2, 9, 1, 9], np.uint64)
+    distinct, first, inverse = substring.unlike(one, two)
+    assert distinct.tolist() == [3, 5, 5] and first.tolist() == [2, 0, 1] and inverse.tolist() == [1, 2, 0, 1, 0]

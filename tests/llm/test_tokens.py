@@ -186,3 +186,32 @@ def test_packing_holds_every_id_once_in_order(spark, library):
                 part = ids[r["start"] : r["start"] + r["length"]]
                 assert zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids)
     assert packing.pack_documents(plain.documents(spark, []), vocabulary()).count() == 0
+
+
+def thue_morse(size):
+    """Two words of letters a and b that any polynomial hash modulo 2**64 confuses, if they are long."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("kind", ["automaton", "library"])
+def test_words_that_polynomials_confuse(library, kind):
+    path = vocabulary()
+    encoder = bpe.compiled(path)[1] if kind == "automaton" else tokens.library_encoder(path)
+    one, two = thue_morse(1024)
+    three, four = thue_morse(2048)
+    texts = [one, two, three, four, f"{one} {two} {four}{three}", f"{two} {one}"]
+    for text, ids in zip(texts, encoder.encode_many(texts)):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == library(text)
+
+
+def test_words_are_compared_when_hashes_are_equal(library, monkeypatch):
+    path = vocabulary()
+    real = tokens.word_hashes
+    # Four bits of hash: nearly all words share theirs with others.
+    monkeypatch.setattr(tokens, "word_hashes", lambda *a: real(*a) << np.uint64(60))
+    encoder = tokens.PieceEncoder(tokens.library_encoder(path)._words, tokens.library_splitter(path), {}, "<u2")
+    texts = ["one two three four", "five six", "", "one two", "seven eight nine ten eleven twelve", "six", "a b c d e f g h"] * 2
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode_many(texts)):
+            assert np.frombuffer(ids, "<u2").tolist() == library(text)
