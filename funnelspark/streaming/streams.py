@@ -1,21 +1,24 @@
 """Streaming forms of the clickstream operators.
 
-Stateless and windowed forms use Structured Streaming state. Forms that need the order of events
-(running counts, cart credits) run the batch operators on each micro-batch together with carried
-rows: rows wait until the watermark has passed them, so late rows within the delay are in order,
-and a hot session is spread over time slices exactly as in batch.
+Stateless and windowed forms use Structured Streaming's own state. Forms that need the order of events
+(running counts, cart credits) keep each key's state in the state store: rows wait there until the
+watermark has passed them, so late rows within the delay are in order. Totals per user are a log of
+changes that is merged when it is read.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions import columns as C
 from ..operators.labels import JOURNEY, activity_count, label_last_cart
+from ..operators.ordered import running_count
 from ..operators.score import score_rows
 from ..schemas import EVENT_KEYS, EVENTS
 from ..session import staging_path
@@ -116,209 +119,279 @@ def run_available(
     query.awaitTermination()
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, folder = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def _names(spark: SparkSession, path: str) -> list[int]:
+    """Names in a folder that are numbers."""
+    return [int(n) for n in _listed(spark, path) if n.isdigit()]
+
+
 def _numbered(spark: SparkSession, path: str, key: str) -> list[int]:
     """Numbers n of the folders ``key=n`` under a path, in ascending order."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(folder)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{key}="))
+    return sorted(int(n.split("=")[1]) for n in _listed(spark, path) if n.startswith(f"{key}="))
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    fs, folder = _folder(spark, path)
+    return fs.getContentSummary(folder).getLength()
 
 
 def _drop(spark: SparkSession, path: str) -> None:
     """Remove a superseded folder."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
 
 
-class Carried:
-    """A table carried from micro-batch to micro-batch in the shared folder.
+# State lives in RocksDB on the executors; a micro-batch uploads what it changed, not the whole state.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-    Two copies alternate: batch n reads the copy of n - 1 and replaces that of n - 2, so a batch
-    that is run again after a failure starts from the same rows.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Streams started inside keep their state in the store; the session's settings come back."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    def _copy(self, batch_id: int) -> str:
-        return f"{self.path}/{batch_id % 2}"
 
-    def after(self, batch_id: int) -> DataFrame:
-        """Rows as of the end of a batch; none before the first."""
-        if batch_id < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._copy(batch_id))
-
-    def save(self, df: DataFrame, batch_id: int) -> None:
-        """Store the rows as of the end of a batch."""
-        df.write.mode("overwrite").parquet(self._copy(batch_id))
+def _in_order(row) -> tuple:
+    """Sort key with nulls first, as in a batch sort."""
+    return tuple((v is not None, v) for v in row)
 
 
-class CarriedByKey:
-    """A keyed table carried from micro-batch to micro-batch, in buckets of the key's hash.
+class InOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them, then hands them on in event order.
 
-    A batch reads and writes only the buckets its keys fall into: each bucket's rows are those of the last
-    batch that touched it. What a batch replaces stays until the batch after it, so that a
-    batch can be run again.
+    ``waiting`` rows begin with their time in microseconds. Each key has at most one timer: for its
+    first waiting row, or for the end of what it remembers. Rows that come after the watermark has
+    passed them are handed on at once as late ones.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.key, self.buckets = key, buckets
-
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def _newest(self, batch_id: int) -> dict[int, int]:
-        """Bucket -> the last batch up to ``batch_id`` that wrote it."""
-        found = {}
-        for batch in _numbered(self.spark, self.path, "batch"):
-            if batch <= batch_id:
-                for b in _numbered(self.spark, f"{self.path}/batch={batch}", "bucket"):
-                    found[b] = batch
-        return found
+    waiting_schema = ""
 
-    def after(self, batch_id: int, only: list[int] | None = None) -> DataFrame:
-        """Rows as of the end of a batch, of all or only of the given buckets."""
-        newest = self._newest(batch_id)
-        paths = [
-            f"{self.path}/batch={n}/bucket={b}"
-            for b, n in newest.items() if only is None or b in only
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def touched(self, df: DataFrame) -> list[int]:
-        """Buckets of the keys of a micro-batch."""
-        return [r[0] for r in df.select(self.bucket()).distinct().collect()]
-
-    def save(self, df: DataFrame, batch_id: int) -> None:
-        """Store the rows of the touched buckets as of the end of a batch."""
-        before = self._newest(batch_id - 1)
-        path = f"{self.path}/batch={batch_id}"
-        df.withColumn("bucket", self.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(path)
-        # Superseded by the batch before this one: nothing reads it any more.
-        for old in _numbered(self.spark, self.path, "batch"):
-            if old < batch_id - 1:
-                for b in _numbered(self.spark, f"{self.path}/batch={old}", "bucket"):
-                    if before.get(b, old) > old:
-                        _drop(self.spark, f"{self.path}/batch={old}/bucket={b}")
-
-
-class _Ordered:
-    """Base of the forms that hold rows back until the watermark has passed them.
-
-    Rows that arrive after the watermark has passed them go to ``late()``. A finished job can be
-    started again on the same folder, with new input or without: the micro-batches go on where they were,
-    and what a closing run takes as final is written beside their results, never over them.
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+
+    def passed(self, key, rows: list[tuple]):
+        """Result rows for rows that are final, in order; updates what the key remembers."""
+        raise NotImplementedError
+
+    def late(self, key, row: tuple):
+        """Result row for a late row."""
+        raise NotImplementedError
+
+    def ends(self) -> int | None:
+        """When, in microseconds, what the key remembers may be dropped."""
+        return None
+
+    def ended(self, key):
+        """Result rows for what is dropped."""
+        return []
+
+    def _remind(self, first: int | None) -> None:
+        """One timer, for the first waiting row or the end of the memory."""
+        times = [t for t in (first, self.ends()) if t is not None]
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if times:
+            # One more millisecond: a timer fires when the watermark is past its time.
+            self.handle.registerTimer(min(times) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = []
+        for row in rows:
+            row = tuple(row)[len(key):]
+            if row[0] is None or row[0] <= passed:
+                yield self.late(key, row)
+            else:
+                fresh.append(row)
+        if fresh:
+            self.waiting.appendList(fresh)
+            first, due = min(r[0] for r in fresh), list(self.handle.listTimers())
+            if not due or first // 1000 + 1 < min(due):
+                self._remind(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        final = sorted((r for r in held if r[0] <= passed), key=_in_order)
+        rest = [r for r in held if r[0] > passed]
+        if final:
+            yield from self.passed(key, final)
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        end = self.ends()
+        if end is not None and end < passed and not rest:
+            yield from self.ended(key)
+        self._remind(min((r[0] for r in rest), default=None))
+
+    def close(self) -> None:
+        pass
+
+
+class _Keyed:
+    """Base of the forms that keep the state of each key in the state store.
+
+    Results, late rows and dropped state go to one file sink, told apart by ``kind``. A finished job can be
+    started again on the same folder, with new input or without: the store goes on where it was, and
+    what a closing run takes as final is computed from a snapshot of the state, which it does not change.
+    A micro-batch reads and writes the state of its own keys and of those whose timers are due. The rows of
+    one key in a micro-batch are handled by one task, so a trigger should bound its input.
     """
 
+    keys: list[str] = []
     waiting_schema = ""
+    out_schema = ""
 
     def __init__(self, spark: SparkSession, root: str, delay: dt.timedelta):
         self.spark, self.root, self.delay = spark, root, delay
-        self.waiting = Carried(spark, f"{root}/waiting", self.waiting_schema)
-        self.out = f"{root}/out"
+        self.out, self.progress = f"{root}/out", f"{root}/progress"
 
     @property
     def last_batch(self) -> int:
         """The last micro-batch that was finished, -1 before the first."""
-        return max(_numbered(self.spark, f"{self.root}/done", "batch"), default=-1)
-
-    def _side(self, name: str) -> DataFrame:
-        """Rows of a side table over all micro-batches."""
-        if not _numbered(self.spark, f"{self.root}/{name}", "batch"):
-            return self.spark.createDataFrame([], self.waiting_schema)
-        return self.spark.read.schema(self.waiting_schema).parquet(f"{self.root}/{name}")
-
-    def late(self) -> DataFrame:
-        """Rows that came too late and are in no result."""
-        return self._side("late")
-
-    def _horizon(self, rows: DataFrame) -> dt.datetime | None:
-        newest = rows.agg(F.max(F.unix_micros("event_time"))).first()[0]
-        if newest is None:
-            return None
-        return newest - self.delay // dt.timedelta(microseconds=1)
-
-    def _pool(self, events: DataFrame, batch_id: int) -> DataFrame:
-        """Waiting rows and new rows; new rows older than the previous horizon are late."""
-        held = self.waiting.after(batch_id - 1)
-        horizon = self._horizon(held) if batch_id > 0 else None
-        fresh = self.prepare(events)
-        if horizon is not None:
-            on_time = F.unix_micros("event_time") > horizon
-            late = fresh.filter(~on_time)
-            late.write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
-            fresh = fresh.filter(on_time)
-        return held.unionByName(fresh)
+        return max(_names(self.spark, f"{self.progress}/commits"), default=-1)
 
     def prepare(self, events: DataFrame) -> DataFrame:
+        """The keys, then the columns of a waiting row; its time as ``at`` in microseconds."""
         raise NotImplementedError
 
-    def step(self, events: DataFrame, batch_id: int) -> None:
-        """Process one micro-batch: write what is final, carry the rest."""
-        pool = self._pool(events, batch_id).persist()
-        try:
-            horizon = self._horizon(pool)
-            past = F.lit(False) if horizon is None else F.unix_micros("event_time") <= horizon
-            final = pool.filter(past)
-            results = self.results(final, batch_id)
-            results.write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-            self.carry(final, pool.filter(~past), batch_id, horizon)
-        finally:
-            pool.unpersist()
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/done/batch={batch_id}")
-
-    def results(self, final: DataFrame, batch_id: int) -> DataFrame:
-        """Results of the rows that are final in a batch, after the batches before it."""
+    def processor(self) -> InOrder:
         raise NotImplementedError
 
-    def carry(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
-        """Store what later batches need."""
-        raise NotImplementedError
+    def stream(self, events: DataFrame) -> DataFrame:
+        """The stream of results. Its watermark is that of the events, which do not carry it further: late rows
+        reach the processor instead of being dropped."""
+        seconds = f"{self.delay.total_seconds()} seconds"
+        rows = self.prepare(events.withWatermark("event_time", seconds))
+        grouped = rows.groupBy(*self.keys)
+        return grouped.transformWithState(self.processor(), self.out_schema, "Append", "EventTime")
 
     def start(self, events: DataFrame) -> StreamingQuery:
         """Start over all available input."""
-        return (
-            events.writeStream.foreachBatch(self.step)
-            .option("checkpointLocation", f"{self.root}/progress")
-            .trigger(availableNow=True)
-            .start()
-        )
+        writer = self.stream(events).writeStream.partitionBy("kind").option("checkpointLocation", self.progress)
+        with _state_store(self.spark):
+            return writer.format("parquet").trigger(availableNow=True).start(self.out)
+
+    def state(self, name: str, listed: bool = False) -> DataFrame:
+        """A state variable of all keys as of the last micro-batch: the keys and its fields."""
+        reader = self.spark.read.format("statestore").option("stateVarName", name)
+        found = reader.option("flattenCollectionTypes", "true").load(self.progress)
+        return found.select("key.*", "list_element.*" if listed else "value.*")
+
+    def _written(self, kind: str) -> DataFrame:
+        """Rows of a kind over all micro-batches."""
+        schema = T.StructType.fromDDL(self.out_schema)
+        if self.last_batch < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.out).filter(F.col("kind") == kind)
+
+    def closing(self) -> DataFrame:
+        """Results of what still waits, after what the keys remember."""
+        raise NotImplementedError
 
-    def run(self, events: DataFrame) -> DataFrame:
-        """Process all available input, then treat what still waits as final; all results.
+    def results(self) -> DataFrame:
+        """Results of all micro-batches."""
+        raise NotImplementedError
 
-        The closing results stand beside those of the micro-batches and are made anew each time;
-        nothing that is carried changes.
-        """
+    def run(self, events: DataFrame) -> DataFrame:
+        """Process all available input, then treat what still waits as final; all results."""
         self.start(events).awaitTermination()
-        last = self.last_batch
-        closing = self.results(self.waiting.after(last), last + 1)
+        if self.last_batch < 0:
+            return self.results()
+        closing = self.closing()
         closing.write.mode("overwrite").parquet(f"{self.root}/closing")
         closed = self.spark.read.schema(closing.schema).parquet(f"{self.root}/closing")
-        if last < 0:
-            return closed
-        paths = [f"{self.out}/batch={n}" for n in _numbered(self.spark, self.out, "batch") if n <= last]
-        return self.spark.read.schema(closing.schema).parquet(*paths).unionByName(closed)
+        return self.results().unionByName(closed)
+
+
+CREDITED = Row(*JOURNEY, "kind", "event_type", "at", "cart_at")
+COUNTED = Row("user_session", "kind", "at", "event_type", "product_id", "user_id", "activity_count")
+
+
+class _Credit(InOrder):
+    """Remembers the last cart of a journey."""
 
+    waiting_schema = "at bigint, event_type string"
 
-class StreamCartLabel(_Ordered):
+    def __init__(self, limit: int | None):
+        self.limit = limit
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.cart = handle.getValueState("cart", "at bigint")
+
+    def _last(self) -> int | None:
+        return self.cart.get()[0] if self.cart.exists() else None
+
+    def _row(self, key, kind, event_type, at, cart):
+        return CREDITED(*key, kind, event_type, at, cart)
+
+    def passed(self, key, rows):
+        cart = before = self._last()
+        instant, pending = None, None
+        # Carts of an instant are not earlier than its purchases.
+        for at, event_type in rows:
+            if at != instant:
+                cart, instant, pending = (cart if pending is None else pending), at, None
+            if event_type == "cart":
+                pending = at
+            elif cart is not None and (self.limit is None or at - cart <= self.limit):
+                yield self._row(key, "result", event_type, at, cart)
+        cart = cart if pending is None else pending
+        if cart != before:
+            self.cart.update((cart,))
+
+    def late(self, key, row):
+        return self._row(key, "late", row[1], row[0], None)
+
+    def ends(self):
+        last = None if self.limit is None else self._last()
+        return None if last is None else last + self.limit
+
+    def ended(self, key):
+        yield self._row(key, "expired", "cart", self._last(), None)
+        self.cart.clear()
+
+
+class StreamCartLabel(_Keyed):
     """Credits of purchases to their last earlier cart, in event-time order.
 
-    Carries the carts and purchases past the watermark and, per journey, its last cart. With a
+    The state of a journey is its last cart and the carts and purchases the watermark has not passed. With a
     ``bound``, carts older than that at the watermark are dropped and later purchases are not credited;
-    such carts go to ``expired()``. Without one the credits are those of a batch run.
+    such carts go to ``expired()``, and the state holds the journeys of the bound only. Without one the
+    credits are those of a batch run. (A join of the two streams would form all pairs of a journey.)
     """
 
-    waiting_schema = (
-        "user_id bigint, product_id bigint, user_session string, event_type string, "
-        "event_time timestamp"
+    keys = JOURNEY
+    out_schema = (
+        "user_id bigint, product_id bigint, user_session string, kind string, event_type string, "
+        "at bigint, cart_at bigint"
     )
 
     def __init__(
@@ -331,48 +404,86 @@ class StreamCartLabel(_Ordered):
         super().__init__(spark, root, delay)
         self.limit = None if bound is None else bound // dt.timedelta(microseconds=1)
 
+    def prepare(self, events: DataFrame) -> DataFrame:
+        named = events.filter(F.col("event_type").isin("cart", "purchase")).dropna(subset=JOURNEY)
+        return named.select(*JOURNEY, F.unix_micros("event_time").alias("at"), "event_type")
+
+    def processor(self) -> InOrder:
+        return _Credit(self.limit)
+
+    def _side(self, kind: str) -> DataFrame:
+        return self._written(kind).select(*JOURNEY, "event_type", F.timestamp_micros("at").alias("event_time"))
+
+    def late(self) -> DataFrame:
+        """Rows that came too late and are in no result."""
+        return self._side("late")
+
     def expired(self) -> DataFrame:
         """Last carts of journeys that were dropped because of the bound."""
         return self._side("expired")
 
-    def prepare(self, events: DataFrame) -> DataFrame:
-        return events.filter(F.col("event_type").isin("cart", "purchase")).select(
-            *JOURNEY, "event_type", "event_time"
+    def results(self) -> DataFrame:
+        return self._written("result").select(
+            *JOURNEY, F.timestamp_micros("at").alias("purchase_time"), F.timestamp_micros("cart_at").alias("cart_time")
         )
 
-    def results(self, final: DataFrame, batch_id: int) -> DataFrame:
-        credits = label_last_cart(final).drop("earlier_carts")
+    def closing(self) -> DataFrame:
+        waits = self.state("waiting", listed=True).select(*JOURNEY, "event_type", "at")
+        carts = self.state("cart").select(*JOURNEY, F.lit("cart").alias("event_type"), "at")
+        rows = waits.unionByName(carts).withColumn("event_time", F.timestamp_micros("at")).drop("at")
+        credits = label_last_cart(rows).drop("earlier_carts")
         if self.limit is None:
             return credits
         gap = F.unix_micros("purchase_time") - F.unix_micros("cart_time")
         return credits.filter(gap <= self.limit)
 
-    def carry(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
-        carts = (
-            final.filter("event_type = 'cart'")
-            .groupBy(*JOURNEY, "event_type")
-            .agg(F.max("event_time").alias("event_time"))
-        )
-        carts = carts.select(rest.columns)
-        if horizon is not None and self.limit is not None:
-            young = F.unix_micros("event_time") >= horizon - self.limit
-            old = carts.filter(~young)
-            old.write.mode("overwrite").parquet(f"{self.root}/expired/batch={batch_id}")
-            carts = carts.filter(young)
-        self.waiting.save(rest.unionByName(carts), batch_id)
 
+class _Count(InOrder):
+    """Remembers the number of events of a session, and the last one's time."""
+
+    waiting_schema = "at bigint, event_type string, product_id bigint, user_id bigint"
+
+    def __init__(self, timeout: int | None):
+        self.timeout = timeout
 
-class StreamActivityCount(_Ordered):
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.total = handle.getValueState("total", "n bigint, last bigint")
+
+    def passed(self, key, rows):
+        n, last = self.total.get() if self.total.exists() else (0, None)
+        for row in rows:
+            if self.timeout is not None and last is not None and row[0] - last > self.timeout:
+                n = 0
+            n, last = n + 1, row[0]
+            yield COUNTED(*key, "result", *row, n)
+        self.total.update((n, last))
+
+    def late(self, key, row):
+        return COUNTED(*key, "late", *row, None)
+
+    def ends(self):
+        if self.timeout is None or not self.total.exists():
+            return None
+        return self.total.get()[1] + self.timeout
+
+    def ended(self, key):
+        self.total.clear()
+        return []
+
+
+class StreamActivityCount(_Keyed):
     """Running count of events per session, in event-time order.
 
-    Carries the rows past the watermark and one count per session. With a ``timeout``, sessions
-    idle for longer at the watermark count as ended: their next event is number 1 again. Without one the
-    counts are those of a batch run.
+    The state of a session is its count and the rows the watermark has not passed. With a ``timeout``, an event that
+    comes longer after the one before it is number 1 again, and the counts of sessions idle for longer at the
+    watermark are dropped. Without one the counts are those of a batch run and are kept for good.
     """
 
-    waiting_schema = (
-        "user_id bigint, product_id bigint, user_session string, event_type string, "
-        "event_time timestamp"
+    keys = ["user_session"]
+    out_schema = (
+        "user_session string, kind string, at bigint, event_type string, product_id bigint, user_id bigint, "
+        "activity_count bigint"
     )
 
     def __init__(
@@ -384,62 +495,122 @@ class StreamActivityCount(_Ordered):
     ):
         super().__init__(spark, root, delay)
         self.timeout = None if timeout is None else timeout // dt.timedelta(microseconds=1)
-        self.counts = CarriedByKey(
-            spark,
-            f"{root}/counts",
-            "user_session string, n bigint, last_time timestamp",
-            "user_session",
-        )
 
     def prepare(self, events: DataFrame) -> DataFrame:
-        return events.select("user_id", "product_id", "user_session", "event_type", "event_time")
+        return events.select(
+            "user_session", F.unix_micros("event_time").alias("at"), "event_type", "product_id", "user_id"
+        )
 
-    def _earlier(self, final: DataFrame, batch_id: int) -> DataFrame:
-        """Counts of earlier batches in the buckets of the sessions at hand."""
-        return self.counts.after(batch_id - 1, self.counts.touched(final))
+    def processor(self) -> InOrder:
+        return _Count(self.timeout)
 
-    def results(self, final: DataFrame, batch_id: int) -> DataFrame:
-        earlier = self._earlier(final, batch_id).select(
-            F.col("user_session").alias("_s"), F.col("n").alias("_n"), F.col("last_time").alias("_t")
-        )
-        if self.timeout is not None:
-            first = final.groupBy(F.col("user_session").alias("_f")).agg(
-                F.min("event_time").alias("_first")
-            )
-            gap = F.unix_micros("_first") - F.unix_micros("_t")
-            earlier = earlier.join(first, F.col("_s").eqNullSafe(F.col("_f"))).filter(
-                gap <= self.timeout
-            ).drop("_f", "_first")
-        rows = activity_count(final).join(
-            earlier, F.col("user_session").eqNullSafe(F.col("_s")), "left"
-        )
-        count = F.col("activity_count") + F.coalesce("_n", F.lit(0))
-        return rows.withColumn("activity_count", count).drop("_s", "_n", "_t")
-
-    def carry(self, final: DataFrame, rest: DataFrame, batch_id: int, horizon) -> None:
-        earlier = self._earlier(final, batch_id)
-        seen = final.groupBy("user_session").agg(
-            F.count("*").alias("n"),
-            F.max("event_time").alias("last_time"),
-            F.min("event_time").alias("_first"),
+    @staticmethod
+    def _timed(df: DataFrame) -> DataFrame:
+        return df.withColumn("event_time", F.timestamp_micros("at")).drop("at", "kind")
+
+    def late(self) -> DataFrame:
+        """Rows that came too late and are in no result."""
+        return self._timed(self._written("late")).drop("activity_count")
+
+    def results(self) -> DataFrame:
+        return self._timed(self._written("result"))
+
+    def closing(self) -> DataFrame:
+        waits = self._timed(self.state("waiting", listed=True))
+        total = self.state("total").select(F.col("user_session").alias("_s"), F.col("n").alias("_n"), F.col("last").alias("_t"))
+        same = F.col("user_session").eqNullSafe(F.col("_s"))
+        if self.timeout is None:
+            rows = activity_count(waits).join(total, same, "left")
+            count = F.col("activity_count") + F.coalesce("_n", F.lit(0))
+            return rows.withColumn("activity_count", count).drop("_s", "_n", "_t")
+        # A burst is what lies between two long gaps; the first one goes on from the state.
+        at = F.unix_micros("event_time")
+        before = F.lag(at).over(Window.partitionBy("user_session").orderBy("event_time"))
+        rows = waits.join(total, same, "left").withColumn("_was", F.coalesce(before, "_t"))
+        rows = rows.withColumn("_new", F.coalesce(at - F.col("_was") > self.timeout, F.lit(False)).cast("int"))
+        upto = Window.partitionBy("user_session").orderBy("event_time").rangeBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_burst", F.sum("_new").over(upto))
+        counted = running_count(
+            rows, ["user_session", "_burst"], "event_time", ["event_type", "product_id", "user_id"], "activity_count"
         )
-        both = earlier.withColumn("_first", F.lit(None).cast("timestamp")).unionByName(seen)
-        merged = both.groupBy("user_session").agg(
-            F.sum("n").alias("n"),
-            F.max("last_time").alias("last_time"),
-            F.sum(F.when(F.col("_first").isNotNull(), F.col("n"))).alias("_new"),
-            F.max("_first").alias("_first"),
-            F.max(F.when(F.col("_first").isNull(), F.col("last_time"))).alias("_before"),
+        count = F.col("activity_count") + F.when(F.col("_burst") == 0, F.coalesce("_n", F.lit(0))).otherwise(0)
+        return counted.withColumn("activity_count", count).select(
+            "user_session", "event_type", "product_id", "user_id", "activity_count", "event_time"
         )
-        if self.timeout is not None:
-            gap = F.unix_micros("_first") - F.unix_micros("_before")
-            merged = merged.withColumn("n", F.when(gap > self.timeout, F.col("_new")).otherwise(F.col("n")))
-        self.counts.save(merged.select("user_session", "n", "last_time"), batch_id)
-        self.waiting.save(rest, batch_id)
+
+
+class DeltaLog:
+    """A keyed table of mergeable rows, appended to by every micro-batch and merged when it is read.
+
+    A run holds the rows of the micro-batches from its first to its last. A batch writes a run of its own rows; while
+    the run before is not ``factor`` times as large as the newest, both are merged into one. So a batch
+    writes what it changed, and each row is written again only as often as sizes have grown by the
+    factor. What a batch merges stays until the batch after it, so a batch can be run again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, merge, factor: int = 4):
+        self.spark, self.path, self.schema = spark, path, schema
+        self.merge, self.factor = merge, factor
+
+    def _path(self, run: tuple[int, int]) -> str:
+        return f"{self.path}/run={run[0]}-{run[1]}"
+
+    def _complete(self) -> list[tuple[int, int]]:
+        """(first, last) of every finished run."""
+        found = []
+        for name in _listed(self.spark, self.path):
+            if name.startswith("run=") and "_SUCCESS" in _listed(self.spark, f"{self.path}/{name}"):
+                first, last = name[4:].split("-")
+                found.append((int(first), int(last)))
+        return found
+
+    def runs(self, batch_id: int) -> list[tuple[int, int]]:
+        """The fewest runs that hold the batches up to ``batch_id``, oldest first."""
+        complete, out, last = self._complete(), [], batch_id
+        while last >= 0:
+            # Of the runs that end there, the one that reaches back furthest.
+            first = min((a for a, b in complete if b == last), default=None)
+            if first is not None:
+                out.append((first, last))
+            last = last - 1 if first is None else first - 1
+        return out[::-1]
+
+    def size(self, run: tuple[int, int]) -> int:
+        """Bytes of a run."""
+        return _bytes(self.spark, self._path(run))
+
+    def read(self, runs: list[tuple[int, int]]) -> DataFrame:
+        """Merged rows of runs."""
+        if not runs:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*[self._path(r) for r in runs])
+        return rows if len(runs) == 1 else self.merge(rows)
+
+    def after(self, batch_id: int) -> DataFrame:
+        """The merged table as of the end of a batch."""
+        return self.read(self.runs(batch_id))
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        """Add the rows of a batch (one per key), in place of those of an earlier try."""
+        for run in self._complete():
+            if run[1] >= batch_id:
+                _drop(self.spark, self._path(run))
+        rows.write.mode("overwrite").parquet(self._path((batch_id, batch_id)))
+        runs = self.runs(batch_id)
+        size, take = self.size(runs[-1]), 1
+        while take < len(runs) and self.size(runs[-take - 1]) < self.factor * size:
+            take += 1
+            size += self.size(runs[-take])
+        if take > 1:
+            self.read(runs[-take:]).write.mode("overwrite").parquet(self._path((runs[-take][0], batch_id)))
+        needed = {*self.runs(batch_id), *self.runs(batch_id - 1)}
+        for run in self._complete():
+            if run not in needed:
+                _drop(self.spark, self._path(run))
 
 
 class StreamUserFeatures:
-    """Per-user totals kept up to date by additive merges; distinct counts are sketches."""
+    """Per-user totals as a log of additive changes; distinct counts are sketches."""
 
     schema = (
         "user_id bigint, user_total_events bigint, user_total_views bigint, "
@@ -449,7 +620,7 @@ class StreamUserFeatures:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self.state = CarriedByKey(spark, f"{root}/state", self.schema, "user_id")
+        self.log = DeltaLog(spark, f"{root}/log", self.schema, self.merged)
 
     @property
     def last_batch(self) -> int:
@@ -474,18 +645,19 @@ class StreamUserFeatures:
             F.hll_sketch_agg(level1).alias("categories"),
         )
 
-    def step(self, events: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch into the carried totals of the users it may hold."""
+    @staticmethod
+    def merged(rows: DataFrame) -> DataFrame:
+        """One row per user from the partial totals of several batches."""
         totals = ["user_total_events", "user_total_views", "user_total_carts", "user_total_purchases", "purchase_sum"]
-        fresh = self.partial(events).persist()
-        both = self.state.after(batch_id - 1, self.state.touched(fresh)).unionByName(fresh)
-        merged = both.groupBy("user_id").agg(
+        return rows.groupBy("user_id").agg(
             *[F.sum(c).alias(c) for c in totals],
             F.hll_union_agg("products").alias("products"),
             F.hll_union_agg("categories").alias("categories"),
         )
-        self.state.save(merged, batch_id)
-        fresh.unpersist()
+
+    def step(self, events: DataFrame, batch_id: int) -> None:
+        """Append the totals of the users of one micro-batch."""
+        self.log.append(self.partial(events), batch_id)
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/done/batch={batch_id}")
 
     def features(self) -> DataFrame:
@@ -497,7 +669,7 @@ class StreamUserFeatures:
             "user_view_to_cart_rate": C.guarded_rate("user_total_carts", "user_total_views"),
             "user_cart_to_purchase_rate": C.guarded_rate("user_total_purchases", "user_total_carts"),
         }
-        return self.state.after(self.last_batch).withColumns(rates).drop(
+        return self.log.after(self.last_batch).withColumns(rates).drop(
             "purchase_sum", "products", "categories"
         )
 

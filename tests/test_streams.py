@@ -140,3 +140,54 @@ def test_funnel_windows(spark, events_of):
         F.count_if(F.col("event_type") == "cart").alias("n")
     )
     assert rows(spark.read.parquet(out), "window_start", "carts") == rows(want)
+
+
+def test_idle_sessions_leave_the_state_store(spark, events_of):
+    minutes = lambda n: dt.timedelta(minutes=n)
+    data = [[(k, "view", 1, 1, f"s{k}") for k in range(20)], [(500, "view", 1, 1, "t")], [(501, "view", 1, 1, "t")]]
+    root = staging_path(spark, "ttl")
+    job = streams.StreamActivityCount(spark, root, delay=minutes(5), timeout=minutes(30))
+    got = job.run(files(spark, events_of, data))
+    assert got.count() == 22
+    assert rows(job.state("total"), "user_session") == []
+    kept = streams.StreamActivityCount(spark, staging_path(spark, "kept"), delay=minutes(5))
+    kept.run(files(spark, events_of, data))
+    assert len(rows(kept.state("total"), "user_session")) == 20
+    assert rows(kept.state("waiting", listed=True), "user_session") == [("t",), ("t",)]
+
+
+def test_old_journeys_leave_the_state_store(spark, events_of):
+    minutes = lambda n: dt.timedelta(minutes=n)
+    data = [[(k, "cart", k, 1, "s") for k in range(20)], [(500, "cart", 99, 1, "s")], [(501, "purchase", 99, 1, "s")]]
+    job = streams.StreamCartLabel(spark, staging_path(spark, "bounded"), delay=minutes(5), bound=minutes(60))
+    assert rows(job.run(files(spark, events_of, data)), "product_id") == [(99,)]
+    assert rows(job.state("cart"), "product_id") == []
+    assert len(rows(job.expired(), "product_id")) == 20
+
+
+def test_late_events_of_a_session_are_in_a_side_table(spark, events_of):
+    data = [[(0, "view", 1, 1, "s"), (300, "view", 1, 1, "s")], [(10, "view", 1, 1, None), (299, "cart", 1, 1, "s")]]
+    job = streams.StreamActivityCount(spark, staging_path(spark, "late"), delay=dt.timedelta(minutes=30))
+    got = job.run(files(spark, events_of, data))
+    assert rows(got, "event_time", "activity_count") == [(at(0), 1), (at(299), 2), (at(300), 3)]
+    assert rows(job.late(), "event_time", "user_session") == [(at(10), None)]
+
+
+def test_bytes_of_a_micro_batch_follow_its_users(spark, events_of):
+    many = [(k % 600, "view", k % 3, k, "s") for k in range(20_000)]
+    job = streams.StreamUserFeatures(spark, staging_path(spark, "delta"))
+    job.step(events_of(many), 0)
+    base = job.log.size((0, 0))
+    for k in range(1, 6):
+        job.step(events_of([(k, "cart", 1, k, "s")]), k)
+        runs = job.log.runs(k)
+        # The large run is left alone; small ones are merged among themselves.
+        assert runs[0] == (0, 0) and sum(job.log.size(r) for r in runs[1:]) < base / 4
+        assert len(runs) <= 3
+    want = features.agg_user(events_of(many + [(k, "cart", 1, k, "s") for k in range(1, 6)]))
+    assert rows(job.features(), "user_id", "user_total_events", "user_total_carts") == rows(
+        want, "user_id", "user_total_events", "user_total_carts"
+    )
+    job.step(events_of(many), 6)
+    # As large as all before it: one run again.
+    assert job.log.runs(6) == [(0, 6)]
