@@ -155,6 +155,48 @@ def row_numbers(
     return running_totals(df, order, {out: F.lit(1)}, slices=slices)
 
 
+# Accuracy of the sketch that says where a quantile lies: ranks are off by at most 1 / ACCURACY of the rows.
+ACCURACY = 10_000
+# Columns (and groups) with up to this many rows are ranked by one window; a larger one by range partitions.
+WINDOW_ROWS = 1_000_000_000
+
+
+def _brackets(long: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+    """Per (keys) the number of rows, and for each probability values between which its ranks surely lie.
+
+    The sketch is mergeable: tasks send summaries, not values. Its error and the distance of the bounds from the
+    quantile leave at least eight rows on either side; where there are too few rows for that, the
+    bounds are infinite.
+    """
+    margin = 3 / ACCURACY
+    bounds = [p - margin for p in probabilities] + [p + margin for p in probabilities]
+    # NaN sorts behind infinity, which stands for it here.
+    number = F.when(F.isnan("value"), F.lit(float("inf"))).otherwise(F.col("value"))
+    found = long.groupBy(*keys).agg(
+        F.count("*").alias("total"),
+        F.percentile_approx(number, [min(max(b, 0.0), 1.0) for b in bounds], ACCURACY).alias("_at"),
+    )
+    few, least, most = F.col("total") < 4 * ACCURACY, F.lit(float("-inf")), F.lit(float("nan"))
+
+    def bound(i: int) -> Column:
+        at = F.col("_at")[i]
+        if bounds[i] <= 0:
+            return least
+        if bounds[i] >= 1:
+            return most
+        if i < len(probabilities):
+            return F.when(few, least).otherwise(at)
+        return F.when(few | (at == float("inf")), most).otherwise(at)
+
+    k = len(probabilities)
+    return found.select(
+        *keys,
+        "total",
+        F.array(*[bound(i) for i in range(k)]).alias("_low"),
+        F.array(*[bound(k + i) for i in range(k)]).alias("_high"),
+    )
+
+
 def quantiles(
     df: DataFrame,
     columns: list[str],
@@ -163,19 +205,39 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per (groups, column).
 
-    Values are first collapsed to counts, so repeated values shuffle once; the rank positions are
-    then read off running totals. No task holds all values of a column.
+    A sketch brackets each quantile. Then values inside a bracket are counted one by one and all others by the
+    interval between brackets they fall into, both before the shuffle, so a small fraction of a column moves.
+    Its ranks are exact.
     """
     groups = groups or []
+    # Null-safe keys of groups; the columns of the call are never null.
     long = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         groups, columns, "column", "value"
-    )
+    ).filter("value is not null")
     keys = [*groups, "column"]
-    counts = long.filter("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, ["value"], {"upto": F.col("n")}, groups=keys)
-    sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("total"))
-    # Without groups there is one row per column of the call: no need to bring a column's values together.
-    placed = ranked.join(sizes if groups else F.broadcast(sizes), keys)
+    brackets = stage(_brackets(long, keys, list(probabilities.values())), "brackets")
+    side = brackets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_low", "_high")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    # Without groups there is one row per column of the call.
+    beside = long.join(side if groups else F.broadcast(side), same)
+    value, inside, passed = F.col("value"), F.lit(False), F.lit(0)
+    for i in range(len(probabilities)):
+        inside = inside | ((value >= F.col("_low")[i]) & (value <= F.col("_high")[i]))
+        passed = passed + (value > F.col("_high")[i]).cast("int")
+    counts = (
+        beside.groupBy(*keys, passed.alias("_passed"), F.when(inside, value).alias("_one"))
+        .agg(F.count("*").alias("n"), F.min("value").alias("value"))
+        .drop("_passed", "_one")
+    )
+    if (brackets.agg(F.max("total")).first()[0] or 0) > WINDOW_ROWS:
+        ranked = running_totals(counts, ["value"], {"upto": F.col("n")}, groups=keys)
+    else:
+        upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("upto", F.sum("n").over(upto))
+    sizes = brackets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "total")
+    placed = ranked.join(sizes if groups else F.broadcast(sizes), same)
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") > rank, F.col("value")))

@@ -65,3 +65,29 @@ def test_running_totals_cross_arrow_batches(spark):
         assert got.groupBy("g").agg(F.max("s")).count() == 3
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("window_rows", [1_000_000_000, 10])
+def test_quantiles_of_a_large_column_move_few_values(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(ordered, "ACCURACY", 100)
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", window_rows)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=6000).round(3)
+    x[::3] = 0.25  # a value that a third of the rows share
+    y = np.concatenate([rng.normal(size=5000), np.full(600, np.inf), np.full(400, np.nan)])
+    rng.shuffle(y)
+    df = spark.createDataFrame([(int(i % 7 == 0) or None, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "g int, x double, y double")
+    wanted = {"q01": 0.01, "q50": 0.5, "q51": 0.51, "q99": 0.99, "least": 0.0, "most": 1.0}
+    got = {r.column: r for r in ordered.quantiles(df, ["x", "y"], wanted).collect()}
+    last = np.sort(y)
+    for name, p in wanted.items():
+        assert got["x"][name] == pytest.approx(np.quantile(x, p), abs=1e-12)
+        if name not in ("q99", "most"):
+            assert got["y"][name] == pytest.approx(np.quantile(last[:5000], p * 5999 / 4999), abs=1e-12)
+    assert np.isnan(got["y"]["q99"]) and np.isnan(got["y"]["most"])
+    split = {r.g: r for r in ordered.quantiles(df, ["x"], {"m": 0.5}, ["g"]).collect()}
+    third = np.arange(6000) % 7 == 0
+    assert split[1]["m"] == pytest.approx(np.median(x[third])) and split[None]["m"] == pytest.approx(np.median(x[~third]))
+    long = df.select("x").unpivot([], ["x"], "column", "value")
+    low, high = ordered._brackets(long, ["column"], [0.99]).select("_low", "_high").first()
+    assert ((x >= low[0]) & (x <= high[0])).mean() < 0.1
