@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -16,6 +16,7 @@ from ..schemas import (
     FEATURE_TTL_DAYS,
     TARGET,
 )
+from ..session import staging_path
 from .clean import (
     available_columns,
     coerce_keys,
@@ -25,6 +26,7 @@ from .clean import (
     rename_columns,
 )
 from .features import agg_product_lookup, agg_user_lookup
+from .joins import keyed_left_join
 
 USER_SIDE = [
     "event_weekday", "event_hour", "user_total_events", "user_total_views", "user_total_carts",
@@ -107,11 +109,44 @@ def ttl_filter(
     return features.filter(F.col(view.timestamp) >= oldest)
 
 
+def text_key(*columns: str) -> Column:
+    """One text for the key columns; null where one of them is."""
+    parts = [F.col(c).cast("string") for c in columns]
+    for k in range(len(parts) - 1, 0, -1):
+        parts.insert(k, F.lit("/"))
+    return F.concat(*parts)
+
+
+def stored_by_key(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """A stored copy with a text key ``_key`` (of ``keys``, one row each), bucketed and sorted by it.
+
+    Joins on the key read it without shuffling or sorting it. The number of buckets is that of shuffle partitions unless
+    given; rows without a key are left out, as nothing finds them.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = staging_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[1]}"
+    keyed = df.withColumn("_key", text_key(*keys)).filter("_key is not null")
+    # Dealt out as the buckets are, so each bucket is one file.
+    writer = keyed.repartition(n, "_key").write.bucketBy(n, "_key").sortBy("_key")
+    writer.format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def _with_key(table: DataFrame, keys: list[str]) -> DataFrame:
+    return table if "_key" in table.columns else table.withColumn("_key", text_key(*keys))
+
+
 def get_online_features(
     pairs: DataFrame, latest: DataFrame, view: FeatureView = PROPENSITY
 ) -> DataFrame:
-    """The view's features for each entity pair, null where the pair is unknown."""
-    return pairs.join(latest.select(*view.keys, *view.features), list(view.keys), "left")
+    """The view's features for each entity pair, null where the pair is unknown.
+
+    ``latest`` may come from ``stored_by_key``: then only the pairs are shuffled.
+    """
+    table = _with_key(latest, list(view.keys))
+    return keyed_left_join(pairs, text_key(*view.keys), table, list(view.features))
 
 
 def build_lookup_tables(features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,16 +159,14 @@ def lookup_features(
 ) -> tuple[DataFrame, DataFrame]:
     """(found, not_found) for text entity pairs.
 
-    A pair is found when either side is known; the missing side gets 0, hour 12 or "unknown".
+    A pair is found when either side is known; the missing side gets 0, hour 12 or "unknown". The tables may come
+    from ``stored_by_key``: then only the pairs are shuffled. A product that very many pairs ask for is answered
+    by a broadcast of its row.
     """
-    left = pairs.withColumns({"_u": entity_key("user_id"), "_p": entity_key("product_id")})
-    user = users.select(
-        F.col("user_id").cast("string").alias("_u"), F.lit(1).alias("_has_user"), *USER_SIDE
-    )
-    product = products.select(
-        F.col("product_id").cast("string").alias("_p"), F.lit(1).alias("_has_product"), *PRODUCT_SIDE
-    )
-    joined = left.join(user, "_u", "left").join(product, "_p", "left")
+    user = _with_key(users, ["user_id"]).withColumn("_has_user", F.lit(1))
+    product = _with_key(products, ["product_id"]).withColumn("_has_product", F.lit(1))
+    joined = keyed_left_join(pairs, entity_key("user_id"), user, ["_has_user", *USER_SIDE])
+    joined = keyed_left_join(joined, entity_key("product_id"), product, ["_has_product", *PRODUCT_SIDE], pairs)
     known = F.col("_has_user").isNotNull() | F.col("_has_product").isNotNull()
     filled = joined.fillna(
         {

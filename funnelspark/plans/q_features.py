@@ -364,7 +364,7 @@ FOUND_SQL = (
     {listed([c for c in ALL_FEATURES if c != 'activity_count'])} FROM found WHERE has_user OR has_product""",
 )
 def _(spark, sf):
-    users, products = store.build_lookup_tables(tables.features(spark, sf))
+    users, products = tables.lookup_tables(spark, sf)
     return store.lookup_features(_pairs(spark, sf), users, products)[0]
 
 
@@ -373,7 +373,7 @@ def _(spark, sf):
     FOUND_SQL + " SELECT user_id, product_id FROM found WHERE NOT (has_user OR has_product)",
 )
 def _(spark, sf):
-    users, products = store.build_lookup_tables(tables.features(spark, sf))
+    users, products = tables.lookup_tables(spark, sf)
     return store.lookup_features(_pairs(spark, sf), users, products)[1]
 
 
@@ -386,7 +386,7 @@ def _(spark, sf):
     1e2 AS quality, 'A' AS grade FROM found WHERE has_user OR has_product""",
 )
 def _(spark, sf):
-    users, products = store.build_lookup_tables(tables.features(spark, sf))
+    users, products = tables.lookup_tables(spark, sf)
     scored, _missing = score_ops.score_lookup_pairs(_pairs(spark, sf), users, products)
     return scored.select(
         "user_id", "product_id", "probability",
@@ -434,7 +434,7 @@ def _(spark, sf):
     pairs = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 20).alias("product_id")
     )
-    latest = store.materialize_latest(tables.features(spark, sf))
+    latest = tables.latest(spark, sf)
     online = store.get_online_features(pairs.distinct(), latest)
     return online.select("user_id", "product_id", *ONLINE)
 
@@ -447,7 +447,7 @@ def _(spark, sf):
     LEFT JOIN latest l ON try_cast(trim(p.user_id) AS BIGINT) = l.user_id AND try_cast(trim(p.product_id) AS BIGINT) = l.product_id""",
 )
 def _(spark, sf):
-    latest = store.materialize_latest(tables.features(spark, sf))
+    latest = tables.latest(spark, sf)
     batch = store.lookup_features_batch(_pairs(spark, sf), latest)
     return batch.select("user_id", "product_id", *ONLINE)
 

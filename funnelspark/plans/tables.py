@@ -15,6 +15,7 @@ from ..operators import clean as clean_ops
 from ..operators import features as feature_ops
 from ..operators import labels as label_ops
 from ..operators import score as score_ops
+from ..operators import store as store_ops
 from ..operators.ordered import row_numbers
 from ..schemas import LITE_FEATURES
 from ..session import staging_path, tune
@@ -25,6 +26,7 @@ BATCH_THRESHOLD = 0.7
 SIMULATED = 0.65
 
 _PUBLISHED: dict[tuple[str, str, str], tuple[str, object]] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def published(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -40,6 +42,31 @@ def published(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, keys: list[str], build) -> DataFrame:
+    """A table stored in buckets of its keys, once per application."""
+    tune(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = store_ops.stored_by_key(build(), name, keys)
+    return _STORED[key]
+
+
+def lookup_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """User and product lookup tables, stored by key."""
+    return (
+        stored(spark, sf_dir, "lookup_users", ["user_id"], lambda: store_ops.agg_user_lookup(features(spark, sf_dir))),
+        stored(spark, sf_dir, "lookup_products", ["product_id"], lambda: store_ops.agg_product_lookup(features(spark, sf_dir))),
+    )
+
+
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest feature row of each pair, stored by key."""
+    return stored(
+        spark, sf_dir, "latest", list(store_ops.PROPENSITY.keys),
+        lambda: store_ops.materialize_latest(features(spark, sf_dir)),
+    )
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw event log, mapped from the given tables once."""
     return published(spark, sf_dir, "raw", lambda: clickstream(spark, sf_dir))

@@ -110,3 +110,30 @@ def test_latency_of_a_hot_session_stays_near_linear(hot_log):
     carts = filter_event_type(hot_log.filter("user_session = 'hot'"), "cart").count()
     pairs = labels.cart_purchase_latency(hot_log.filter("user_session = 'hot'")).count()
     assert pairs <= carts * 31
+
+
+def test_lookups_read_stored_tables_without_a_shuffle(spark):
+    from funnelspark.operators import store
+
+    n = 6000
+    table = spark.range(n).select(F.col("id").alias("product_id"), (F.col("id") * 2).alias("x"))
+    kept = store.stored_by_key(table.unionByName(spark.sql("select cast(null as bigint) product_id, 1L x")), "lookup_test", ["product_id"])
+    # One product in a third of the pairs, one that the table does not have in another tenth, and pairs without one.
+    asked = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, -5).when(F.col("id") % 10 == 2, F.lit(None)).otherwise(F.col("id") % 9000)
+    pairs = stage(spark.range(9000).select("id", asked.cast("string").alias("product")), "pairs")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.keyed_left_join(pairs, F.col("product"), kept, ["x"])
+        want = pairs.join(table, F.col("product") == F.col("product_id").cast("string"), "left").select("id", "product", "x")
+        assert got.count() == 9000 and got.exceptAll(want).isEmpty()
+        text = plan_of(got, final=True)
+        assert "Bucketed: true" in text
+        # Only the pairs are dealt out by key.
+        assert "hashpartitioning(_cold" in text and "hashpartitioning(_key" not in text
+        heavy = {r[0] for r in joins.heavy_keys(pairs.select(F.col("product").alias("_key")), "_key", 1 / 16).collect()}
+        assert heavy == {"7", "-5"}
+        sizes = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert max(r["count"] for r in sizes) < 9000 / 4 * 1.5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
