@@ -1,9 +1,9 @@
 """User, product, brand and category features and their assembly.
 
 Every aggregate is mergeable, so Spark combines rows on the map side and a hot user or product
-costs one partial row per input partition. Feature joins know how many events each key has and
-spread the rows of the heaviest keys; otherwise adaptive execution broadcasts a side only after
-measuring it.
+costs one partial row per input partition. Assembling reads the log once: its counts by user, product,
+event type, brand and category are stored, and all aggregates are taken from them. Feature joins broadcast a
+side whose stored size allows it, and otherwise spread the rows of the heaviest keys.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from ..schemas import (
     FEATURE_TABLE_COLUMNS,
     NUMERIC_FEATURES,
 )
+from ..session import stage
 from .clean import dedup_feature_rows, fill_defaults
 from .joins import spread_left_join
 from .labels import label_same_session
@@ -29,12 +30,42 @@ def _is(kind: str) -> Column:
     return F.col("event_type") == kind
 
 
+def _weighted(events: DataFrame) -> DataFrame:
+    """Events, or event counts, with ``_n`` events, ``_priced`` of them with a price and ``_sum`` of their prices."""
+    if "_n" in events.columns:
+        return events
+    return events.withColumns(
+        {"_n": F.lit(1).cast("bigint"), "_priced": F.col("price").isNotNull().cast("bigint"), "_sum": F.col("price")}
+    )
+
+
+def event_counts(events: DataFrame, *more: str) -> DataFrame:
+    """The log counted by user, product, event type and the columns of ``more``, stored: one scan and one shuffle
+    for all aggregates over it. They accept it in place of events."""
+    keys = ["user_id", "product_id", "event_type", *more]
+    counted = _weighted(events).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_n", "_priced", "_sum")])
+    return stage(counted, "event-counts")
+
+
+def _number(condition: Column) -> Column:
+    """How many events fulfil a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
+
+
+def _mean_price(condition: Column | None = None) -> Column:
+    """Mean price of the events that fulfil a condition."""
+    total, count = F.col("_sum"), F.col("_priced")
+    if condition is not None:
+        total, count = F.when(condition, total), F.when(condition, count)
+    return F.try_divide(F.sum(total), F.sum(count))
+
+
 def _totals(prefix: str) -> list[Column]:
     return [
-        F.count("*").alias(f"{prefix}_total_events"),
-        F.count_if(_is("view")).alias(f"{prefix}_total_views"),
-        F.count_if(_is("cart")).alias(f"{prefix}_total_carts"),
-        F.count_if(_is("purchase")).alias(f"{prefix}_total_purchases"),
+        F.sum("_n").alias(f"{prefix}_total_events"),
+        _number(_is("view")).alias(f"{prefix}_total_views"),
+        _number(_is("cart")).alias(f"{prefix}_total_carts"),
+        _number(_is("purchase")).alias(f"{prefix}_total_purchases"),
     ]
 
 
@@ -56,10 +87,11 @@ def agg_user(events: DataFrame, approximate: bool = False) -> DataFrame:
     """Per user over raw events. ``approximate`` swaps exact distinct counts for sketches."""
     level1 = F.lower(F.coalesce(C.level1("category_code"), F.lit(C.UNKNOWN)))
     return (
-        events.groupBy("user_id")
+        _weighted(events)
+        .groupBy("user_id")
         .agg(
             *_totals("user"),
-            F.avg(F.when(_is("purchase"), F.col("price"))).alias("user_avg_purchase_price"),
+            _mean_price(_is("purchase")).alias("user_avg_purchase_price"),
             _distinct("product_id", approximate).alias("user_unique_products"),
             _distinct(level1, approximate).alias("user_unique_categories"),
         )
@@ -72,7 +104,8 @@ def agg_product(events: DataFrame, approximate: bool = False) -> DataFrame:
     """Per product over raw events; unique buyers count purchase events only."""
     buyer = F.when(_is("purchase"), F.col("user_id"))
     return (
-        events.groupBy("product_id")
+        _weighted(events)
+        .groupBy("product_id")
         .agg(*_totals("product"), _distinct(buyer, approximate).alias("product_unique_buyers"))
         .withColumns(_rates("product", C.guarded_rate))
     )
@@ -81,11 +114,12 @@ def agg_product(events: DataFrame, approximate: bool = False) -> DataFrame:
 def agg_brand(events: DataFrame) -> DataFrame:
     """Per normalized brand: purchases, carts, mean price and purchase rate."""
     return (
-        events.groupBy(C.clean_category("brand").alias("brand_clean"))
+        _weighted(events)
+        .groupBy(C.clean_category("brand").alias("brand_clean"))
         .agg(
-            F.count_if(_is("purchase")).alias("brand_total_purchases"),
-            F.count_if(_is("cart")).alias("brand_total_carts"),
-            F.avg("price").alias("brand_avg_price"),
+            _number(_is("purchase")).alias("brand_total_purchases"),
+            _number(_is("cart")).alias("brand_total_carts"),
+            _mean_price().alias("brand_avg_price"),
         )
         .withColumn(
             "brand_purchase_rate", C.guarded_rate("brand_total_purchases", "brand_total_carts")
@@ -95,11 +129,13 @@ def agg_brand(events: DataFrame) -> DataFrame:
 
 def agg_category(events: DataFrame) -> DataFrame:
     """Per first category level: mean price and purchases."""
-    return events.groupBy(
-        C.level1(C.clean_category("category_code")).alias("category_level1")
-    ).agg(
-        F.avg("price").alias("category_avg_price"),
-        F.count_if(_is("purchase")).alias("category_total_purchases"),
+    return (
+        _weighted(events)
+        .groupBy(C.level1(C.clean_category("category_code")).alias("category_level1"))
+        .agg(
+            _mean_price().alias("category_avg_price"),
+            _number(_is("purchase")).alias("category_total_purchases"),
+        )
     )
 
 
@@ -155,10 +191,11 @@ def assemble_features_v2(
     the sample, so the outcome is that of a drop at the end.
     """
     rows = dedup_feature_rows(samples.withColumnRenamed("event_time", "event_timestamp"))
-    joined = join_category_features(rows, agg_category(events))
-    joined = join_brand_features(joined, agg_brand(events))
-    joined = join_product_features(joined, agg_product(events, approximate))
-    joined = join_user_features(joined, agg_user(events, approximate))
+    counts = event_counts(events, "brand", "category_code")
+    joined = join_category_features(rows, agg_category(counts))
+    joined = join_brand_features(joined, agg_brand(counts))
+    joined = join_product_features(joined, agg_product(counts, approximate))
+    joined = join_user_features(joined, agg_user(counts, approximate))
     derived = joined.withColumns(
         {
             "price_vs_user_avg": price_vs_user_avg(),
@@ -186,12 +223,13 @@ def export_events(events: DataFrame) -> DataFrame:
 def agg_user_clipped(events: DataFrame) -> DataFrame:
     """Per user of export events: capped rates; mean purchase price is null without purchases."""
     return (
-        events.groupBy("user_id")
+        _weighted(events)
+        .groupBy("user_id")
         .agg(
             *_totals("user"),
             F.countDistinct("product_id").alias("user_unique_products"),
             F.countDistinct("category_code_level1").alias("user_unique_categories"),
-            F.avg(F.when(_is("purchase"), F.col("price"))).alias("user_avg_purchase_price"),
+            _mean_price(_is("purchase")).alias("user_avg_purchase_price"),
         )
         .withColumns(_rates("user", C.clipped_rate))
     )
@@ -200,7 +238,8 @@ def agg_user_clipped(events: DataFrame) -> DataFrame:
 def agg_product_clipped(events: DataFrame) -> DataFrame:
     """Per product of export events: capped rates; unique buyers count every user."""
     return (
-        events.groupBy("product_id")
+        _weighted(events)
+        .groupBy("product_id")
         .agg(*_totals("product"), F.countDistinct("user_id").alias("product_unique_buyers"))
         .withColumns(_rates("product", C.clipped_rate))
     )
@@ -209,10 +248,11 @@ def agg_product_clipped(events: DataFrame) -> DataFrame:
 def agg_brand_clipped(events: DataFrame) -> DataFrame:
     """Per brand of export events: purchases, carts and the capped purchase rate."""
     return (
-        events.groupBy("brand")
+        _weighted(events)
+        .groupBy("brand")
         .agg(
-            F.count_if(_is("purchase")).alias("brand_purchases"),
-            F.count_if(_is("cart")).alias("brand_carts"),
+            _number(_is("purchase")).alias("brand_purchases"),
+            _number(_is("cart")).alias("brand_carts"),
         )
         .withColumn("brand_purchase_rate", C.clipped_rate("brand_purchases", "brand_carts"))
     )
@@ -222,9 +262,10 @@ def assemble_features_clipped(events: DataFrame) -> DataFrame:
     """Export feature table: capped rates, same-session label, activity from the product."""
     ready = export_events(events)
     carts = label_same_session(ready)
-    joined = spread_left_join(carts, agg_brand_clipped(ready), ["brand"], "brand_carts")
-    joined = join_product_features(joined, agg_product_clipped(ready))
-    joined = join_user_features(joined, agg_user_clipped(ready))
+    counts = event_counts(ready, "brand", "category_code_level1")
+    joined = spread_left_join(carts, agg_brand_clipped(counts), ["brand"], "brand_carts")
+    joined = join_product_features(joined, agg_product_clipped(counts))
+    joined = join_user_features(joined, agg_user_clipped(counts))
     average = F.greatest(F.col("user_avg_purchase_price"), F.lit(0.01))
     derived = joined.withColumns(
         {

@@ -130,10 +130,25 @@ def test_lookups_read_stored_tables_without_a_shuffle(spark):
         text = plan_of(got, final=True)
         assert "Bucketed: true" in text
         # Only the pairs are dealt out by key.
-        assert "hashpartitioning(_cold" in text and "hashpartitioning(_key" not in text
+        assert "hashpartitioning(_cold" in text and "hashpartitioning(_key" not in text and "hashpartitioning(_rkey" not in text
         heavy = {r[0] for r in joins.heavy_keys(pairs.select(F.col("product").alias("_key")), "_key", 1 / 16).collect()}
         assert heavy == {"7", "-5"}
         sizes = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
         assert max(r["count"] for r in sizes) < 9000 / 4 * 1.5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_features_read_the_log_once(spark, hot_log):
+    import datetime as dt
+
+    cut = hot_log.filter("user_id < 40")
+    made = features.event_counts(cut, "brand", "category_code")
+    for agg in (features.agg_user, features.agg_product, features.agg_brand, features.agg_category):
+        one, two = agg(cut), agg(made)
+        assert one.columns == two.columns and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    samples = labels.cart_samples(dedup_events(cut))
+    table = features.assemble_features_v2(samples, cut, dt.datetime(2024, 2, 1))
+    text = table._jdf.queryExecution().optimizedPlan().toString()
+    # Four stored sides: no aggregate over the log is left in the plan of the table.
+    assert "user_unique_products" in text and "count(distinct" not in text.lower() and "approx" not in text
