@@ -6,10 +6,13 @@ Every function takes rows whose categories are already encoded as numbers.
 from __future__ import annotations
 
 import random
+import statistics
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -20,7 +23,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,6 +227,14 @@ BOOSTING_SPACE: Space = {
 }
 
 
+def behind(scores: dict[int, list[float]], keep: int) -> set[int]:
+    """Trials whose mean so far is below the median of those still running; the ``keep`` best always go on."""
+    means = {i: sum(s) / len(s) for i, s in scores.items()}
+    order = sorted(means, key=lambda i: (-means[i], i))
+    middle = statistics.median(means.values())
+    return {i for i in order[keep:] if means[i] < middle}
+
+
 def search_params_cv(
     df: DataFrame,
     fold: str,
@@ -236,38 +246,59 @@ def search_params_cv(
     label: str = TARGET,
     seed: int = 42,
     parallelism: int = 4,
+    keep: int = 2,
 ) -> DataFrame:
-    """(trial, params, mean_f1, std_f1, is_best): random search over given folds.
+    """(trial, params, mean_f1, std_f1, folds, stopped_after, is_best): random search that stops bad trials.
 
-    Trials are fitted ``parallelism`` at a time, each of them distributed.
+    All trials are fitted fold by fold. After each fold but the last, those below the median of the running trials are
+    stopped (``behind``), so most of the work goes into the better half; ``keep`` trials at least see all ``k`` folds.
+    ``folds`` were fitted, ``stopped_after`` is the last of them or null for a finished trial, and means are over those
+    folds. The best is among finished trials; the earlier one of equals. Trials are fitted ``parallelism`` at a
+    time, each of them distributed.
     """
     rng = random.Random(seed)
     space = space or BOOSTING_SPACE
     drawn = [{name: draw(rng) for name, draw in space.items()} for _ in range(trials)]
     pipe = pipeline(model_type, None, features, label)
     model = pipe.getStages()[-1]
-    grid = [
-        {model.getParam(name): value for name, value in params.items()} for params in drawn
-    ]
     judge = MulticlassClassificationEvaluator(
         labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0
     )
-    fitted = CrossValidator(
-        estimator=pipe,
-        estimatorParamMaps=grid or ParamGridBuilder().build(),
-        evaluator=judge,
-        numFolds=k,
-        foldCol=fold,
-        parallelism=parallelism,
-    ).fit(df.withColumn(fold, F.col(fold).cast("int")))
+    scores: dict[int, list[float]] = {i: [] for i in range(trials)}
+    running, stopped = set(scores), {}
+    for f in range(k):
+        train = df.filter(F.col(fold) != f).persist()
+        held = df.filter(F.col(fold) == f).persist()
+
+        def score(i: int) -> float:
+            params = {model.getParam(name): value for name, value in drawn[i].items()}
+            return float(judge.evaluate(pipe.fit(train, params).transform(held)))
+
+        try:
+            order = sorted(running)
+            with ThreadPool(parallelism) as pool:
+                found = pool.map(inheritable_thread_target(score), order)
+        finally:
+            train.unpersist()
+            held.unpersist()
+        for i, s in zip(order, found):
+            scores[i].append(s)
+        if f < k - 1:
+            slow = behind({i: scores[i] for i in running}, keep)
+            stopped |= dict.fromkeys(slow, f + 1)
+            running -= slow
     rows = [
-        (i, {name: float(v) for name, v in params.items()}, float(m), float(s))
-        for i, (params, m, s) in enumerate(zip(drawn, fitted.avgMetrics, fitted.stdMetrics))
+        (
+            i, {name: float(v) for name, v in drawn[i].items()}, statistics.fmean(s), statistics.pstdev(s), len(s),
+            stopped.get(i),
+        )
+        for i, s in scores.items()
     ]
     out = df.sparkSession.createDataFrame(
-        rows, "trial bigint, params map<string,double>, mean_f1 double, std_f1 double"
+        rows,
+        "trial bigint, params map<string,double>, mean_f1 double, std_f1 double, folds bigint, stopped_after bigint",
     )
-    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
+    best = max(running, key=lambda i: (rows[i][2], -i))
     return out.withColumn("is_best", F.col("trial") == best)
 
 

@@ -1,7 +1,11 @@
-"""Queries: training, tuning and model scoring. Results depend on the learner, so no SQL."""
+"""Queries: training, tuning and model scoring.
+
+What a learner finds cannot be said in SQL, what must hold of it can: the queries return that as booleans.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import encode, ml, score, split
@@ -44,38 +48,110 @@ def _trained(spark, sf, model_type="gradient_boosting"):
     return ml.train_classifier(train, test, model_type, SMALL[model_type])
 
 
-@query("train_classifier")
+MODELS_SQL = f"(VALUES {', '.join(f'({chr(39)}{m}{chr(39)})' for m in SMALL)}) m(model)"
+METRICS = ["accuracy", "precision", "recall", "f1", "auc_roc"]
+
+
+def _in_range(names: list[str]):
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & F.col(n).between(0, 1)
+    return ok
+
+
+def _majority(df):
+    """Share of the more frequent class."""
+    share = F.avg(F.col(TARGET).cast("double"))
+    return df.agg(F.greatest(share, 1 - share)).scalar()
+
+
+@query(
+    "train_classifier",
+    f"""SELECT model, part, true AS in_range, true AS near_majority_or_better FROM {MODELS_SQL},
+    (VALUES ('train'), ('test')) p(part)""",
+)
 def _(spark, sf):
+    """Every model is at least about as accurate as always naming the more frequent class."""
     train, _val, test = _parts(spark, sf)
+    least = F.when(F.col("part") == "train", _majority(train)).otherwise(_majority(test)) - 0.02
     out = None
     for model_type, params in SMALL.items():
         fitted = ml.train_classifier(train, test, model_type, params)
         rows = fitted.metrics.withColumn("model", F.lit(model_type))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.select(
+        "model", "part", _in_range(["accuracy"]).alias("in_range"),
+        (F.col("accuracy") >= least).alias("near_majority_or_better"),
+    )
 
 
-@query("top_importances")
+@query("top_importances", "SELECT unnest(range(1, 11)) AS place, true AS is_feature, true AS in_order, true AS in_range")
 def _(spark, sf):
-    return ml.top_importances(spark, _trained(spark, sf))
+    """Ten different features, in descending order; importances add up to one at most."""
+    top = ml.top_importances(spark, _trained(spark, sf))
+    order = Window.orderBy(F.desc("importance"), "feature")
+    listed = top.withColumn("place", F.row_number().over(order).cast("bigint"))
+    before = F.lag("importance", 1, 1.0).over(order)
+    return listed.select(
+        "place", F.col("feature").isin(ALL_FEATURES).alias("is_feature"),
+        (F.col("importance") <= before).alias("in_order"), F.col("importance").between(0, 1).alias("in_range"),
+    )
 
 
-@query("tune_regularization")
+@query(
+    "tune_regularization",
+    """SELECT c, true AS in_range, true AS penalty_falls_with_c, true AS one_is_best
+    FROM (VALUES (1e-3), (1e-2), (1e-1), (1e0), (1e1), (1e2)) v(c)""",
+)
 def _(spark, sf):
     train, val, _test = _parts(spark, sf)
-    return ml.tune_regularization(train, val)
+    found = ml.tune_regularization(train, val)
+    whole = found.agg(
+        F.count_if("is_best").alias("n"), F.max("auc_roc").alias("top"),
+        F.max(F.when(F.col("is_best"), F.col("auc_roc"))).alias("got"),
+        F.max(F.col("c") * F.col("reg_param")).alias("unit"),
+    )
+    return found.join(F.broadcast(whole)).select(
+        "c", _in_range(["auc_roc"]).alias("in_range"),
+        (F.abs(F.col("c") * F.col("reg_param") / F.col("unit") - 1) < 1e-9).alias("penalty_falls_with_c"),
+        ((F.col("n") == 1) & (F.col("top") == F.col("got"))).alias("one_is_best"),
+    )
 
 
-@query("search_params_cv")
+TRIALS, FOLDS = 20, 5
+
+
+@query(
+    "search_params_cv",
+    f"""SELECT unnest(range({TRIALS})) AS trial, true AS in_range, true AS folds_as_stopped, true AS best_is_finished,
+    true AS half_stopped_early""",
+)
 def _(spark, sf):
-    found = ml.search_params_cv(prepared(spark, sf).filter("part <> 'test'"), "fold", 5, trials=3)
-    return found.select("trial", "mean_f1", "std_f1", "is_best")
+    """Trials end where they fall behind; the best has seen all folds and has the highest mean of those that did."""
+    found = ml.search_params_cv(prepared(spark, sf).filter("part <> 'test'"), "fold", FOLDS, trials=TRIALS)
+    done = F.col("stopped_after").isNull()
+    whole = found.agg(
+        F.max(F.when(done, F.col("mean_f1"))).alias("top"),
+        F.max(F.when(F.col("is_best") & done, F.col("mean_f1"))).alias("got"),
+        F.count_if("is_best").alias("n"),
+        F.count_if(F.col("stopped_after") < FOLDS).alias("stopped"),
+    )
+    return found.join(F.broadcast(whole)).select(
+        "trial",
+        (_in_range(["mean_f1"]) & (F.col("std_f1") >= 0)).alias("in_range"),
+        (F.col("folds") == F.coalesce("stopped_after", F.lit(FOLDS))).alias("folds_as_stopped"),
+        ((F.col("n") == 1) & (F.col("top") == F.col("got"))).alias("best_is_finished"),
+        (F.col("stopped") >= TRIALS // 2).alias("half_stopped_early"),
+    )
 
 
-@query("benchmark_models")
+@query("benchmark_models", f"SELECT model, true AS in_range, true AS took_time FROM {MODELS_SQL}")
 def _(spark, sf):
     train, _val, test = _parts(spark, sf)
-    return ml.benchmark_models(train, test, SMALL)
+    found = ml.benchmark_models(train, test, SMALL)
+    return found.select(
+        "model", (_in_range(METRICS) & (F.col("log_loss") >= 0)).alias("in_range"), (F.col("train_seconds") > 0).alias("took_time")
+    )
 
 
 @query(
@@ -104,10 +180,14 @@ def _(spark, sf):
     )
 
 
-@query("refit_and_evaluate")
+@query("refit_and_evaluate", "SELECT true AS in_range, true AS near_majority_or_better")
 def _(spark, sf):
     train, val, test = _parts(spark, sf)
-    return ml.refit_and_evaluate(train, val, test, "random_forest", SMALL["random_forest"])[1]
+    found = ml.refit_and_evaluate(train, val, test, "random_forest", SMALL["random_forest"])[1]
+    return found.select(
+        (_in_range(METRICS) & (F.col("log_loss") >= 0)).alias("in_range"),
+        (F.col("accuracy") >= _majority(test) - 0.02).alias("near_majority_or_better"),
+    )
 
 
 @query(

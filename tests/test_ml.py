@@ -99,3 +99,19 @@ def test_one_hot_table_and_early_stopping(spark, parts):
     both = train.withColumn("held", F.lit(False)).unionByName(val.withColumn("held", F.lit(True)))
     long = ml.pipeline("gradient_boosting", {"maxIter": 30, "seed": 1}, FEATURES, stop_on="held").fit(both)
     assert 0 < len(long.stages[-1].trees) < 30
+
+
+def test_trials_that_fall_behind_are_stopped(parts):
+    scores = {0: [0.5, 0.7], 1: [0.9, 0.1], 2: [0.1, 0.1], 3: [0.8, 0.8], 4: [0.6, 0.6]}
+    # Means .6 .5 .1 .8 .6; the median stays.
+    assert ml.behind(scores, 2) == {1, 2} and ml.behind(scores, 4) == {2} and ml.behind({7: [0.3]}, 1) == set()
+    train, _val, _test = parts
+    folded = split.stratified_folds(train, ["id"], "is_purchased", 4)
+    space = {"maxDepth": lambda r: r.randint(1, 5), "minInstancesPerNode": lambda r: r.choice([1, 150, 400])}
+    got = ml.search_params_cv(folded, "fold", 4, "decision_tree", space, 8, FEATURES, keep=2).collect()
+    assert [r.folds == (r.stopped_after or 4) for r in got] == [True] * 8
+    done = [r for r in got if r.stopped_after is None]
+    assert 2 <= len(done) < 8 and max(done, key=lambda r: (r.mean_f1, -r.trial)).is_best
+    assert all(0 < r.stopped_after < 4 for r in got if r.stopped_after is not None)
+    alone = ml.search_params_cv(folded, "fold", 4, "decision_tree", space, 1, FEATURES).collect()
+    assert alone[0].is_best and alone[0].folds == 4
