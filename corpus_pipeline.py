@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelspark.llm import jaccard, packing, quality, substring, toxicity
@@ -11,13 +11,27 @@ from funnelspark.llm.registry import table
 from funnelspark.session import staging_path
 
 
+def _apart(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Documents whose own columns of these names are renamed, and how to name them back."""
+    back = {f"_own_{n}": n for n in names if n in docs.columns}
+    return docs.withColumnsRenamed({n: own for own, n in back.items()}), back
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality.filter_quality(docs).filter("rejected_by is null").select(*docs.columns)
+    """Documents that no quality rule rejects.
+
+    Null and empty texts are rejected; repeated rows are judged each; a column ``rejected_by`` stays as it is.
+    """
+    own, back = _apart(docs, ["rejected_by"])
+    judged = quality.filter_quality(own).filter("rejected_by is null").drop("rejected_by")
+    return judged.withColumnsRenamed(back).select(*docs.columns)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.7 by a grammar learned from the labels of those still there."""
+    """Documents scored below 0.7 by a grammar learned from the labels of those still there.
+
+    Null and empty texts have the lowest score; repeated rows are scored each.
+    """
     model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     return docs.filter(toxicity.score_column(model, F.col("text")) < 0.7)
 
@@ -31,22 +45,27 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = jaccard.similar_documents(docs)
     stays = found.filter("component_id = doc_id").select(F.col("doc_id").alias("_stays")).distinct()
     met = docs.filter("doc_id is not null").join(stays, F.col("doc_id") == F.col("_stays"))
-    order = Window.partitionBy("_stays").orderBy(F.xxhash64("text"))
-    first = met.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    # A mergeable minimum: rows of one id shrink before they move.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = met.groupBy("_stays").agg(F.min_by(whole, F.struct(F.xxhash64("text"), F.col("text"))).alias("_row"))
+    return first.select("_row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 20 words and more that occur earlier; n_chars follows."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = substring.dedup_substrings(docs, keep=rest, whole=True)
+    """Documents without the passages of 20 words and more that occur earlier; n_chars follows.
+
+    Null texts become empty ones. Columns named like the operator's figures stay as they are.
+    """
+    own, back = _apart(docs, ["n_words", "n_removed"])
+    rest = [c for c in own.columns if c not in ("doc_id", "text")]
+    done = substring.dedup_substrings(own, keep=rest, whole=True).drop("n_words", "n_removed")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return done.withColumnsRenamed(back).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 ids."""
+    """Pieces of documents in sequences of 1024 ids; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, vocabulary())
 
 
@@ -60,7 +79,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what each keeps is written to the shared folder."""
+    """All stages over the documents; what each keeps is written to the shared folder. No documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = staging_path(spark, f"corpus-{name.replace(' ', '-')}")
