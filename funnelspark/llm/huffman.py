@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..session import staging_path
 from .ranges import in_order, totals_before
-from .tokens import library_encoder
+from .tokens import library_encoder, read_vocabulary
 
 MAX_BITS = 18
 STEP = 512
@@ -28,7 +28,7 @@ TOKENS = (
 )
 BLOCKS = (
     "part int, block int, doc_ids array<bigint>, n_tokens array<bigint>, before bigint, "
-    "payload binary, offsets array<int>"
+    "payload binary, offsets array<bigint>"
 )
 
 
@@ -261,9 +261,9 @@ def _coded(tokens: DataFrame, dtype: str, lengths: bytes) -> DataFrame:
                 ids = np.frombuffer(ids.as_buffer(), dtype)
                 payload, at = encode_ids(ids, sizes.values.to_numpy(), codes, bits)
                 payloads.append(payload)
-                offsets.append(at.astype(np.int32))
+                offsets.append(at.astype(np.int64))
             kept = [batch.column(c) for c in ("part", "block", "doc_ids", "n_tokens", "before")]
-            made = [pa.array(payloads, pa.binary()), pa.array(offsets, pa.list_(pa.int32()))]
+            made = [pa.array(payloads, pa.binary()), pa.array(offsets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
                 [*kept, *made],
                 ["part", "block", "doc_ids", "n_tokens", "before", "payload", "offsets"],
@@ -292,10 +292,13 @@ def write_ids(
     blocks.write.option("compression", "zstd").parquet(held)
     tokens = spark.read.schema(blocks.schema).parquet(held)
     # One code length per possible id: the vocabulary bounds what reaches the driver.
-    n_ids = 1 << (16 if dtype == "<u2" else 18)
+    said = read_vocabulary(path)
+    n_ids = 1 + max(end_id, *said["model"]["vocab"].values(), *[t["id"] for t in said["added_tokens"]])
     lengths = code_lengths(id_counts(tokens, dtype, n_ids)).tobytes()
     # The code is dense; compressing it again would only take time.
-    coded = _coded(tokens, dtype, lengths)
+    # Files, and blocks in them, ascend as their documents do, in whatever order the ids were read back.
+    ordered = tokens.repartitionByRange(parts, "part", "block").sortWithinPartitions("part", "block")
+    coded = _coded(ordered, dtype, lengths)
     coded.write.option("compression", "none").parquet(f"{out}/blocks")
     used = np.frombuffer(lengths, np.uint8)
     known = [(int(i), int(used[i])) for i in np.flatnonzero(used)]

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 # Labelled rows used to fit, about, at most.
 FIT_ROWS = 20_000
-LEXICON = 5_000
 # A word or stem enters the lexicon above this lower bound of its log odds.
 LEAST_WEIGHT, CAUTION, LEAST_TOXIC = 1.5, 1.0, 3
 STEMS = range(4, 11)
@@ -269,8 +268,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """(text, toxic, half) of about ``fit_rows`` labelled documents that may be learned from.
 
     They are chosen by a hash of doc_id, which also halves them. Repeated labels count once, a
-    toxic one first; null labels and ids do not count. The labels in use are few by that bound and
-    go to all tasks, so the documents are not shuffled.
+    toxic one first; null labels and ids do not count. Of repeated documents the least text counts, so the rows are
+    as bounded as the ids. The labels in use are few by that bound and go to all tasks, so only their documents
+    are shuffled.
     """
     some = labels.filter("toxic is not null and doc_id is not null")
     some = some.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
@@ -280,17 +280,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     share = min(1.0, fit_rows / max(1, some.count()))
     used = some.filter(F.col("_h") < math.ceil((1 << 20) * share))
     used = used.select(F.col("doc_id").alias("_id"), "toxic", (F.col("_h") % 2).cast("int").alias("half"))
-    return docs.select("doc_id", "text").join(
-        F.broadcast(used), F.col("doc_id") == F.col("_id")
-    ).select("text", "toxic", "half")
+    met = docs.select("doc_id", "text").join(F.broadcast(used), F.col("doc_id") == F.col("_id"))
+    return met.groupBy("_id", "toxic", "half").agg(F.min("text").alias("text")).select("text", "toxic", "half")
 
 
-def learn(used: DataFrame) -> Model:
+def learn(used: DataFrame, lexicon_size: int | None = None) -> Model:
     """Fit lexicon and weights on (text, toxic, half) rows, which ``training_rows`` bounds.
 
     The weights of the clause scores are fitted on one half with a lexicon of the other, so that they
     don't trust a lexicon too much; the lexicon that is kept is learned on both. Without rows of both
-    labels in both halves the seed words and fixed weights are used.
+    labels in both halves the seed words and fixed weights are used. ``lexicon_size`` keeps the strongest words only;
+    without it all that pass the tests stay, a number that the rows bound.
     """
     import numpy as np
 
@@ -314,7 +314,9 @@ def learn(used: DataFrame) -> Model:
         weight(F.col("t0"), F.col("c0"), (0,)).alias("first"),
         weight(F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), (0, 1)).alias("both"),
     ).filter("first is not null or both is not null")
-    rows = weighed.orderBy(F.desc(F.greatest("first", "both")), "item").limit(LEXICON).collect()
+    if lexicon_size is not None:
+        weighed = weighed.orderBy(F.desc(F.greatest("first", "both")), "item").limit(lexicon_size)
+    rows = weighed.collect()
     half = {r["item"]: r["first"] for r in rows if r["first"]}
     lexicon = {r["item"]: r["both"] for r in rows if r["both"]}
     if not half or not lexicon:

@@ -46,3 +46,14 @@ def test_the_pipeline_over_empty_documents(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id bigint, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_like_results_stay_as_they_are(spark, tmp_path):
+    clean = " ".join(f"apple{i} pear{i * 3 % 11}" for i in range(30))
+    rows = [(1, clean, "mine", 7, 8), (2, clean.replace("apple3 ", "plum "), None, None, 9), (2, clean.replace("apple3 ", "plum "), "b", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, rejected_by string, n_words int, n_removed int")
+    spark.createDataFrame([], "doc_id bigint, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "rejected_by", "n_words", "n_removed"]
+    assert [tuple(r) for r in docs.collect()] == [rows[0]]

@@ -215,3 +215,13 @@ def test_words_are_compared_when_hashes_are_equal(library, monkeypatch):
     for _ in range(2):
         for text, ids in zip(texts, encoder.encode_many(texts)):
             assert np.frombuffer(ids, "<u2").tolist() == library(text)
+
+
+def test_token_files_ascend(spark, tmp_path):
+    docs = spark.range(0, 3000).selectExpr("(id * 7919) % 3000 AS doc_id", "repeat(concat('word ', id, ' '), 150) AS text")
+    huffman.write_ids(docs, vocabulary(), str(tmp_path / "f"), parts=5)
+    ids = []
+    for part in sorted((tmp_path / "f" / "blocks").glob("part-*.parquet")):
+        for row in spark.read.parquet(str(part)).select("doc_ids").toLocalIterator():
+            ids += row["doc_ids"]
+    assert ids == list(range(3000))

@@ -2,6 +2,7 @@ import math
 
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from funnelspark.llm import toxicity as tox
 
@@ -88,3 +89,10 @@ def test_hard_rows_and_no_labels(spark):
     column = docs.select("doc_id", tox.score_column(model, docs["text"]).alias("s")).collect()
     assert {(r["doc_id"], round(r["s"], 9)) for r in column} == {(r["doc_id"], round(r["score"], 9)) for r in got}
     assert tox.score_toxicity(plain.documents(spark, []), model).count() == 0
+
+
+def test_repeated_documents_are_one_training_row(spark):
+    docs = spark.range(2000).selectExpr("CAST(id % 4 AS bigint) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(4)], "doc_id bigint, toxic int, quality int")
+    wanted = labels.filter(~tox.held_out(F.col("doc_id"))).count()
+    assert tox.training_rows(docs, labels).count() == wanted <= 4
