@@ -329,57 +329,178 @@ def agg_product_lookup(features: DataFrame) -> DataFrame:
     return main.join(modes, "product_id", "left").fillna(C.UNKNOWN, subset=CATEGORICAL_FEATURES)
 
 
-def assemble_as_of(samples: DataFrame, events: DataFrame) -> DataFrame:
-    """Samples with user and product totals over strictly earlier events only (no leakage).
+# What the past of a sample is counted by: its user, product, brand and category.
+PAST = ("user", "product", "brand", "category")
 
-    Totals are first taken per (entity, time slice), then accumulated over slices; a sample adds
-    the events of its own slice that precede it. No window runs over raw rows of a whole entity.
-    """
-    out = samples
-    for entity, prefix in (("user_id", "user"), ("product_id", "product")):
-        out = _past_totals(out, events, entity, prefix)
-    return out.withColumns({**_rates("user", C.guarded_rate), **_rates("product", C.guarded_rate)})
 
+def _subjects(brand: Column, category: Column) -> Column:
+    """(kind, key) of everything a row belongs to."""
+    keys = dict(zip(PAST, (F.col("user_id"), F.col("product_id"), brand, category)))
+    return F.array(
+        *[F.struct(F.lit(k).alias("kind"), keys[k].cast("string").alias("key")) for k in PAST]
+    )
 
-def _past_totals(samples: DataFrame, events: DataFrame, entity: str, prefix: str) -> DataFrame:
-    from .ordered import time_slice
 
-    names = [f"{prefix}_total_{what}" for what in ("events", "views", "carts", "purchases")]
-    # Samples ride along with the events as zero-weight rows, ahead of events of their instant.
-    weights = [
-        F.lit(1).alias(names[0]),
-        _is("view").cast("int").alias(names[1]),
-        _is("cart").cast("int").alias(names[2]),
-        _is("purchase").cast("int").alias(names[3]),
-    ]
-    moments = samples.select(entity, "event_time").distinct()
-    steps = (
-        events.select(entity, "event_time", F.lit(1).alias("_event"), *weights)
-        .unionByName(
-            moments.select(
-                entity, "event_time", F.lit(0).alias("_event"),
-                *[F.lit(0).alias(n) for n in names],
+def _first_seen(events: DataFrame) -> DataFrame:
+    """Instants at which a user meets a new product or category, or a product a new buyer.
+
+    The number of distinct values before some time is the number of first occurrences before it. They
+    are mergeable minima, so copies collapse before the shuffle.
+    """
+    met = stage(
+        events.groupBy(
+            "user_id",
+            "product_id",
+            F.lower(F.coalesce(C.level1("category_code"), F.lit(C.UNKNOWN))).alias("level1"),
+        ).agg(
+            F.min("event_time").alias("seen"),
+            F.min(F.when(_is("purchase"), F.col("event_time"))).alias("bought"),
+        ),
+        "first-seen",
+    )
+    out = None
+    for kind, subject, value, when, name in (
+        ("user", "user_id", "product_id", "seen", "products"),
+        ("user", "user_id", "level1", "seen", "categories"),
+        ("product", "product_id", "user_id", "bought", "buyers"),
+    ):
+        firsts = (
+            met.filter(F.col(value).isNotNull())
+            .groupBy(subject, value)
+            .agg(F.min(when).alias("event_time"))
+            .select(
+                F.lit(kind).alias("kind"),
+                F.col(subject).cast("string").alias("key"),
+                "event_time",
+                F.lit(1).cast("bigint").alias(name),
             )
         )
-        .withColumn("_slice", time_slice("event_time"))
+        out = firsts if out is None else out.unionByName(firsts, allowMissingColumns=True)
+    return out
+
+
+def _past_instants(samples: DataFrame, events: DataFrame) -> DataFrame:
+    """One stored row per (kind, key, instant): what happens then, and whether a sample asks for its past."""
+    names = ("events", "views", "carts", "purchases", "priced", "spent", "bought", "paid")
+    priced = F.col("price").isNotNull()
+    flags = dict(
+        zip(
+            names,
+            (
+                F.lit(True), _is("view"), _is("cart"), _is("purchase"),
+                priced, priced, _is("purchase") & priced, _is("purchase") & priced,
+            ),
+        )
+    )
+    sums = {
+        n: F.when(f, F.col("price") if n in ("spent", "paid") else F.lit(1).cast("bigint")) for n, f in flags.items()
+    }
+    happened = events.select(
+        "event_time",
+        *[c.alias(n) for n, c in sums.items()],
+        F.inline(_subjects(C.clean_category("brand"), C.level1(C.clean_category("category_code")))),
+    )
+    asked = samples.select(
+        "event_time",
+        F.lit(1).alias("asked"),
+        F.inline(_subjects(C.clean_category("brand"), F.col("category_code_level1"))),
+    )
+    steps = happened.unionByName(_first_seen(events), allowMissingColumns=True).unionByName(
+        asked, allowMissingColumns=True
+    )
+    measures = [*names, "products", "categories", "buyers"]
+    known = steps.filter(F.col("key").isNotNull() & F.col("event_time").isNotNull())
+    return stage(
+        known.groupBy("kind", "key", "event_time").agg(
+            F.max("asked").alias("asked"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]
+        ),
+        "instants",
     )
+
+
+def past_totals(instants: DataFrame, measures: list[str]) -> DataFrame:
+    """(kind, key, event_time, measures): totals over strictly earlier instants, where a sample asks for them.
+
+    Totals are first taken per (key, time slice) and accumulated over slices; an instant adds those of its
+    own slice. So no window runs over the rows of a whole key.
+    """
+    from .ordered import time_slice
+
+    cut = instants.withColumn("_slice", time_slice("event_time"))
     inside = (
-        Window.partitionBy(entity, "_slice")
-        .orderBy("event_time", "_event")
-        .rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("kind", "key", "_slice")
+        .orderBy("event_time")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = (
+        Window.partitionBy("kind", "key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = Window.partitionBy(entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    near = steps.withColumns({n: F.sum(n).over(inside) for n in names}).filter("_event = 0")
+    near = cut.withColumns({m: F.sum(m).over(inside) for m in measures}).filter("asked = 1")
     far = (
-        steps.groupBy(entity, "_slice")
-        .agg(*[F.sum(n).alias(n) for n in names])
-        .select(entity, "_slice", *[F.sum(n).over(before).alias(f"_far_{n}") for n in names])
+        cut.groupBy("kind", "key", "_slice")
+        .agg(*[F.sum(m).alias(m) for m in measures])
+        .select("kind", "key", "_slice", *[F.sum(m).over(before).alias(f"_far_{m}") for m in measures])
     )
-    past = near.join(far, [entity, "_slice"], "left").select(
-        entity,
+    return near.join(far, ["kind", "key", "_slice"], "left").select(
+        "kind",
+        "key",
         "event_time",
-        *[(F.col(n) + F.coalesce(F.col(f"_far_{n}"), F.lit(0))).alias(n) for n in names],
+        *[(F.coalesce(m, F.lit(0)) + F.coalesce(f"_far_{m}", F.lit(0))).alias(m) for m in measures],
     )
-    return samples.join(past, [entity, "event_time"], "left")
 
 
+# Columns of the feature table that come from the past of one kind, and the totals they are made of.
+PAST_COLUMNS = {
+    "user": {
+        "events": "user_total_events", "views": "user_total_views", "carts": "user_total_carts",
+        "purchases": "user_total_purchases", "bought": "_bought", "paid": "_paid",
+        "products": "user_unique_products", "categories": "user_unique_categories",
+    },
+    "product": {
+        "events": "product_total_events", "views": "product_total_views", "carts": "product_total_carts",
+        "purchases": "product_total_purchases", "buyers": "product_unique_buyers",
+    },
+    "brand": {"carts": "_brand_carts", "purchases": "_brand_purchases"},
+    "category": {"priced": "_category_priced", "spent": "_category_spent"},
+}
+
+
+def assemble_as_of(samples: DataFrame, events: DataFrame) -> DataFrame:
+    """Samples with all model features, where every aggregate looks at strictly earlier events only (no leakage).
+
+    The definitions are those of `assemble_features_v2`. Distinct products, categories and buyers are
+    running totals of first occurrences. The log is read twice: for its counts by user, product, brand and
+    category at once, and for first occurrences. A sample without time or key has no past: its totals are 0, its
+    price ratios 1. Repeated samples stay.
+    """
+    measures = sorted({m for columns in PAST_COLUMNS.values() for m in columns})
+    past = stage(past_totals(_past_instants(samples, events), measures), "past")
+    keys = dict(
+        zip(
+            PAST,
+            (F.col("user_id"), F.col("product_id"), C.clean_category("brand"), F.col("category_code_level1")),
+        )
+    )
+    out = samples
+    for kind, columns in PAST_COLUMNS.items():
+        side = past.filter(F.col("kind") == kind).select(
+            F.col("key").alias("_k"), F.col("event_time").alias("_t"),
+            *[F.col(m).alias(c) for m, c in columns.items()],
+        )
+        same = (keys[kind].cast("string") == F.col("_k")) & (F.col("event_time") == F.col("_t"))
+        out = out.join(side, same, "left").drop("_k", "_t").fillna(0, list(columns.values()))
+    category_average = F.try_divide("_category_spent", "_category_priced")
+    paid = F.coalesce(F.try_divide("_paid", "_bought"), F.lit(0.0))
+    ready = out.withColumns({"user_avg_purchase_price": paid, "category_avg_price": category_average})
+    derived = ready.withColumns(
+        {
+            **_rates("user", C.guarded_rate),
+            **_rates("product", C.guarded_rate),
+            "brand_purchase_rate": C.guarded_rate("_brand_purchases", "_brand_carts"),
+            "price_vs_user_avg": price_vs_user_avg(),
+            "price_vs_category_avg": price_vs_category_avg(),
+            "event_hour": C.hour("event_time"),
+        }
+    )
+    made = [c for c in ALL_FEATURES if c not in samples.columns]
+    return derived.select(*samples.columns, *made)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schemas import SAMPLE_COLUMNS
+from ..session import stage
 from .clean import filter_event_type
 from .joins import spread_left_join
 from .ordered import SLICE_US, running_count, time_slice
@@ -172,20 +173,32 @@ def cart_samples(clean: DataFrame) -> DataFrame:
     )
 
 
-def cart_purchase_latency(events: DataFrame, limit_seconds: int = 3600) -> DataFrame:
+# A bucket with more instants of a kind than this is cut into cells.
+CELL = 1000
+
+
+def cart_purchase_latency(
+    events: DataFrame, limit_seconds: int = 3600, cell: int = CELL
+) -> DataFrame:
     """Cart-to-purchase delays of at most the limit, same session and product.
 
     One row per distinct (cart instant, purchase instant) with ``pairs``, the number of event
     pairs it stands for. Events are counted per instant before the join, and the join key holds a
     time bucket of the length of the limit, so a long session only meets its neighbouring bucket.
+
+    A bucket with many carts or purchases is a grid: its carts are dealt into rows and its purchases into columns
+    of about ``cell`` instants, and each cell is a join key of its own. Copies made for that are about
+    2 / ``cell`` of the pairs. Events without time, session or product make no pair.
     """
     keys = ["user_session", "product_id"]
     seconds = F.unix_micros("event_time") / F.lit(1_000_000)
-    counted = (
+    counted = stage(
         filter_event_type(events, "cart", "purchase")
+        .dropna(subset=[*keys, "event_time"])
         .groupBy(*keys, "event_type", "event_time")
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(seconds / limit_seconds))
+        .withColumn("bucket", F.floor(seconds / limit_seconds)),
+        "instants",
     )
     carts = counted.filter("event_type = 'cart'").select(
         *keys,
@@ -196,9 +209,12 @@ def cart_purchase_latency(events: DataFrame, limit_seconds: int = 3600) -> DataF
     purchases = counted.filter("event_type = 'purchase'").select(
         *keys, "bucket", F.col("event_time").alias("purchase_time"), F.col("n").alias("purchase_n")
     )
+    grid = _heavy_buckets(carts, purchases, [*keys, "bucket"], cell)
+    carts = _dealt(carts, grid, [*keys, "bucket"], "cart_time", "_row", "_column")
+    purchases = _dealt(purchases, grid, [*keys, "bucket"], "purchase_time", "_column", "_row")
     delay = (F.unix_micros("purchase_time") - F.unix_micros("cart_time")) / F.lit(1_000_000)
     return (
-        carts.join(purchases, [*keys, "bucket"])
+        carts.join(purchases, [*keys, "bucket", "_row", "_column"])
         .withColumn("latency_seconds", delay)
         .filter(F.col("latency_seconds").between(0, limit_seconds))
         .select(
@@ -210,3 +226,38 @@ def cart_purchase_latency(events: DataFrame, limit_seconds: int = 3600) -> DataF
             (F.col("cart_n") * F.col("purchase_n")).alias("pairs"),
         )
     )
+
+
+def _heavy_buckets(carts: DataFrame, purchases: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """Buckets with more than ``cell`` carts or purchases, and some of either: their weight and grid, stored."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    sizes = (
+        carts.select(*keys, one.alias("c"), none.alias("p"))
+        .unionByName(purchases.select(*keys, none.alias("c"), one.alias("p")))
+        .groupBy(*keys)
+        .agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+        .filter((F.greatest("c", "p") > cell) & (F.least("c", "p") > 0))
+    )
+    return stage(
+        sizes.select(
+            *keys,
+            (F.col("c") + F.col("p")).alias("_weight"),
+            F.ceil(F.col("c") / cell).cast("int").alias("_row_parts"),
+            F.ceil(F.col("p") / cell).cast("int").alias("_column_parts"),
+        ),
+        "grid",
+    )
+
+
+def _dealt(
+    side: DataFrame, grid: DataFrame, keys: list[str], instant: str, own: str, other: str
+) -> DataFrame:
+    """One side of the join: dealt by its instants over its own axis, copied along the other one."""
+    joined = spread_left_join(side, grid, keys, "_weight")
+    parts, copies = (F.coalesce(f"{axis}_parts", F.lit(1)) for axis in (own, other))
+    return joined.withColumns(
+        {
+            own: F.pmod(F.xxhash64(instant), parts).cast("int"),
+            other: F.explode(F.sequence(F.lit(0), copies - 1)),
+        }
+    ).drop("_weight", "_row_parts", "_column_parts")

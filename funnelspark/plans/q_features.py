@@ -249,17 +249,59 @@ def _(spark, sf):
     return ops.agg_brand_clipped(ops.export_events(tables.raw(spark, sf)))
 
 
+AS_OF_SQL = """, at_user AS (
+  SELECT s.user_id, s.event_time, count(r.event_time) AS user_total_events,
+    count(*) FILTER (r.event_type = 'view') AS user_total_views,
+    count(*) FILTER (r.event_type = 'cart') AS user_total_carts,
+    count(*) FILTER (r.event_type = 'purchase') AS user_total_purchases,
+    coalesce(avg(r.price) FILTER (r.event_type = 'purchase'), 0e0) AS user_avg_purchase_price,
+    count(DISTINCT r.product_id) AS user_unique_products,
+    count(DISTINCT CASE WHEN r.event_time IS NOT NULL THEN lower(coalesce(string_split(r.category_code, '.')[1], 'unknown')) END) AS user_unique_categories
+  FROM (SELECT DISTINCT user_id, event_time FROM samples) s
+    LEFT JOIN raw r ON r.user_id = s.user_id AND r.event_time < s.event_time GROUP BY ALL
+), at_product AS (
+  SELECT s.product_id, s.event_time, count(r.event_time) AS product_total_events,
+    count(*) FILTER (r.event_type = 'view') AS product_total_views,
+    count(*) FILTER (r.event_type = 'cart') AS product_total_carts,
+    count(*) FILTER (r.event_type = 'purchase') AS product_total_purchases,
+    count(DISTINCT r.user_id) FILTER (r.event_type = 'purchase') AS product_unique_buyers
+  FROM (SELECT DISTINCT product_id, event_time FROM samples) s
+    LEFT JOIN raw r ON r.product_id = s.product_id AND r.event_time < s.event_time GROUP BY ALL
+), at_brand AS (
+  SELECT s.brand, s.event_time, count(*) FILTER (r.event_type = 'cart') AS carts,
+    count(*) FILTER (r.event_type = 'purchase') AS purchases
+  FROM (SELECT DISTINCT brand, event_time FROM samples) s
+    LEFT JOIN raw r ON coalesce(lower(r.brand), 'unknown') = s.brand AND r.event_time < s.event_time GROUP BY ALL
+), at_category AS (
+  SELECT s.category_code_level1, s.event_time, avg(r.price) AS price
+  FROM (SELECT DISTINCT category_code_level1, event_time FROM samples) s
+    LEFT JOIN raw r ON string_split(coalesce(lower(r.category_code), 'unknown'), '.')[1] = s.category_code_level1
+      AND r.event_time < s.event_time GROUP BY ALL
+), as_of AS (
+  SELECT s.*, u.* EXCLUDE (user_id, event_time), p.* EXCLUDE (product_id, event_time),
+    CASE WHEN user_total_views > 0 THEN user_total_carts / user_total_views::DOUBLE ELSE 0e0 END AS user_view_to_cart_rate,
+    CASE WHEN user_total_carts > 0 THEN user_total_purchases / user_total_carts::DOUBLE ELSE 0e0 END AS user_cart_to_purchase_rate,
+    CASE WHEN product_total_views > 0 THEN product_total_carts / product_total_views::DOUBLE ELSE 0e0 END AS product_view_to_cart_rate,
+    CASE WHEN product_total_carts > 0 THEN product_total_purchases / product_total_carts::DOUBLE ELSE 0e0 END AS product_cart_to_purchase_rate,
+    CASE WHEN b.carts > 0 THEN b.purchases / b.carts::DOUBLE ELSE 0e0 END AS brand_purchase_rate,
+    CASE WHEN user_avg_purchase_price > 0 THEN s.price / user_avg_purchase_price ELSE 1e0 END AS price_vs_user_avg,
+    CASE WHEN c.price > 0 THEN s.price / c.price ELSE 1e0 END AS price_vs_category_avg,
+    CAST(hour(s.event_time) AS BIGINT) AS event_hour
+  FROM samples s JOIN at_user u ON u.user_id = s.user_id AND u.event_time = s.event_time
+    JOIN at_product p ON p.product_id = s.product_id AND p.event_time = s.event_time
+    JOIN at_brand b ON b.brand = s.brand AND b.event_time = s.event_time
+    JOIN at_category c ON c.category_code_level1 = s.category_code_level1 AND c.event_time = s.event_time
+)
+"""
+
+
 @query(
     "assemble_as_of",
-    f"""SELECT {micros('s.event_time', 'event_time')}, s.user_id, s.product_id,
-    (SELECT count(*) FROM raw r WHERE r.user_id = s.user_id AND r.event_time < s.event_time) AS user_total_events,
-    (SELECT count(*) FROM raw r WHERE r.user_id = s.user_id AND r.event_time < s.event_time AND r.event_type = 'cart') AS user_total_carts,
-    (SELECT count(*) FROM raw r WHERE r.product_id = s.product_id AND r.event_time < s.event_time AND r.event_type = 'purchase') AS product_total_purchases
-    FROM samples s""",
+    AS_OF_SQL + f"SELECT {listed([*SAMPLE_KEYS, *ALL_FEATURES, 'is_purchased'])} FROM as_of",
 )
 def _(spark, sf):
     return ops.assemble_as_of(tables.samples(spark, sf), tables.raw(spark, sf)).select(
-        *SAMPLE_KEYS, "user_total_events", "user_total_carts", "product_total_purchases"
+        *SAMPLE_KEYS, *ALL_FEATURES, "is_purchased"
     )
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from helpers import at, rows
+from pyspark.sql import functions as F
 
 from funnelspark.operators import features, labels, store
 from funnelspark.operators.clean import clean_events
@@ -84,6 +85,68 @@ def test_as_of_totals_look_at_earlier_events_only(events, samples):
     assert got == [(1, 1, 1, 0, 1), (1, 2, 3, 1, 0), (2, 1, 0, 0, 3)]
 
 
+def test_as_of_features_equal_a_plain_walk_over_the_log(events_of):
+    import random
+
+    from funnelspark.schemas import ALL_FEATURES
+
+    rng = random.Random(5)
+    kinds = ["view", "view", "cart", "cart", "purchase"]
+    data = [
+        # Many events share an instant; some have no user, price or brand.
+        (
+            rng.randrange(60) * 2.5, rng.choice(kinds), rng.randrange(4), rng.choice([1, 2, 3, None]), "s",
+            rng.choice([10.0, 2.5, None]), rng.choice(["Acme", "zeta", None]), rng.choice(["home.lamp", "Toys", None]),
+        )
+        for _ in range(250)
+    ]
+    events = events_of(data)
+    carts = events.filter("event_type = 'cart'").select(
+        "event_time", "user_id", "product_id", F.lower(F.coalesce("brand", F.lit("unknown"))).alias("brand"), "price",
+        F.lower(F.coalesce(F.split("category_code", r"[.]")[0], F.lit("unknown"))).alias("category_code_level1"),
+        F.lit("unknown").alias("category_code_level2"), F.lit(0).alias("event_weekday"), F.lit(1).alias("activity_count"),
+    )
+    got = features.assemble_as_of(carts, events)
+    assert set(ALL_FEATURES) <= set(got.columns) and got.count() == carts.count()
+
+    def mean(values):
+        known = [v for v in values if v is not None]
+        return sum(known) / len(known) if known else 0.0
+
+    def plain(minutes, product, user, brand, code, price):
+        past = [e for e in data if e[0] < minutes]
+        of_user = [e for e in past if user is not None and e[3] == user]
+        of_product = [e for e in past if e[2] == product]
+        of_brand = [e for e in past if (e[6] or "unknown").lower() == brand]
+        of_code = [e for e in past if (e[7] or "unknown").lower().split(".")[0] == code]
+        bought = mean([e[5] for e in of_user if e[1] == "purchase"])
+        usual = mean([e[5] for e in of_code])
+        sold = sum(e[1] == "purchase" for e in of_brand), sum(e[1] == "cart" for e in of_brand)
+        return (
+            len(of_user), len({e[2] for e in of_user}), len({(e[7] or "unknown").lower().split(".")[0] for e in of_user}),
+            bought, len(of_product), len({e[3] for e in of_product if e[1] == "purchase" and e[3] is not None}),
+            sold[0] / sold[1] if sold[1] else 0.0,
+            None if price is None and bought else price / bought if bought else 1.0,
+            None if price is None and usual else price / usual if usual else 1.0,
+        )
+
+    for r in got.collect():
+        minutes = (r.event_time - at(0)).total_seconds() / 60
+        want = plain(minutes, r.product_id, r.user_id, r.brand, r.category_code_level1, r.price)
+        seen = (
+            r.user_total_events, r.user_unique_products, r.user_unique_categories, r.user_avg_purchase_price,
+            r.product_total_events, r.product_unique_buyers, r.brand_purchase_rate, r.price_vs_user_avg,
+            r.price_vs_category_avg,
+        )
+        assert seen == pytest.approx(want, nan_ok=True)
+
+
+def test_as_of_features_of_no_samples(events, samples):
+    assert features.assemble_as_of(samples.limit(0), events).count() == 0
+    alone = features.assemble_as_of(samples, events.limit(0)).collect()
+    assert len(alone) == 3 and {(r.user_unique_products, r.price_vs_user_avg) for r in alone} == {(0, 1.0)}
+
+
 def test_product_lookup_takes_the_smallest_of_equal_modes(spark, table):
     users, products = store.build_lookup_tables(table)
     assert rows(products, "product_id", "price", "brand") == [(1, 10.0, "acme"), (2, 30.0, "unknown")]

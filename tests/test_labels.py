@@ -120,6 +120,37 @@ def test_latency_counts_every_pair_within_the_limit(events_of):
     } == expected
 
 
+def test_latency_of_a_heavy_bucket_is_cut_into_cells(spark, events_of):
+    rng = random.Random(3)
+    data = [(rng.randrange(600) / 10, rng.choice(["cart", "purchase"]), 1, 1, "hot") for _ in range(900)]
+    data += [(1, "cart", 2, 1, "s"), (2, "purchase", 2, 1, "s"), (3, "cart", 1, 1, None), (4, "purchase", 1, 1, None)]
+    events = events_of(data)
+    keys = ["user_session", "product_id", "cart_time", "purchase_time", "pairs"]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (old, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            whole = labels.cart_purchase_latency(events, 3600).select(*keys)
+            cut = labels.cart_purchase_latency(events, 3600, cell=50).select(*keys)
+            assert whole.count() == cut.count() > 10_000
+            assert whole.exceptAll(cut).isEmpty()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Rows of a join key are about a cell, whatever the bucket holds.
+    counted = events.filter("user_session = 'hot'").groupBy("user_session", "product_id", "event_type", "event_time").count()
+    sides = [
+        counted.filter(F.col("event_type") == k).select(
+            "user_session", "product_id", F.col("event_time").alias(f"{k}_time"), F.lit(0).cast("bigint").alias("bucket")
+        )
+        for k in ("cart", "purchase")
+    ]
+    axes = ["user_session", "product_id", "bucket"]
+    grid = labels._heavy_buckets(*sides, axes, 50)
+    dealt = labels._dealt(sides[0], grid, axes, "cart_time", "_row", "_column")
+    sizes = dealt.groupBy("_row", "_column").count().collect()
+    assert len(sizes) > 16 and max(r["count"] for r in sizes) < 100
+
+
 def test_missing_columns_are_added_only_where_absent(events_of):
     from funnelspark.operators.clean import fill_missing_columns
 
