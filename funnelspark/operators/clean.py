@@ -143,6 +143,10 @@ def rename_columns(df: DataFrame, names: dict[str, str] = DISPLAY_NAMES) -> Data
     return df.withColumnsRenamed(names)
 
 
+# What events are sorted by unless told otherwise.
+SORT_ORDER = ["user_id", "product_id", "event_time"]
+
+
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Column names without byte-order mark, trimmed and lower-cased."""
     return df.toDF(*[c.replace("\ufeff", "").strip().lower() for c in df.columns])
@@ -153,6 +157,20 @@ def drop_dirty_columns(df: DataFrame) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.strip() and "Unnamed" not in c])
 
 
+def sort_events(
+    events: DataFrame, order: list[str] = SORT_ORDER, partitions: int | None = None
+) -> DataFrame:
+    """Events in a total order over the whole table: by user, product and time, then by all other columns.
+
+    Rows are range-partitioned by the order and sorted inside, so files written from the result follow each
+    other in order. Nulls come first; rows that are equal in every column are interchangeable. A user
+    with many events is cut at products and times.
+    """
+    ties = [c for c in events.columns if c not in order]
+    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartitionByRange(n, *order, *ties).sortWithinPartitions(*order, *ties)
+
+
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Project the names; an error lists the absent ones."""
     absent = [n for n in names if n not in df.columns]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import UNKNOWN
 from ..schemas import CATEGORICAL_FEATURES, ENCODER_FALLBACK, ENCODER_SMOOTHING, TARGET
+from ..session import stage
+from .joins import COMPRESSED, broadcast_limit, keyed_left_join, stored_bytes
 from .ordered import quantiles, running_totals
 
 INFREQUENT = "infrequent"
@@ -44,35 +46,59 @@ def apply_encoding(df: DataFrame, encoders: DataFrame, column: str) -> DataFrame
     return apply_target_encoder(df, encoders, [column])
 
 
+def _looked_up(df: DataFrame, fitted: DataFrame, value: str, texts: dict[str, Column]) -> DataFrame:
+    """``df`` with ``_found_<i>``: what ``fitted`` (column, category, ``value``) has for the i-th text, or null.
+
+    ``fitted`` must be stored and hold one row per column and category. Far below the session's broadcast threshold
+    it becomes one dictionary (category, values of all columns), which is broadcast once and probed once per
+    column in one pass. Else each column is a join that counts its heavy texts, "unknown" among them, and
+    spreads their rows.
+    """
+    columns = list(texts)
+    if COMPRESSED * stored_bytes(fitted) <= broadcast_limit(df.sparkSession):
+        values = F.array(*[F.max(F.when(F.col("column") == c, F.col(value))) for c in columns])
+        dictionary = fitted.groupBy("category").agg(values.alias("values"))
+        out = df
+        for i, c in enumerate(columns):
+            # The same relation each time, so that Spark builds one copy of it.
+            side = F.broadcast(dictionary.toDF(f"_category_{i}", f"_values_{i}"))
+            out = out.join(side, texts[c] == F.col(f"_category_{i}"), "left")
+        return out.select(*df.columns, *[F.col(f"_values_{i}")[i].alias(f"_found_{i}") for i in range(len(columns))])
+    out = df
+    for i, c in enumerate(columns):
+        own = fitted.filter(F.col("column") == c)
+        side = own.select(F.col("category").alias("_key"), F.col(value).alias(f"_found_{i}"))
+        out = keyed_left_join(out, texts[c], side, [f"_found_{i}"], counted=df)
+    return out
+
+
+def _fitted(table: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a fitted table that belong to the columns of a call, stored."""
+    return stage(table.filter(F.col("column").isin(columns)), "fitted")
+
+
 def apply_target_encoder(
     df: DataFrame, encoders: DataFrame, columns: list[str] = CATEGORICAL_FEATURES
 ) -> DataFrame:
     """Columns to their encoded values.
 
     Text is trimmed but keeps its case. Unseen categories get the overall mean (0.26 where the
-    encoder has none); a column without an encoder, or an absent column, becomes 0.
+    encoder has none); a column without an encoder, or an absent column, becomes 0. The encoders are
+    stored first and read as one dictionary where their size allows it.
     """
-    out = df
-    for c in columns:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(0.0))
-            continue
-        own = encoders.filter(F.col("column") == c)
-        facts = own.agg(
-            F.struct(F.max("global_mean").alias("mean"), F.count("*").alias("n"))
-        ).scalar()
-        side = own.select(F.col("category").alias("_category"), F.col("value").alias("_value"))
-        text = F.coalesce(F.trim(F.col(c).cast("string")), F.lit(UNKNOWN))
-        fallback = F.when(facts["n"] == 0, F.lit(0.0)).otherwise(
-            F.coalesce(facts["mean"], F.lit(ENCODER_FALLBACK))
-        )
-        out = (
-            out.withColumn("_key", text)
-            .join(side, F.col("_key") == F.col("_category"), "left")
-            .withColumn(c, F.coalesce("_value", fallback))
-            .drop("_key", "_category", "_value")
-        )
-    return out
+    present = [c for c in columns if c in df.columns]
+    own = _fitted(encoders, present)
+    # One row per column of the call.
+    means = {r["column"]: r["mean"] for r in own.groupBy("column").agg(F.max("global_mean").alias("mean")).collect()}
+    texts = {c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(UNKNOWN)) for c in present}
+    out = _looked_up(df, own, "value", texts)
+    encoded = {}
+    for i, c in enumerate(present):
+        mean = means.get(c, 0.0)
+        fallback = F.lit(float(ENCODER_FALLBACK if mean is None else mean))
+        encoded[c] = F.coalesce(F.col(f"_found_{i}"), fallback)
+    absent = {c: F.lit(0.0) for c in columns if c not in present}
+    return out.withColumns({**encoded, **absent}).drop(*[f"_found_{i}" for i in range(len(present))])
 
 
 def fit_label_index(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -95,24 +121,19 @@ def label_encode(
     """
     if unseen not in ("minus_one", "unknown"):
         raise ValueError(f"unknown rule for unseen values {unseen!r}")
-    out = df
-    for c in columns:
-        own = index.filter(F.col("column") == c)
-        side = own.select(F.col("category").alias("_category"), F.col("index").alias("_index"))
-        text = F.coalesce(F.col(c).cast("string"), F.lit("None"))
-        if unseen == "unknown":
-            text = F.lower(F.trim(text))
-            known = own.agg(F.max(F.when(F.col("category") == UNKNOWN, F.col("index")))).scalar()
-            default = F.coalesce(known, F.lit(0))
-        else:
-            default = F.lit(-1)
-        out = (
-            out.withColumn("_key", text)
-            .join(side, F.col("_key") == F.col("_category"), "left")
-            .withColumn(c, F.coalesce("_index", default))
-            .drop("_key", "_category", "_index")
-        )
-    return out
+    own = _fitted(index, columns)
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns}
+    defaults = dict.fromkeys(columns, -1)
+    if unseen == "unknown":
+        texts = {c: F.lower(F.trim(text)) for c, text in texts.items()}
+        # At most one row per column of the call.
+        known = {r["column"]: r["index"] for r in own.filter(F.col("category") == UNKNOWN).collect()}
+        defaults = {c: known.get(c, 0) for c in columns}
+    out = _looked_up(df, own, "index", texts)
+    found = {
+        c: F.coalesce(F.col(f"_found_{i}"), F.lit(defaults[c]).cast("bigint")) for i, c in enumerate(columns)
+    }
+    return out.withColumns(found).drop(*[f"_found_{i}" for i in range(len(columns))])
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,11 +6,15 @@ columns. ``simulated`` replaces every row's own threshold.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import share
 from ..schemas import DISPLAY_THRESHOLD, HIGH_CONFIDENCE, UNCERTAIN
+from ..session import staging_path
 from .ordered import row_numbers
 
 # Weekday headings, Monday first; names of segments and bands.
@@ -408,11 +412,78 @@ def filter_results(
     return out
 
 
+# Up to this row a page is read by a plain limit; later ones ask for an index.
+LIMIT_ROWS = 10_000
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """Sorted rows stored in slices, with the number of rows before each slice.
+
+    ``before`` has one number per slice and one for the end, so its size is the number of slices.
+    """
+
+    rows: DataFrame
+    order: list[Column | str]
+    before: list[int]
+
+    def page(self, page: int = 1, size: int = 10) -> DataFrame:
+        """One page, in order. Reads the slices it lies in (folders of the stored table) and of
+        these only keeps the rows at its positions."""
+        total = self.before[-1]
+        first = min(max((page - 1) * size, 0), total)
+        last = min(first + size, total)
+        # Slices without rows hold no page.
+        held = [i for i in range(len(self.before) - 1) if self.before[i] < last and self.before[i + 1] > first]
+        inside = F.lit(False)
+        if held:
+            lo, hi = held[0], held[-1]
+            at = F.col("_metadata.row_index")
+            inside = F.col("_slice").between(lo, hi)
+            inside = inside & ((F.col("_slice") > lo) | (at >= first - self.before[lo]))
+            inside = inside & ((F.col("_slice") < hi) | (at < last - self.before[hi]))
+        return self.rows.filter(inside).drop("_slice").orderBy(*self.order).limit(size)
+
+
+def _total_order(df: DataFrame, order: list[Column | str], ties: list[str] | None) -> list[Column | str]:
+    if ties is None:
+        ties = ["row_id"] if "row_id" in df.columns else df.columns
+    return [*order, *ties]
+
+
+def index_results(
+    df: DataFrame, order: list[Column | str], ties: list[str] | None = None, slices: int | None = None
+) -> PageIndex:
+    """Rows sorted once and stored, so that any page costs one or two slices.
+
+    ``ties`` make the order unique: ``row_id``, or all columns where there is none. Rows are
+    range-partitioned, and each range is one sorted file in a folder of its own.
+    """
+    spark, whole = df.sparkSession, _total_order(df, order, ties)
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *whole).withColumn("_slice", F.spark_partition_id())
+    path = staging_path(spark, "pages")
+    placed.sortWithinPartitions("_slice", *whole).write.option("maxRecordsPerFile", 0).partitionBy("_slice").parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("_slice", T.IntegerType())])
+    stored = spark.read.schema(schema).parquet(path)
+    counts = {r["_slice"]: r["count"] for r in stored.groupBy("_slice").count().collect()}
+    before = [0]
+    for i in range(n):
+        before.append(before[-1] + counts.get(i, 0))
+    return PageIndex(stored, whole, before)
+
+
 def page_results(
-    df: DataFrame, order: list[Column | str], page: int = 1, size: int = 10
+    df: DataFrame, order: list[Column | str], page: int = 1, size: int = 10, ties: list[str] | None = None
 ) -> DataFrame:
-    """One page of the sorted rows."""
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    """One page of the sorted rows, pages counted from 1; ``ties`` as for `index_results`.
+
+    A page near the start is a limit, which keeps that many rows per task. A later one goes through an index; to read
+    several such pages, build it once.
+    """
+    if page * size <= LIMIT_ROWS:
+        return df.orderBy(*_total_order(df, order, ties)).offset((page - 1) * size).limit(size)
+    return index_results(df, order, ties).page(page, size)
 
 
 def export_segment(df: DataFrame, segment: str, simulated: float | None = None) -> DataFrame:

@@ -520,7 +520,7 @@ def _(spark, sf):
 @query("sort_events", f"SELECT {EVENT_COLUMNS_SQL} FROM clean")
 def _(spark, sf):
     # Rows are a set; the order only matters inside the files a writer produces.
-    return tables.clean(spark, sf).sortWithinPartitions("user_id", "product_id", "event_time")
+    return clean_ops.sort_events(tables.clean(spark, sf))
 
 
 @query(

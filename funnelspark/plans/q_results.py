@@ -478,6 +478,16 @@ def _(spark, sf):
     return results.page_results(rows, [F.desc_nulls_last("probability"), "row_id"], page=3)
 
 
+@query(
+    "page_results_indexed",
+    f"""SELECT row_id, {rounded('probability', 'probability')} FROM predictions ORDER BY probability DESC NULLS LAST, row_id
+    LIMIT 20 OFFSET 980""",
+)
+def _(spark, sf):
+    rows = tables.predictions(spark, sf).select("row_id", "probability")
+    return results.index_results(rows, [F.desc_nulls_last("probability")]).page(page=50, size=20)
+
+
 # Evaluation ---------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import hash32
+from ..operators.split import sample_n
 from ..schemas import EVENTS
 
 FORMATS = {".csv": "csv", ".csv.gz": "csv", ".parquet": "parquet", ".pq": "parquet"}
@@ -61,9 +61,8 @@ def read_bounded_sample(
 ) -> DataFrame:
     """n rows of the listed columns, chosen by a hash of the keys: repeatable on any layout.
 
-    Only the listed columns and the keys are scanned; the limit keeps n rows per task.
+    Only the listed columns and the keys are scanned. Rows are counted per hash bucket and only the
+    bucket that holds the cut is ranked, so no task gathers the n rows.
     """
-    ranked = df.select(*columns, hash32(*keys, seed=seed).alias("_h"), *[
-        F.col(k).alias(f"_k_{k}") for k in keys
-    ])
-    return ranked.orderBy("_h", *[f"_k_{k}" for k in keys]).limit(n).select(*columns)
+    named = df.select(*columns, *[F.col(k).alias(f"_k_{k}") for k in keys])
+    return sample_n(named, [f"_k_{k}" for k in keys], n, seed).select(*columns)

@@ -190,3 +190,33 @@ def test_counters_of_an_empty_log(spark):
     some = spark.createDataFrame([("a", True), ("a", False), ("b", True)], "model string, success boolean")
     got = {r.model: (r.total, r.failed, r.success_rate) for r in monitor.prediction_stats(some).collect()}
     assert got == {"a": (2, 1, 50.0), "b": (1, 0, 100.0), "all": (3, 1, 66.7)}
+
+
+def test_pages_of_an_index_are_those_of_a_sort(spark):
+    df = spark.range(1000).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 7 > 0, (F.col("id") % 20) / 20).alias("probability")
+    )
+    order = [F.desc_nulls_last("probability")]
+    whole = [r.row_id for r in df.orderBy(*order, "row_id").collect()]
+    index = results.index_results(df, order, slices=6)
+    assert index.before[0] == 0 and index.before[-1] == 1000
+    for page, size in ((1, 10), (17, 10), (100, 10), (2, 333), (4, 333), (1, 1000), (9, 500)):
+        got = [r.row_id for r in index.page(page, size).collect()]
+        assert got == whole[(page - 1) * size : page * size], (page, size)
+    # A page in the middle reads one or two of the six folders.
+    text = index.page(60, 10)._jdf.queryExecution().executedPlan().toString()
+    filters = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "_slice" in filters and ">=" in filters and "<=" in filters
+    assert [r.row_id for r in results.page_results(df.unionByName(df), order, 1, 4).collect()] == [
+        i for i in whole[:2] for _ in range(2)
+    ]
+    assert results.index_results(df.limit(0), order).page(3).count() == 0
+
+
+def test_late_pages_go_through_the_index(spark, monkeypatch):
+    monkeypatch.setattr(results, "LIMIT_ROWS", 50)
+    df = spark.range(300).select((F.col("id") % 4).alias("x"), F.col("id").alias("y"))
+    got = results.page_results(df, [F.desc("x")], 20, 10)
+    assert "_slice" in got._jdf.queryExecution().executedPlan().toString()
+    want = df.orderBy(F.desc("x"), "x", "y").collect()[190:200]
+    assert got.collect() == want

@@ -152,3 +152,45 @@ def test_features_read_the_log_once(spark, hot_log):
     text = table._jdf.queryExecution().optimizedPlan().toString()
     # Four stored sides: no aggregate over the log is left in the plan of the table.
     assert "user_unique_products" in text and "count(distinct" not in text.lower() and "approx" not in text
+
+
+def _encoder_case(spark):
+    from funnelspark.operators import encode
+
+    seen = F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("c"), F.col("id") % 700))
+    rows = stage(
+        spark.range(6000).select("id", seen.alias("a"), (F.col("id") % 11).cast("string").alias("b"), (F.col("id") % 3).alias("y")),
+        "rows",
+    )
+    fitted = encode.fit_target_encoder(rows.filter("id % 5 > 0"), ["a", "b"], "y")
+    index = encode.fit_label_index(rows, ["a", "b"])
+    return encode, rows, fitted, index
+
+
+def test_encoders_are_one_broadcast_dictionary(spark):
+    encode, rows, fitted, index = _encoder_case(spark)
+    for got in (encode.apply_target_encoder(rows, fitted, ["a", "b"]), encode.label_encode(rows, index, ["a", "b"])):
+        assert got.count() == 6000
+        text = plan_of(got, final=True).split("Initial Plan")[0]
+        # Built once, used twice, and the rows themselves are not shuffled.
+        assert text.count("ReusedExchange") >= 1 and "SortMergeJoin" not in text
+        assert text.count("FileScan parquet") == 2
+
+
+def test_large_encoders_spread_the_unknown_half(spark):
+    encode, rows, fitted, index = _encoder_case(spark)
+    want = encode.apply_target_encoder(rows, fitted, ["a", "b"]), encode.label_encode(rows, index, ["a", "b"], "unknown")
+    want = [stage(w, "want") for w in want]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = encode.apply_target_encoder(rows, fitted, ["a", "b"]), encode.label_encode(rows, index, ["a", "b"], "unknown")
+        for g, w in zip(got, want):
+            assert g.columns == w.columns and g.count() == 6000 and g.exceptAll(w).isEmpty()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        one = encode.apply_target_encoder(rows, fitted, ["a"])
+        sizes = one.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(sizes) > 1 and max(r["count"] for r in sizes) < 6000 / 4 * 1.5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

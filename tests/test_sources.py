@@ -59,6 +59,16 @@ def test_bounded_sample_is_repeatable(spark):
     assert rows(a) == rows(b) and a.columns == ["v"] and a.count() == 10
 
 
+def test_sorted_events_follow_each_other(spark, events_of):
+    from funnelspark.operators.clean import sort_events
+
+    events = events_of([(m % 13, "cart", m % 5, m % 3 or None, "s") for m in range(120)])
+    placed = sort_events(events, partitions=4).withColumn("task", F.spark_partition_id()).collect()
+    seen = [(r.user_id or 0, r.product_id, r.event_time) for r in placed]
+    assert len(seen) == 120 and seen == sorted(seen) and len({r.task for r in placed}) == 4
+    assert sort_events(events.limit(0)).count() == 0
+
+
 def test_filters_reach_the_file_scan(spark, tmp_path):
     from funnelspark.operators.clean import filter_event_type
 
