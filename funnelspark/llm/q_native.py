@@ -86,8 +86,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, RULE_SCHEMA)
-    judged = urls.judge_urls(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
-    return judged.drop("row")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
 
 
 @query(

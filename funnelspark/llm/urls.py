@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 # A rule table up to this size is sent to all tasks; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -128,18 +130,23 @@ def judge_urls(
     an empty rule table gives ``default`` throughout. A kept column named like a result column is
     replaced by the result.
 
-    Expansions stay in the task that read the URL: only one small row per page is shuffled.
+    Rows are numbered and written once. Expansions stay in the task that read them: only one small row per page
+    is shuffled.
     """
     added = ["host", "path", "rule", "verdict"]
     keep = [c for c in (pages.columns if keep is None else keep) if c not in added]
     rules = prepare_rules(rules)
     shapes = _shapes(rules)
     host, path = host_and_path(F.col(f"`{url}`"))
-    rows = pages.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept"),
-        host.alias("_host"),
-        path.alias("_path"),
-        F.monotonically_increasing_id().alias("_row"),
+    # Row numbers depend on how rows were placed: written down, so that a lost executor cannot change them.
+    rows = stage(
+        pages.select(
+            (F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(0)).alias("_kept"),
+            host.alias("_host"),
+            path.alias("_path"),
+            F.monotonically_increasing_id().alias("_row"),
+        ),
+        "url-rows",
     )
     pairs = rows.withColumn(
         "_digest", F.explode_outer(_expand(F.col("_host"), F.col("_path"), shapes))
