@@ -2,8 +2,8 @@
 
 Every vector is projected on random lines. Per line the projections are kept sorted, and a query opens a
 window around its own projection. Windows grow from round to round (virtual rehashing: no table
-is rebuilt), and each vector's collisions, the windows it is in, are counted. Vectors above the
-collision threshold are verified by their true distance. A query ends when its windows reach the distance
+is rebuilt); their ends are found by binary search, and only entries that a round adds are touched. Each vector's
+collisions, the windows it is in, are counted. Vectors above the collision threshold are verified by their true distance. A query ends when its windows reach the distance
 of its k-th neighbour, so that nearer vectors would nearly surely have passed.
 """
 
@@ -17,8 +17,8 @@ LINES, THRESHOLD = 40, 20
 # probability 0.71, and in fewer than half of 40 windows once in 400 times.
 REACH = 1.05
 GROWTH = 1.3
-# Rows of one index, and queries that search it together.
-INDEX_ROWS, QUERY_ROWS = 4096, 128
+# Rows of one index, queries sent to it together, and those of them searched at a time.
+INDEX_ROWS, QUERY_ROWS, AT_ONCE = 8192, 8192, 64
 
 FOUND = "query_id bigint, query_key bigint, vec_id bigint, score double"
 
@@ -43,56 +43,62 @@ class LineIndex:
         n = len(vectors)
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], lines))
         projected = (vectors @ self.directions).T
-        order = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, order, axis=1)
-        # Place of each vector on each line: it is in a window if its place is.
-        self.places = np.empty((lines, n), dtype=np.uint16 if n < 1 << 16 else np.uint32)
-        np.put_along_axis(self.places, order, np.arange(n, dtype=self.places.dtype)[None, :], axis=1)
-
-    def collisions(self, at, half: float):
-        """In how many windows of half width ``half`` around a query each vector is."""
+        self.order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+
+    def _windows(self, at, half: float):
+        """Per line and query, the first place inside the window of half width ``half`` and the first behind it."""
         import numpy as np
 
-        count = np.zeros((at.shape[1], len(self.ids)), dtype=np.uint16)
-        kind = self.places.dtype
-        for line, places, q in zip(self.sorted, self.places, at):
-            begin = np.searchsorted(line, q - half, "left").astype(kind)
-            end = np.searchsorted(line, q + half, "right").astype(kind)
-            # Places before the window wrap around to large numbers.
-            count += (places[None, :] - begin[:, None]) < (end - begin)[:, None]
-        return count
+        begin = [np.searchsorted(line, q - half, "left") for line, q in zip(self.sorted, at)]
+        end = [np.searchsorted(line, q + half, "right") for line, q in zip(self.sorted, at)]
+        return np.array(begin).T, np.array(end).T
 
     def search(self, queries, own, k: int, threshold: int = THRESHOLD):
         """(query, row, distance) of the k nearest verified rows per query; ids equal to ``own`` are left out."""
+        out = []
+        for start in range(0, len(queries), AT_ONCE):
+            some = slice(start, start + AT_ONCE)
+            out += [(start + q, r, d) for q, r, d in self._search(queries[some], own[some], k, threshold)]
+        return out
+
+    def _search(self, queries, own, k: int, threshold: int):
         import numpy as np
 
         n, count = len(self.ids), len(queries)
         at = (queries @ self.directions).T
         fresh = self.ids[None, :] != own[:, None]
         wanted = np.minimum(k, fresh.sum(axis=1))
-        distance = np.full((count, n), np.inf)
+        collisions = np.zeros((count, n), dtype=np.int32)
+        found = [(np.empty(0, dtype=np.int64), np.empty(0))] * count
         active = np.flatnonzero(wanted > 0)
+        # Windows begin empty, at the place of the query.
+        begin = np.array([np.searchsorted(line, q, "left") for line, q in zip(self.sorted, at)]).T
+        end = begin.copy()
         spread = self.sorted[:, -1] - self.sorted[:, 0]
         half = max(float(spread.max()) / 16, 1e-12)
         while len(active):
-            passed = (self.collisions(at[:, active], half) >= threshold) & fresh[active]
-            for q, hit in zip(active.tolist(), passed):
-                rows = np.flatnonzero(hit)
+            left, right = self._windows(at[:, active], half)
+            last = np.full(len(active), np.inf)
+            for i, q in enumerate(active.tolist()):
+                before = [o[b:e] for o, b, e in zip(self.order, left[i].tolist(), begin[q].tolist())]
+                behind = [o[b:e] for o, b, e in zip(self.order, end[q].tolist(), right[i].tolist())]
+                begin[q], end[q] = left[i], right[i]
+                collisions[q] += np.bincount(np.concatenate(before + behind), minlength=n).astype(np.int32)
+                rows = np.flatnonzero((collisions[q] >= threshold) & fresh[q])
                 if len(rows):
                     gap = self.vectors[rows] - queries[q]
-                    distance[q, rows] = np.sqrt((gap * gap).sum(axis=1))
+                    distance = np.sqrt((gap * gap).sum(axis=1))
                     fresh[q, rows] = False
-            last = np.empty(len(active))
-            for want in np.unique(wanted[active]):
-                some = wanted[active] == want
-                last[some] = np.partition(distance[active[some]], want - 1, axis=1)[:, want - 1]
+                    found[q] = np.append(found[q][0], rows), np.append(found[q][1], distance)
+                if len(found[q][1]) >= wanted[q]:
+                    last[i] = np.partition(found[q][1], wanted[q] - 1)[wanted[q] - 1]
             active = active[~(half >= REACH * last)]
             half *= GROWTH
         out = []
-        for q in range(count):
-            found = np.flatnonzero(np.isfinite(distance[q]))
-            best = found[np.lexsort((self.ids[found], distance[q][found]))][:k]
-            out += [(q, int(r), float(distance[q][r])) for r in best]
+        for q, (rows, distance) in enumerate(found):
+            best = np.lexsort((self.ids[rows], distance))[:k]
+            out += [(q, int(rows[i]), float(distance[i])) for i in best]
         return out
 
 
@@ -108,7 +114,8 @@ def nearest(
     each; of repeated query rows one asks. Other columns are not read.
 
     Rows are dealt into indexes of about INDEX_ROWS by a hash of their id, queries into groups of about
-    QUERY_ROWS; a task searches one index for one group.
+    QUERY_ROWS; a task builds one index and searches it for one group, AT_ONCE queries at a time. Rows are
+    copied once per group and queries once per index.
     """
     def clean(df: DataFrame) -> DataFrame:
         rows = df.select(
