@@ -191,3 +191,18 @@ def test_bytes_of_a_micro_batch_follow_its_users(spark, events_of):
     job.step(events_of(many), 6)
     # As large as all before it: one run again.
     assert job.log.runs(6) == [(0, 6)]
+
+
+def test_the_store_is_called_per_bucket_and_not_per_key(spark, events_of, monkeypatch):
+    monkeypatch.setattr(streams, "BUCKETS", 3)
+    data = [[(k % 30, "cart", k, 1, "s") for k in range(60)], [(300 + k % 30, "purchase", k, 1, "s") for k in range(60)]]
+    job = streams.StreamCartLabel(spark, staging_path(spark, "buckets"), delay=dt.timedelta(minutes=1))
+    query = job.start(files(spark, events_of, data))
+    query.awaitTermination()
+    first = query.recentProgress[0]["stateOperators"][0]["customMetrics"]
+    assert int(first["numRegisteredTimers"]) <= 3
+    # What waits longest is the last minute; the journeys of a bucket are credited apart.
+    got = job.results().unionByName(job.closing())
+    assert rows(got, "product_id", "cart_time") == sorted(
+        ((k, at(k % 30)) for k in range(60)), key=lambda r: str(r[0])
+    )
