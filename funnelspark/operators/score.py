@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..schemas import (
@@ -162,25 +163,24 @@ def score_heuristic(df: DataFrame) -> DataFrame:
     )
 
 
-def contribution(feature: str, value: Column) -> Column:
-    """One contribution entry."""
-    return F.struct(
-        F.lit(feature).alias("feature"),
-        value.cast("double").alias("contribution"),
-        F.lit(display_name(feature)).alias("display_name"),
-    )
+def _entries(values: Column) -> Column:
+    """Contribution entries of an array with one value per feature."""
+    names = F.array(*[F.lit(f) for f in ALL_FEATURES])
+    titles = F.array(*[F.lit(display_name(f)) for f in ALL_FEATURES])
+    return F.arrays_zip(names, values, titles).cast(T.ArrayType(CONTRIBUTION))
 
 
 def heuristic_contributions(df: DataFrame) -> DataFrame:
-    """Add feature_contributions: the six terms to 6 places, 0 for the other features."""
+    """Add feature_contributions: the six terms to 6 places, 0 for the other features.
+
+    Entries are made from an array of values rather than written out one by one: 26 written-out structs become
+    a generated method that is too large to be compiled, and exploding them runs many times slower.
+    """
     terms = heuristic_terms()
-    entries = [
-        contribution(f, C.round_exact(f"_t_{f}", 6) if f in terms else F.lit(0.0))
-        for f in ALL_FEATURES
-    ]
+    values = F.array(*[C.round_exact(f"_t_{f}", 6) if f in terms else F.lit(0.0) for f in ALL_FEATURES])
     return (
         df.withColumns({f"_t_{f}": term for f, term in terms.items()})
-        .withColumn("feature_contributions", F.array(*entries))
+        .withColumn("feature_contributions", _entries(values))
         .drop(*[f"_t_{f}" for f in terms])
     )
 
@@ -223,7 +223,7 @@ def top_of(contributions: Column, n: int = 3) -> Column:
         contributions,
         lambda x, i: F.struct((-F.abs(x["contribution"])).alias("k"), i.alias("i"), x.alias("x")),
     )
-    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda e: e["x"])
+    return F.transform(F.slice(F.sort_array(keyed), 1, n), lambda e: e["x"])
 
 
 def top_signals(df: DataFrame) -> DataFrame:
@@ -343,8 +343,10 @@ def score_lookup_pairs(
 
 def contribution_rows(df: DataFrame, key: str = "row_id") -> DataFrame:
     """Contributions in long form: (key, position, feature, contribution, display_name)."""
-    entry = F.posexplode("feature_contributions").alias("position", "entry")
-    return df.select(key, entry).select(
+    # The outer form, without its rows of empty lists: the inner one would first filter by the list's size, and
+    # for that build every list twice.
+    entry = F.posexplode_outer("feature_contributions").alias("position", "entry")
+    return df.select(key, entry).filter(F.col("position").isNotNull()).select(
         key, F.col("position").cast("bigint"), *[
             F.col("entry")[f].alias(f) for f in CONTRIBUTION.fieldNames()
         ]
