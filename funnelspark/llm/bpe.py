@@ -20,21 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import PieceEncoder, id_type, library_splitter, read_vocabulary
+from .tokens import PieceEncoder, byte_of_symbol, id_type, library_splitter, read_vocabulary
 
 NEVER = 1 << 40
 
 
-def byte_of_symbol() -> dict[str, int]:
-    """Byte for each printable stand-in of a byte-level vocabulary.
-
-    Visible Latin-1 characters stand for themselves, the other bytes for U+0100 and on, in order.
-    """
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-
-
 class MergeAutomaton:
     """Deterministic automaton over token ids, compiled from merges in order."""
 

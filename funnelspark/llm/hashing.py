@@ -52,21 +52,36 @@ def runs(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> n
     return mix((sums[end] - sums[begin]) * inverse[begin])
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
-    """Hash of each word ``data[start:stop]``, none of them empty."""
+def word_pieces(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces of all words, place of each in its word, pieces per word) for words ``data[start:stop]``, none empty.
+
+    A piece is eight bytes as a number; the last one of a word is filled up with zero bytes.
+    """
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     # The eight bytes from each position on, read where they are needed.
     eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
     size = stop - start
     count = (size + 7) >> 3
-    first = np.cumsum(count) - count
-    place = np.arange(int(first[-1] + count[-1])) - np.repeat(first, count)
-    rest = np.minimum(np.repeat(size, count) - 8 * place, 8).astype(np.uint64)
-    piece = eight[np.repeat(start, count) + 8 * place] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * rest))
+    last = np.cumsum(count) - 1
+    place = np.arange(int(last[-1]) + 1) - np.repeat(last + 1 - count, count)
+    piece = eight[np.repeat(start, count) + 8 * place]
+    # Bytes beyond the word are in last pieces only.
+    piece[last] &= ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * (size - 8 * (count - 1)).astype(np.uint64))
+    return piece, place, count
+
+
+def word_hashes(
+    data: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int,
+    pieces: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> np.ndarray:
+    """Hash of each word ``data[start:stop]``, none of them empty; ``pieces`` as by word_pieces, if known."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    piece, place, count = pieces or word_pieces(data, start, stop)
     piece = mix(piece ^ (np.uint64(base) * (place + 1).astype(np.uint64)))
-    return mix(np.add.reduceat(piece, first) + np.uint64(base) * size.astype(np.uint64))
+    return mix(np.add.reduceat(piece, np.cumsum(count) - count) + np.uint64(base) * (stop - start).astype(np.uint64))
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

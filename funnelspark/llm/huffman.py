@@ -22,6 +22,8 @@ from .tokens import library_encoder, read_vocabulary
 MAX_BITS = 18
 STEP = 512
 BLOCK_IDS = 1 << 18
+# Blocks of about so many ids are decoded together.
+GROUP_IDS = 1 << 20
 
 TOKENS = (
     "part int, block int, doc_ids array<bigint>, n_tokens array<bigint>, before bigint, ids binary"
@@ -86,22 +88,30 @@ def canonical_codes(lengths):
 
 @functools.lru_cache(maxsize=4)
 def decode_table(lengths: bytes):
-    """(bits, id for each value of the next bits, length for it)."""
+    """(bits, for each value of the next bits: 32 * id + length of the code they start with)."""
     import numpy as np
 
     lengths = np.frombuffer(lengths, dtype=np.uint8)
     bits = int(lengths.max()) if len(lengths) else 0
     if not bits:
-        return 0, np.zeros(1, np.uint32), np.zeros(1, np.int64)
+        return 0, np.ones(1, np.int64)
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     spans = 1 << (bits - lengths[order].astype(np.int64))
-    ids = np.zeros(1 << bits, np.uint32)
-    sizes = np.ones(1 << bits, np.int64)
+    entries = np.ones(1 << bits, np.int64)
     filled = int(spans.sum())
-    ids[:filled] = np.repeat(order.astype(np.uint32), spans)
-    sizes[:filled] = np.repeat(lengths[order].astype(np.int64), spans)
-    return bits, ids, sizes
+    entries[:filled] = np.repeat(32 * order + lengths[order], spans)
+    return bits, entries
+
+
+def _every(sizes, step: int):
+    """Positions of every ``step``-th id of each document, for documents laid end to end."""
+    import numpy as np
+
+    runs = -(-sizes // step)
+    first = np.cumsum(sizes) - sizes
+    nth = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+    return np.repeat(first, runs) + step * nth
 
 
 def encode_ids(ids, sizes, codes, lengths, step: int = STEP):
@@ -114,29 +124,26 @@ def encode_ids(ids, sizes, codes, lengths, step: int = STEP):
     sizes = np.asarray(sizes, dtype=np.int64)
     if not len(ids):
         return b"", np.zeros(0, np.int64)
-    bits = lengths[ids].astype(np.int64)
-    upto = np.concatenate([[0], np.cumsum(bits)])
+    bits = lengths[ids]
+    upto = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(bits, out=upto[1:])
     last = np.cumsum(sizes)
     first = last - sizes
     room = (upto[last] - upto[first] + 7) // 8 * 8
     shift = np.cumsum(room) - room - upto[first]
-    starts = upto[:-1] + np.repeat(shift, sizes)
+    starts = upto[:-1]
+    starts += np.repeat(shift, sizes)
     total = int(room.sum())
-    word, left = starts >> 6, 64 - (starts & 63) - bits
-    code = codes[ids]
-    over = left < 0
-    high = np.where(
-        over,
-        code >> np.where(over, -left, 0).astype(np.uint64),
-        code << np.where(over, 0, left).astype(np.uint64),
-    )
+    # Codes from the highest bit of a word on, moved to their place in it.
+    code = (codes << (64 - lengths.astype(np.uint64)))[ids]
+    word, at = starts >> 6, (starts & 63).astype(np.uint8)
     out = np.zeros(total // 64 + 2, dtype=np.uint64)
     turn = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    out[word[turn]] = np.bitwise_or.reduceat(high, turn)
+    out[word[turn]] = np.bitwise_or.reduceat(code >> at, turn)
     # At most one code reaches over the end of a word.
-    out[word[over] + 1] |= code[over] << (64 + left[over]).astype(np.uint64)
-    place = np.arange(len(ids)) - np.repeat(first, sizes)
-    return out.astype(">u8").tobytes()[: total // 8], starts[place % step == 0]
+    over = np.flatnonzero(at + bits > 64)
+    out[word[over] + 1] |= code[over] << (64 - at[over])
+    return out.astype(">u8").tobytes()[: total // 8], starts[_every(sizes, step)]
 
 
 def decode_ids(payload: bytes, offsets, sizes, lengths: bytes, step: int = STEP):
@@ -150,12 +157,9 @@ def decode_ids(payload: bytes, offsets, sizes, lengths: bytes, step: int = STEP)
     total = int(sizes.sum())
     if not total:
         return np.zeros(0, np.uint32)
-    bits, symbols, spans = decode_table(lengths)
-    runs = -(-sizes // step)
-    counts = np.full(int(runs.sum()), step, dtype=np.int64)
-    some = sizes > 0
-    counts[np.cumsum(runs)[some] - 1] = (sizes - (runs - 1) * step)[some]
-    where = np.cumsum(counts) - counts
+    bits, entries = decode_table(lengths)
+    where = _every(sizes, step)
+    counts = np.diff(where, append=total)
     order = np.argsort(-counts, kind="stable")
     pos = np.asarray(offsets, dtype=np.int64)[order]
     into, left = where[order], counts[order]
@@ -163,15 +167,17 @@ def decode_ids(payload: bytes, offsets, sizes, lengths: bytes, step: int = STEP)
     # Four bytes from each byte on, so one read gets the next bits.
     ahead = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
     out = np.empty(total, dtype=np.uint32)
-    mask, active = np.uint32((1 << bits) - 1), len(pos)
-    for i in range(int(left[0])):
-        while left[active - 1] <= i:
-            active -= 1
-        p = pos[:active]
-        shift = (32 - bits - (p & 7)).astype(np.uint32)
-        code = (ahead[p >> 3] >> shift) & mask
-        out[into[:active] + i] = symbols[code]
-        p += spans[code]
+    mask, spare = (1 << bits) - 1, 32 - bits
+    # So many checkpoints have an i-th id.
+    active = np.searchsorted(-left, -np.arange(int(left[0])), side="left").tolist()
+    for i, n in enumerate(active):
+        p = pos[:n]
+        code = ahead.take(p >> 3).astype(np.int64)
+        code >>= spare - (p & 7)
+        code &= mask
+        entry = entries.take(code)
+        out[into[:n] + i] = entry >> 5
+        p += entry & 31
     return out
 
 
@@ -297,8 +303,8 @@ def write_ids(
     lengths = code_lengths(id_counts(tokens, dtype, n_ids)).tobytes()
     # The code is dense; compressing it again would only take time.
     # Files, and blocks in them, ascend as their documents do, in whatever order the ids were read back.
-    ordered = tokens.repartitionByRange(parts, "part", "block").sortWithinPartitions("part", "block")
-    coded = _coded(ordered, dtype, lengths)
+    # A part goes to the task of its number.
+    coded = _coded(tokens, dtype, lengths).repartitionById(parts, "part").sortWithinPartitions("part", "block")
     coded.write.option("compression", "none").parquet(f"{out}/blocks")
     used = np.frombuffer(lengths, np.uint8)
     known = [(int(i), int(used[i])) for i in np.flatnonzero(used)]
@@ -335,7 +341,7 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
 
         for ids_of, start, doc_ids, sizes in _decoded(batches, lengths):
             arrays = [
-                pa.array(doc_ids, pa.int64()),
+                doc_ids,
                 pa.array(start),
                 pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(ids_of, pa.int64())
@@ -346,17 +352,31 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
     return _located(spark, out).mapInArrow(run, "doc_id bigint, start bigint, ids array<bigint>")
 
 
-def _decoded(batches, lengths: bytes):
-    """(ids, start of each document, doc_ids, sizes) of each block."""
+def _decoded(batches, lengths: bytes, group: int = GROUP_IDS):
+    """(ids, start of each document, doc_ids, sizes) of about ``group`` ids of consecutive blocks."""
     import numpy as np
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in ("doc_ids", "n_tokens", "start", "offsets")}
-            payload = batch.column("payload")[i].as_py()
-            sizes = np.array(row["n_tokens"], dtype=np.int64)
-            ids = decode_ids(payload, row["offsets"], sizes, lengths)
-            yield ids, row["start"] + np.cumsum(sizes) - sizes, row["doc_ids"], sizes
+        if not batch.num_rows:
+            continue
+        doc_ids, sizes, offsets = (batch.column(c) for c in ("doc_ids", "n_tokens", "offsets"))
+        docs, marks = (np.cumsum(x.value_lengths().to_numpy(), dtype=np.int64) for x in (sizes, offsets))
+        doc_ids, sizes, offsets = doc_ids.flatten(), sizes.flatten().to_numpy(), offsets.flatten().to_numpy()
+        payloads = [x.as_buffer() for x in batch.column("payload")]
+        upto = np.cumsum(sizes)
+        # Ids at the end of each block, and what the ids before its documents are short of its start.
+        ends = upto[docs - 1]
+        ahead = np.repeat(batch.column("start").to_numpy() - np.r_[0, ends[:-1]], np.diff(docs, prepend=0))
+        bits = np.cumsum([0] + [8 * x.size for x in payloads])
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + group, side="right")))
+            d = slice(docs[i - 1] if i else 0, docs[j - 1])
+            m = slice(marks[i - 1] if i else 0, marks[j - 1])
+            shift = np.repeat(bits[i:j] - bits[i], np.diff(marks, prepend=0)[i:j])
+            ids = decode_ids(b"".join(payloads[i:j]), offsets[m] + shift, sizes[d], lengths)
+            yield ids, (ahead + upto - sizes)[d], doc_ids[d], sizes[d]
+            i = j
 
 
 def read_digests(spark: SparkSession, out: str) -> DataFrame:
@@ -371,7 +391,7 @@ def read_digests(spark: SparkSession, out: str) -> DataFrame:
             data = memoryview(ids.astype("<u4").tobytes())
             ends = (4 * np.cumsum(sizes)).tolist()
             crcs = [zlib.crc32(data[b - 4 * n : b]) for b, n in zip(ends, sizes.tolist())]
-            arrays = [pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(sizes), pa.array(crcs, pa.int64())]
+            arrays = [doc_ids, pa.array(start), pa.array(sizes), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"

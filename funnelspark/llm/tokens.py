@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .hashing import BASES, word_hashes
+from .hashing import BASES, word_hashes, word_pieces
 
 # Words kept per worker; a full table is emptied and filled anew, which costs time only.
 TABLE_WORDS = 3_000_000
@@ -117,13 +117,16 @@ class _Lists:
 
 
 class WordTable:
-    """Hash table from the 64-bit hash of a word to its characters and ids, in arrays."""
+    """Hash table from the 64-bit hash of a word to its eight-byte pieces and ids, in arrays.
+
+    No word that is entered holds a zero byte, so words with equal pieces are equal.
+    """
 
     def __init__(self, dtype: np.dtype, bits: int = 16):
         self.dtype, self.bits, self.count = dtype, bits, 0
         self._keys = np.zeros(1 << bits, np.uint64)
         self._entry = np.zeros(1 << bits, np.int32)
-        self._ids, self._characters = _Lists(dtype), _Lists(np.dtype("<u2"))
+        self._ids, self._pieces = _Lists(dtype), _Lists(np.dtype(np.uint64))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key, -1 if it has none. Keys are never 0."""
@@ -150,8 +153,8 @@ class WordTable:
             self._entry[slot[got]] = entries[got]
             keys, entries, slot = keys[~got], entries[~got], (slot[~got] + 1) & mask
 
-    def add(self, keys: np.ndarray, ids: list[bytes], characters: np.ndarray, sizes: np.ndarray) -> None:
-        """Enter different keys that are not there yet, with the words' characters end to end."""
+    def add(self, keys: np.ndarray, ids: list[bytes], pieces: np.ndarray, counts: np.ndarray) -> None:
+        """Enter different keys that are not there yet, with the words' pieces end to end."""
         n = self.count + len(keys)
         while 2 * n > 1 << self.bits:
             held = np.flatnonzero(self._keys)
@@ -163,24 +166,26 @@ class WordTable:
         self._ids.add(
             np.frombuffer(b"".join(ids), self.dtype), np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
         )
-        self._characters.add(characters, sizes)
+        self._pieces.add(pieces, counts)
         self._place(keys, np.arange(self.count, n, dtype=np.int32))
         self.count = n
 
-    def wrong(self, entries: np.ndarray, characters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Which words (characters end to end, none empty) are not those of their entries."""
-        own, own_sizes = self._characters.of(entries)
-        differ = own_sizes != sizes
+    def wrong(self, entries: np.ndarray, pieces: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which words (pieces end to end, ``counts`` of each, none 0) are not those of their entries."""
+        own, own_counts = self._pieces.of(entries)
+        differ = own_counts != counts
         if differ.any():
-            # Compare those of equal length only.
+            # Compare those of as many pieces only.
             same = ~differ
-            kept = np.repeat(same, sizes)
-            own, _ = self._characters.of(entries[same])
-            ends = np.cumsum(sizes[same])
-            if len(ends):
-                differ[same] = np.add.reduceat(own != characters[kept], ends - sizes[same]) > 0
+            own, _ = self._pieces.of(entries[same])
+            pieces = pieces[np.repeat(same, counts)]
+            where = np.repeat(np.flatnonzero(same), counts[same])
+        elif np.array_equal(own, pieces):
             return differ
-        return np.add.reduceat(own != characters, np.cumsum(sizes) - sizes) > 0
+        else:
+            where = np.repeat(np.arange(len(counts)), counts)
+        differ[where[own != pieces]] = True
+        return differ
 
     def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all entries in a row, number of ids of each)."""
@@ -216,15 +221,19 @@ class PieceEncoder:
         if not whole:
             return [b""] * len(texts)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-        kinds = _classes()[np.minimum(points, TOP)]
+        kinds = _classes().take(points, mode="clip")
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
         first = (ends - sizes)[sizes > 0]
         start = np.flatnonzero(word_starts(points, kinds, first))
         stop = np.append(start[1:], len(points))
-        # Characters beyond these 16 bits are in texts that are not cut here.
-        short = np.minimum(points, 0xFFFF).astype("<u2")
-        keys = word_hashes(short.view(np.uint8), 2 * start, 2 * stop, BASES[0]) | np.uint64(1)
+        raw = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+        # Words follow each other without a gap, in characters and in bytes.
+        edges = np.append(start, len(points))
+        if len(raw) > len(points):
+            edges = np.flatnonzero(np.append((raw & 0xC0) != 0x80, True))[edges]
+        pieces = word_pieces(raw, edges[:-1], edges[1:])
+        keys = word_hashes(raw, edges[:-1], edges[1:], BASES[0], pieces) | np.uint64(1)
         odd = np.flatnonzero(kinds == BEYOND)
         bad = np.zeros(len(texts), dtype=bool)
         bad[np.searchsorted(ends, odd, side="right")] = True
@@ -238,8 +247,7 @@ class PieceEncoder:
             new, at = np.unique(keys[missing], return_index=True)
             at = missing[at]
             said = [whole[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]
-            spelled, sizes = _gathered(short, stop, at)
-            self._table.add(new, self._words(said), spelled, sizes)
+            self._table.add(new, self._words(said), *_gathered(pieces[0], np.cumsum(pieces[2]), at))
             entry[missing] = self._table.find(keys[missing])
         known = entry >= 0
         entry[~known] = 0
@@ -247,7 +255,7 @@ class PieceEncoder:
             ids, counts = np.zeros(0, self.dtype), entry * 0
         else:
             # A text with a word that only shares another one's hash is encoded without the table.
-            wrong = np.flatnonzero(known & self._table.wrong(entry, short, stop - start))
+            wrong = np.flatnonzero(known & self._table.wrong(entry, pieces[0], pieces[2]))
             bad[np.searchsorted(cut, wrong, side="right")] = True
             ids, counts = self._table.gather(entry)
         upto = np.concatenate([[0], np.cumsum(counts)])[cut].tolist()
@@ -312,6 +320,16 @@ def read_vocabulary(path: str) -> dict:
     return said
 
 
+def byte_of_symbol() -> dict[str, int]:
+    """Byte for each printable stand-in of a byte-level vocabulary.
+
+    Visible Latin-1 characters stand for themselves, the other bytes for U+0100 and on, in order.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
 def id_type(said: dict) -> str:
     """Smallest unsigned type that holds every id."""
     ids = [*said["model"]["vocab"].values(), *[t["id"] for t in said["added_tokens"]]]
@@ -347,10 +365,14 @@ def library_encoder(path: str) -> PieceEncoder:
     said, tokenizer = read_vocabulary(path), _tokenizer(path)
     dtype = id_type(said)
     dtype_code = "H" if dtype == "<u2" else "I"
+    model = tokenizer.model
+    symbols = {b: s for s, b in byte_of_symbol().items()}
 
     def encode_words(words: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array(dtype_code, e.ids).tobytes() for e in found]
+        # Pre-split words need the model alone. It reads a stand-in per byte; no UTF-8 has the byte FF.
+        spelled = b"\xff".join([w.encode() for w in words]).decode("latin-1").translate(symbols)
+        tokenize = model.tokenize
+        return [array(dtype_code, [t.id for t in tokenize(w)]).tobytes() for w in spelled.split(symbols[0xFF])]
 
     special = {t["content"]: t["id"] for t in said["added_tokens"]}
     return PieceEncoder(encode_words, library_splitter(path), special, dtype)

@@ -225,3 +225,71 @@ def test_token_files_ascend(spark, tmp_path):
         for row in spark.read.parquet(str(part)).select("doc_ids").toLocalIterator():
             ids += row["doc_ids"]
     assert ids == list(range(3000))
+
+
+def test_new_words_cost_the_model_only(library):
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = vocabulary()
+    r = random.Random(5)
+    words = sorted({" " + "".join(r.choice("etaoinshrdlué") for _ in range(r.randint(3, 12))) for _ in range(30_000)})
+    encode = tokens.library_encoder(path)._words
+    whole = Tokenizer.from_file(path)
+
+    def seconds(f, part):
+        start = time.process_time()
+        f(part)
+        return time.process_time() - start
+
+    # Words are new to both, as they are to a worker; the least of three thirds counts.
+    parts = [words[k::3] for k in range(3)]
+    own = min(seconds(encode, p) for p in parts)
+    library_s = min(seconds(lambda p: whole.encode_batch_fast(p, add_special_tokens=False), p) for p in parts)
+    assert own < 0.8 * library_s, (own, library_s)
+    for word, ids in zip(words[::50], encode(words[::50])):
+        assert np.frombuffer(ids, "<u2").tolist() == library(word)
+
+
+def test_words_of_many_bytes_are_compared_when_hashes_are_equal(library, monkeypatch):
+    path = vocabulary()
+    real = tokens.word_hashes
+    monkeypatch.setattr(tokens, "word_hashes", lambda *a: real(*a) << np.uint64(62))
+    encoder = tokens.library_encoder.__wrapped__(path)
+    texts = ["é", "e", "éé abcdefgh", "abcdefghé", "abcdefgh", "abcdefghi ſßđ", "Ãâ", "ã", "日本 é", "\x00", "a\x00", "a"] * 2
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode_many(texts)):
+            assert np.frombuffer(ids, "<u2").tolist() == library(text), repr(text)
+
+
+def test_blocks_are_decoded_together():
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    blocks, start = [], 0
+    for n in (1, 3, 700, 2, 40):
+        sizes = r.integers(1, 1200, n)
+        blocks.append((start, (r.random(int(sizes.sum())) ** 3 * 300).astype("<u2"), sizes))
+        start += int(sizes.sum())
+    lengths = huffman.code_lengths(np.bincount(np.concatenate([ids for _, ids, _ in blocks]), minlength=300))
+    coded = [huffman.encode_ids(ids, sizes, huffman.canonical_codes(lengths), lengths) for _, ids, sizes in blocks]
+    names = [[None if k % 7 == 0 else k for k in range(len(sizes))] for _, _, sizes in blocks]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_ids": pa.array(names, pa.list_(pa.int64())),
+        "n_tokens": pa.array([x.tolist() for _, _, x in blocks], pa.list_(pa.int64())),
+        "start": pa.array([s for s, _, _ in blocks], pa.int64()),
+        "payload": pa.array([p for p, _ in coded], pa.binary()),
+        "offsets": pa.array([o.tolist() for _, o in coded], pa.list_(pa.int64())),
+    })
+    expected = np.concatenate([ids for _, ids, _ in blocks])
+    for group in (1, 1500, 1 << 20):
+        for cut in (batch, batch.slice(1), batch.slice(0, 2)):
+            done = list(huffman._decoded([batch.slice(0, 0), cut], lengths.tobytes(), group))
+            ids, starts, sizes = (np.concatenate([d[k] for d in done]) for k in (0, 1, 3))
+            first = int(starts[0])
+            assert ids.tolist() == expected[first : first + len(ids)].tolist() and len(ids) == sizes.sum()
+            assert (starts == first + np.cumsum(sizes) - sizes).all()
+            assert [x for d in done for x in d[2].to_pylist()] == sum(cut.column("doc_ids").to_pylist(), [])
+            assert len(ids) == sum(sum(x) for x in cut.column("n_tokens").to_pylist())
+            assert len(done) == 1 if group == 1 << 20 else len(done) <= cut.num_rows
