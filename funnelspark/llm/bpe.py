@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import PieceEncoder, byte_of_symbol, id_type, library_splitter, read_vocabulary
+from .tokens import PieceEncoder, byte_of_symbol, id_type, library_splitter, read_vocabulary, text_runs
 
 NEVER = 1 << 40
 
@@ -158,7 +158,7 @@ def encode_documents(
         import pyarrow as pa
 
         encoder = compiled(path)[1]
-        for batch in batches:
+        for batch in (b for whole in batches for b in text_runs(whole)):
             ids = [
                 np.frombuffer(b, encoder.dtype).astype("i4")
                 for b in encoder.encode_many(batch.column("text").to_pylist())
@@ -213,7 +213,7 @@ def round_trip(
         _, encoder, labels = compiled(path)
         label = labels.__getitem__
         decimal = {i: str(i) for i in labels}.__getitem__
-        for batch in batches:
+        for batch in (b for whole in batches for b in text_runs(whole)):
             sizes, said, back = [], [], []
             for coded in encoder.encode_many(batch.column("text").to_pylist()):
                 ids = np.frombuffer(coded, encoder.dtype).tolist()

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..session import staging_path
 from .ranges import in_order, totals_before
-from .tokens import library_encoder, read_vocabulary
+from .tokens import library_encoder, read_vocabulary, text_runs
 
 MAX_BITS = 18
 STEP = 512
@@ -216,15 +216,16 @@ def token_blocks(
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            coded = encoder.encode_many(batch.column("text").to_pylist())
-            for name, ids in zip(batch.column("doc_id").to_pylist(), coded):
-                names.append(name)
-                found.append(ids + end)
-                held += len(found[-1]) // encoder.dtype.itemsize
-                if held >= BLOCK_IDS:
-                    yield flush()
-                    block, before = block + 1, before + held
-                    names, found, held = [], [], 0
+            for rows in text_runs(batch):
+                coded = encoder.encode_many(rows.column("text").to_pylist())
+                for name, ids in zip(rows.column("doc_id").to_pylist(), coded):
+                    names.append(name)
+                    found.append(ids + end)
+                    held += len(found[-1]) // encoder.dtype.itemsize
+                    if held >= BLOCK_IDS:
+                        yield flush()
+                        block, before = block + 1, before + held
+                        names, found, held = [], [], 0
         if names:
             yield flush()
 

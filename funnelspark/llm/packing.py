@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections import deque
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .ranges import in_order, totals_before
-from .tokens import library_encoder, read_vocabulary
+from .tokens import library_encoder, read_vocabulary, text_runs
 
 SEQUENCE = 1024
 # Tokens of padding that a cut inside a document is worth avoiding: after a sentence, elsewhere.
@@ -27,6 +28,8 @@ SENTENCE_CUT = 8
 WORD_CUT = 64
 # Sentences longer than this may be cut at every such step.
 LONG_SENTENCE = 128
+# Possible cuts judged in one go.
+CUT_BLOCK = 1 << 12
 # Ids packed in one go; a segment ends with a document.
 SEGMENT = 1 << 20
 
@@ -78,37 +81,44 @@ def best_cuts(at, penalties, size: int = SEQUENCE) -> list[int]:
     Cost: for each sequence the penalty of the cut at its end, and its padding to ``size`` unless its length
     is a power of two. ``at`` ascends in steps of at most ``size``. Ties: the earlier start.
     """
-    at, penalties = at.tolist(), penalties.tolist()
-    n = len(at)
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
-    index = {p: i for i, p in enumerate(at)}
-    find = index.get
-    cost, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(at[0], 0)])  # (cost + position, index), ascending
-    for j in range(1, n):
-        here = at[j]
-        low = here - size
-        while at[queue[0][1]] < low:
-            queue.popleft()
-        value, start = queue[0]
-        best = value + size - here
-        for p in powers:
-            i = find(here - p)
-            if i is not None and (cost[i] < best or cost[i] == best and i < start):
-                best, start = cost[i], i
-        best += penalties[j]
-        cost[j], back[j] = best, start
-        value = best + here
-        while queue and queue[-1][0] > value:
-            queue.pop()
-        queue.append((value, j))
-    cuts, j = [], n - 1
-    while j:
-        cuts.append(at[j])
-        j = back[j]
-    cuts.append(at[0])
-    cuts.reverse()
-    return cuts
+    import numpy as np
+
+    n, origin = len(at), int(at[0])
+    powers = 1 << np.arange(size.bit_length())
+    # Arrays, block by block: in a segment of short sentences every position may be a cut.
+    index = np.full(int(at[-1]) - origin + 1, -1, dtype=np.int32)
+    index[at - origin] = np.arange(n, dtype=np.int32)
+    cost, back = array("q", bytes(8 * n)), array("i", bytes(4 * n))
+    queue: deque[tuple[int, int, int]] = deque([(origin, 0, origin)])  # (cost + position, index, position), ascending
+    for first in range(1, n, CUT_BLOCK):
+        block = slice(first, first + CUT_BLOCK)
+        # Cuts a power of two before each one of the block, end to end.
+        before = at[block, None] - origin - powers
+        near = np.where(before < 0, -1, index[np.maximum(before, 0)])
+        upto = np.cumsum((near >= 0).sum(axis=1)).tolist()
+        near = near[near >= 0].tolist()
+        k = 0
+        for j, (here, penalty, end) in enumerate(zip(at[block].tolist(), penalties[block].tolist(), upto), first):
+            low = here - size
+            while queue[0][2] < low:
+                queue.popleft()
+            value, start, _ = queue[0]
+            best = value + size - here
+            while k < end:
+                i = near[k]
+                k += 1
+                if cost[i] < best or cost[i] == best and i < start:
+                    best, start = cost[i], i
+            best += penalty
+            cost[j], back[j] = best, start
+            value = best + here
+            while queue and queue[-1][0] > value:
+                queue.pop()
+            queue.append((value, j, here))
+    cuts = [n - 1]
+    while cuts[-1]:
+        cuts.append(back[cuts[-1]])
+    return at[cuts[::-1]].tolist()
 
 
 def _pack_segment(docs, sizes, ids, ends, size, long_sentence):
@@ -183,14 +193,15 @@ def pack_documents(
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            coded = encoder.encode_many(batch.column("text").to_pylist())
-            for name, ids in zip(batch.column("doc_id").to_pylist(), coded):
-                names.append(name)
-                found.append(ids + end)
-                held += len(found[-1]) // encoder.dtype.itemsize
-                if held >= SEGMENT:
-                    yield flush(part)
-                    names, found, held = [], [], 0
+            for rows in text_runs(batch):
+                coded = encoder.encode_many(rows.column("text").to_pylist())
+                for name, ids in zip(rows.column("doc_id").to_pylist(), coded):
+                    names.append(name)
+                    found.append(ids + end)
+                    held += len(found[-1]) // encoder.dtype.itemsize
+                    if held >= SEGMENT:
+                        yield flush(part)
+                        names, found, held = [], [], 0
         if names:
             yield flush(part)
 

@@ -19,10 +19,12 @@ import numpy as np
 
 from .hashing import BASES, word_hashes, word_pieces
 
-# Words kept per worker; a full table is emptied and filled anew, which costs time only.
-TABLE_WORDS = 3_000_000
+# Words kept per worker, about 100 bytes each; a full table drops those met once, which costs time only.
+TABLE_WORDS = 400_000
 # Characters cut at once.
 GROUP_CHARS = 1 << 18
+# Bytes of text taken out of an Arrow batch at once.
+RUN_BYTES = 1 << 20
 TOP = 0x250
 NONE, LETTER, NUMBER, SPACE, BLANK, OTHER, BEYOND = range(7)
 
@@ -127,6 +129,7 @@ class WordTable:
         self._keys = np.zeros(1 << bits, np.uint64)
         self._entry = np.zeros(1 << bits, np.int32)
         self._ids, self._pieces = _Lists(dtype), _Lists(np.dtype(np.uint64))
+        self._again = np.zeros(1 << bits, bool)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key, -1 if it has none. Keys are never 0."""
@@ -155,6 +158,12 @@ class WordTable:
 
     def add(self, keys: np.ndarray, ids: list[bytes], pieces: np.ndarray, counts: np.ndarray) -> None:
         """Enter different keys that are not there yet, with the words' pieces end to end."""
+        sizes = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        self._enter(keys, np.frombuffer(b"".join(ids), self.dtype), sizes, pieces, counts)
+
+    def _enter(
+        self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, pieces: np.ndarray, counts: np.ndarray
+    ) -> None:
         n = self.count + len(keys)
         while 2 * n > 1 << self.bits:
             held = np.flatnonzero(self._keys)
@@ -163,13 +172,28 @@ class WordTable:
             self._keys = np.zeros(1 << self.bits, np.uint64)
             self._entry = np.zeros(1 << self.bits, np.int32)
             self._place(old, entries)
-        self._ids.add(
-            np.frombuffer(b"".join(ids), self.dtype), np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
-        )
+        if n > len(self._again):
+            self._again = np.concatenate([self._again, np.zeros(max(n, len(self._again)), bool)])
+        self._ids.add(ids, sizes)
         self._pieces.add(pieces, counts)
         self._place(keys, np.arange(self.count, n, dtype=np.int32))
         self.count = n
 
+    def met(self, entries: np.ndarray) -> None:
+        """Note that these entries were found again."""
+        self._again[entries] = True
+
+    def thinned(self, limit: int) -> WordTable:
+        """A new table of the words found again since they were entered or kept, the ``limit`` longest known at most."""
+        out = WordTable(self.dtype)
+        entries = np.flatnonzero(self._again[: self.count])[:limit]
+        keys = np.empty(self.count, np.uint64)
+        held = np.flatnonzero(self._keys)
+        keys[self._entry[held]] = self._keys[held]
+        if len(entries):
+            out._enter(keys[entries], *self._ids.of(entries), *self._pieces.of(entries))
+        return out
+
     def wrong(self, entries: np.ndarray, pieces: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Which words (pieces end to end, ``counts`` of each, none 0) are not those of their entries."""
         own, own_counts = self._pieces.of(entries)
@@ -240,8 +264,9 @@ class PieceEncoder:
         cut = np.searchsorted(start, ends)
         words = np.diff(cut, prepend=0)
         if self._table.count > self._limit:
-            self._table = WordTable(self.dtype)
+            self._table = self._table.thinned(self._limit // 2)
         entry = self._table.find(keys)
+        self._table.met(entry[entry >= 0])
         missing = np.flatnonzero((entry < 0) & ~np.repeat(bad, words))
         if len(missing):
             new, at = np.unique(keys[missing], return_index=True)
@@ -302,6 +327,19 @@ class PieceEncoder:
         return self.encode_many([text])[0]
 
 
+def text_runs(batch, text: str = "text", size: int = RUN_BYTES):
+    """The rows of an Arrow batch in runs of about ``size`` bytes of text, so that few are Python strings at once."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + size, side="right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def read_vocabulary(path: str) -> dict:
     """The parts of a byte-level BPE file that matter here; other kinds are refused."""
     with open(path, encoding="utf-8") as f:

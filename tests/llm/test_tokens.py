@@ -293,3 +293,65 @@ def test_blocks_are_decoded_together():
             assert [x for d in done for x in d[2].to_pylist()] == sum(cut.column("doc_ids").to_pylist(), [])
             assert len(ids) == sum(sum(x) for x in cut.column("n_tokens").to_pylist())
             assert len(done) == 1 if group == 1 << 20 else len(done) <= cut.num_rows
+
+
+def test_a_full_table_keeps_words_met_again(library):
+    path = vocabulary()
+    asked = []
+
+    def encode_words(words):
+        asked.extend(words)
+        return tokens.library_encoder(path)._words(words)
+
+    small = tokens.PieceEncoder(encode_words, tokens.library_splitter(path), {}, "<u2", limit=40)
+    for i in range(30):
+        text = f"the common words once{i}x twice{i}y other{i}z of every text"
+        assert np.frombuffer(small.encode(text), "<u2").tolist() == library(text)
+        assert small._table.count <= 40 + len(text)
+    assert asked.count(" common") == asked.count(" every") == 1
+
+
+def test_words_that_occur_once_do_not_pile_up(library):
+    """As many words as a worker once kept in 400 MB; they are encoded by their number alone."""
+    number = iter(range(1 << 30))
+
+    def encode_words(words):
+        return [np.array([next(number) % 50_000], "<u2").tobytes() for _ in words]
+
+    encoder = tokens.PieceEncoder(encode_words, tokens.library_splitter(vocabulary()), {}, "<u2")
+    most = 0
+    for i in range(30):
+        encoder.encode_many([" ".join(f"q{chr(97 + i)}{a}x{b}" for b in range(1000)) for a in range(40)])
+        table = encoder._table
+        arrays = [table._keys, table._entry, table._again]
+        arrays += [a for made in (table._ids, table._pieces) for a in (made.ends, made.values)]
+        most = max(most, sum(a.nbytes for a in arrays))
+    assert most < 100 << 20
+
+
+def test_batches_are_read_in_runs():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "", "é" * 40, "b" * 3, "c" * 3, None]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, kind)], ["doc_id", "text"]).slice(1)
+        for size in (1, 8, 1000):
+            runs = list(tokens.text_runs(batch, size=size))
+            assert [x for r in runs for x in r.column("text").to_pylist()] == texts[1:]
+            assert [x for r in runs for x in r.column("doc_id").to_pylist()] == list(range(1, 7))
+            assert all(r.num_rows for r in runs)
+        assert [r.num_rows for r in tokens.text_runs(batch, size=8)] == [2, 1, 3]
+        assert list(tokens.text_runs(batch.slice(0, 0))) == []
+
+
+def test_cuts_at_every_position_take_little_memory():
+    import tracemalloc
+
+    n = 200_000
+    at = np.arange(n + 1)
+    tracemalloc.start()
+    cuts = packing.best_cuts(at, np.full(n + 1, packing.SENTENCE_CUT))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cuts[0] == 0 and cuts[-1] == n and max(np.diff(cuts)) <= packing.SEQUENCE
+    assert peak < 80 * n
